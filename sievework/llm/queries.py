@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import cooccur, crosssplit, neardup, packing, termfreq, tokenise, topn
+from . import cooccur, crosssplit, mojibake, neardup, packing, termfreq, tokenise, topn
 from .common import fold
 
 
 def p1_lift(spark: SparkSession, d: str) -> DataFrame:
     resume = cooccur.item_pairs(table(spark, d, "skill_matches"), "resume_id", "canonical_skill", 5, 3.0)
-    need = table(spark, d, "profiles_learned").select(F.monotonically_increasing_id().alias("row"), F.explode("required_skills").alias("skill"))
+    need = table(spark, d, "profiles_learned").select(F.col("label").alias("row"), F.explode("required_skills").alias("skill"))
     profile = cooccur.item_pairs(need, "row", "skill", 3, 3.0)
     return resume.withColumn("basket", F.lit("resume")).unionByName(profile.withColumn("basket", F.lit("profile")))
 
@@ -80,4 +80,12 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", 2048)
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p4_found, p5_found, p6_found, p6_report, p8_ids, p9_pack)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p4_found, p5_found, p6_found, p6_report, p8_ids, p9_pack, p10_found, p10_restored)}
