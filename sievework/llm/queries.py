@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import cooccur, crosssplit, mojibake, neardup, packing, termfreq, tokenise, topn
+from . import canon, cooccur, crosssplit, mojibake, neardup, packing, termfreq, tokenise, topn
 from .common import fold
 
 
@@ -39,6 +39,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_counts(spark, d).where("verdict <> 'useful'").select("field_name", "term", "verdict")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    lexicon = table(spark, d, "lexicon")
+    matches, extracted = table(spark, d, "skill_matches"), table(spark, d, "extracted")
+    frequency = matches.groupBy(fold(F.col("canonical_skill")).alias("canonical")).agg(F.count("*").alias("n")).where("canonical is not null")
+    # the lexicon is a fixed table; map_values checks its size as well
+    forms = [r[0] for r in lexicon.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array())))).limit(canon.MOST_FORMS).select(fold(F.col("col"))).collect() if r[0]]
+    phrase = matches.where("canonical_skill is null").select(F.lit("phrase").alias("field_name"), "resume_id", F.col("pos").cast("bigint").alias("pos"), fold(F.col("phrase")).alias("value"))
+    raw = extracted.select(F.lit("skills_raw").alias("field_name"), "resume_id", F.posexplode("skills_raw").alias("pos", "value"))
+    raw = raw.select("field_name", "resume_id", F.col("pos").cast("bigint").alias("pos"), fold(F.col("value")).alias("value")).where(~F.col("value").isin(forms))
+    cases = phrase.unionByName(raw).where("value <> ''")
+    out = canon.map_values(cases, "value", lexicon, frequency)
+    return out.select("field_name", "resume_id", "pos", F.col("meant").alias("canonical_skill")).distinct()
+
+
 P4 = {"threshold": 0.6, "width": 2, "min_words": 20}
 
 
@@ -88,4 +102,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p4_found, p5_found, p6_found, p6_report, p8_ids, p9_pack, p10_found, p10_restored)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_found, p6_report, p8_ids, p9_pack, p10_found, p10_restored)}
