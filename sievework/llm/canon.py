@@ -241,7 +241,8 @@ def map_values(cases: DataFrame, value: str, lexicon: DataFrame, frequency: Data
     known = lexicon.select(fold(F.col("canonical")).alias("c"), "canonical")
     often = {r["canonical"]: r["n"] for r in known.join(frequency.select(F.col("canonical").alias("c"), "n"), "c").groupBy("canonical").agg(F.sum("n").alias("n")).collect()}
     sent = cases.sparkSession.sparkContext.broadcast((forms, often))
-    at = cases.columns.index(value)
+    columns = cases.columns
+    at = columns.index(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash((len(sent.value[0]), tuple(sent.value[0]), tuple(sorted(sent.value[1].items()))))
@@ -251,7 +252,7 @@ def map_values(cases: DataFrame, value: str, lexicon: DataFrame, frequency: Data
         match = _BUILT[key]
         for b in batches:
             out = [(match(v) or "unmatched") if v else "unmatched" for v in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*cases.columns, "meant"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*columns, "meant"])
 
     schema = cases.withColumn("meant", F.lit("")).schema
     return cases.mapInArrow(run, schema)

@@ -16,6 +16,12 @@ WORD = re.compile("[a-z0-9]+")
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than the cluster has cores; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fold(c: Column) -> Column:
     """Blanks collapsed to one, trimmed, lower-cased; null stays null."""
     return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
@@ -96,4 +102,4 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int = 2, min_
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[starts])), pa.array(key.view(np.int64)), arr], names=["id", "key", "sh"])
 
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(run, "id bigint, key bigint, sh array<bigint>")
+    return spread(src).mapInArrow(run, "id bigint, key bigint, sh array<bigint>")

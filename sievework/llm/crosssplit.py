@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, parity_sketch, set_keys, shingle_batch
+from .common import mix64, parity_sketch, set_keys, shingle_batch, spread
 from .neardup import verified
 
 BUCKETS, HOT, BITS = 1 << 20, 4096, 256
@@ -40,7 +40,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, min_w
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
 
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    rows = src.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    rows = spread(src).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     table = np.zeros(BUCKETS, np.int64)
     table[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
@@ -70,7 +70,7 @@ def prefix_rows(docs: DataFrame, id_col: str, text_col: str, side_col: str, tabl
 
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(side_col).alias("side")).where("id is not null and text is not null and side is not null")
     words = ", ".join(f"s{w} bigint" for w in range(BITS // 64))
-    return src.mapInArrow(run, f"id bigint, key bigint, side string, size int, {words}, prefix array<struct<shingle: bigint, pos: int, salts: int>>")
+    return spread(src).mapInArrow(run, f"id bigint, key bigint, side string, size int, {words}, prefix array<struct<shingle: bigint, pos: int, salts: int>>")
 
 
 def overlap_classes(docs: DataFrame, id_col: str, text_col: str, side_col: str, threshold: float = 0.8, width: int = 5, min_words: int = 20) -> tuple[DataFrame, DataFrame]:

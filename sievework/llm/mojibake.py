@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread
+
 RATIO = 3
 UNIT = re.compile("[A-Za-z?]*[\x80-\U0010ffff][A-Za-z?\x80-\U0010ffff]*")
 BARE = re.compile("[?\x80-\U0010ffff]*[\x80-\U0010ffff][?\x80-\U0010ffff]*")
@@ -103,7 +105,7 @@ def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.string()), pa.array(level, pa.int32())], names=["doc", "unit", "level"])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    return src.mapInArrow(run, "doc bigint, unit string, level int")
+    return spread(src).mapInArrow(run, "doc bigint, unit string, level int")
 
 
 def garbled_table(counts: DataFrame) -> DataFrame:

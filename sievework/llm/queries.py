@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import canon, cooccur, crosssplit, mojibake, neardup, packing, termfreq, tokenise, topn
+from . import canon, cooccur, crosssplit, mojibake, neardup, packing, pii, termfreq, tokenise, topn
 from .common import fold
 
 
@@ -85,6 +85,21 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("split", "source").agg(F.countDistinct("eval_id").alias("eval_records"), F.count("*").alias("pairs"))
 
 
+def _p7_docs(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "resumes").select(F.lit("resumes").alias("source_table"), F.col("resume_id").alias("record_id"), F.col("resume_text").alias("text"))
+    s = table(spark, d, "sample_resumes").select(F.lit("sample_resumes").alias("source_table"), F.col("raw_id").alias("record_id"), "text")
+    return r.unionByName(s)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(_p7_docs(spark, d), table(spark, d, "name_list")).select("source_table", "record_id", "pii_type", "start_at")
+
+
+def p7_masked(spark: SparkSession, d: str) -> DataFrame:
+    docs = _p7_docs(spark, d)
+    return pii.masked_texts(docs, pii.find_pii(docs, table(spark, d, "name_list")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -102,4 +117,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_found, p6_report, p8_ids, p9_pack, p10_found, p10_restored)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_found, p6_report, p7_found, p7_masked, p8_ids, p9_pack, p10_found, p10_restored)}

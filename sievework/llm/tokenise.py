@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 TOKENIZER_DIR = os.environ.get("SIEVEWORK_TOKENIZERS", "/opt/tokenizers")
 MEMO = 1 << 19
 
@@ -154,7 +156,7 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, tokenizer: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), arr], names=["doc", "ids"])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc bigint, ids array<int>").withColumnRenamed("doc", id_col)
+    return spread(src).mapInArrow(run, "doc bigint, ids array<int>").withColumnRenamed("doc", id_col)
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -167,4 +169,4 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc", "n_tokens"])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc bigint, n_tokens bigint").withColumnRenamed("doc", id_col)
+    return spread(src).mapInArrow(run, "doc bigint, n_tokens bigint").withColumnRenamed("doc", id_col)
