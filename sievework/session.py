@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,24 +23,33 @@ def local_session(cpus: int | str = 8, name: str = "sievework", partitions: int
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temporary one only where none is named."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``, a temporary one only in local mode without it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
-        sc.setCheckpointDir(named)
-        return
+        return named
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "sievework-checkpoint"))
+    own = os.path.join(tempfile.gettempdir(), "sievework-shared")
+    sc.setCheckpointDir(own)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from it: later stages neither recompute it nor depend on a lost executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/sievework-{uuid.uuid4().hex}"
+    _drop_at_exit(spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """The written table goes when the application ends."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
