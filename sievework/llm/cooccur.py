@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import fold
 
 CHUNK = 512  # rare items of one basket that meet in one task
@@ -88,6 +89,7 @@ def item_pairs(entries: DataFrame, basket: str, item: str, min_together: int = 5
     """
     spark = entries.sparkSession
     one = entries.select(F.col(basket).alias("basket"), fold(F.col(item)).alias("item")).where("basket is not null and item <> ''").distinct()
+    one = cut(one)
     n_baskets = one.agg(F.countDistinct("basket").alias("n_all"), F.count("*").alias("entries"))
     freq = one.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_together)
     total = n_baskets.first()

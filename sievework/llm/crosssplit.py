@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import mix64, parity_sketch, set_keys, shingle_batch, spread
 from .neardup import verified
 
@@ -80,7 +81,7 @@ def overlap_classes(docs: DataFrame, id_col: str, text_col: str, side_col: str,
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(shingle_table(docs, id_col, text_col, width, min_words))
-    rows = prefix_rows(docs, id_col, text_col, side_col, table, threshold, width, min_words)
+    rows = cut(prefix_rows(docs, id_col, text_col, side_col, table, threshold, width, min_words))
     members = rows.select("id", "key", "side")
     words = [f"s{w}" for w in range(BITS // 64)]
     one = rows.drop("id").dropDuplicates(["side", "key"])
@@ -96,7 +97,7 @@ def overlap_classes(docs: DataFrame, id_col: str, text_col: str, side_col: str,
         & (F.least(F.col("i.size") - F.col("i.pos"), F.col("p.size") - F.col("p.pos")) >= need)
         & (distance <= (F.col("i.size") + F.col("p.size")) * ratio + 1e-9)
     )
-    found = index.alias("i").join(probe.alias("p"), fits).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct()
+    found = cut(index.alias("i").join(probe.alias("p"), fits).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct())
     one_text = members.select("id", "key")
     # equal sets on both sides need no check
     same = found.where("key_a = key_b").select("key_a", "key_b", F.lit(None).cast("int").alias("shared"), F.lit(1.0).alias("jaccard"))

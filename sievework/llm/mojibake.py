@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import spread
 
 RATIO = 3
@@ -130,7 +131,7 @@ def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Null and ASCII texts give no row; each document gives a unit once; an empty table gives no row.
     """
-    units = text_units(docs, id_col, text_col)
+    units = cut(text_units(docs, id_col, text_col))
     counts = units.groupBy("unit", "level").agg(F.count("*").alias("unit_docs"))
     match = counts.join(garbled_table(counts), F.col("unit") == F.col("form"))
     lossy = F.col("unit").contains("?") & ~F.col("unit").rlike(r"^â|\?\?")

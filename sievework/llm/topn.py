@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BINS, LARGE, SALTS = 64, 256, 32
 
 
@@ -26,7 +28,7 @@ def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> D
     for g in group:
         live = live.where(F.col(g).isNotNull())
     best = live.groupBy(*group, "item").agg(F.max("score").alias("score"))
-    best = best.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    best = cut(best).withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
     finite = lambda c: F.least(F.greatest(c, F.lit(-1e300)), F.lit(1e300))
     span = best.groupBy(*group).agg(F.count("*").alias("items"), F.min(finite(F.col("score"))).alias("lo"), F.max(finite(F.col("score"))).alias("hi")).where(F.col("items") > max(LARGE, n))
     salts = span.select(*group, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
