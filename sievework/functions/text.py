@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: patterns and word lists that results depend on
 EMAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
@@ -34,7 +35,7 @@ def mask_pii(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation; ASCII texts pass as they are."""
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

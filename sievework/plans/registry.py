@@ -1,6 +1,520 @@
-"""All queries of the core operators and their SQL equivalents."""
+"""All queries of the core operators, each over its whole tables, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import extract, scoring, vectors
+from ..session import cut, shared_dir, table
+from ..sources import files
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL_MASK = "t"
+for _p, _m in ((tx.EMAIL, "[EMAIL]"), (tx.PHONE, "[PHONE]"), (tx.LINKEDIN, "[LINKEDIN]"), (tx.GITHUB, "[GITHUB]"), (tx.URL, "[URL]")):
+    SQL_MASK = f"regexp_replace({SQL_MASK}, {_lit(_p)}, {_lit(_m)}, 'g')"
+SQL_SQUEEZE = r"trim(regexp_replace({}, '[\s\x{{a0}}]+', ' ', 'g'))"
+SQL_KEY = r"trim(regexp_replace(lower(replace({}, '/', ' ')), '[\s\x{{a0}}]+', ' ', 'g'))"
+SQL_LABEL = "replace(upper(trim({})), '_', '-')"
+SQL_STOP = "[" + ", ".join(map(_lit, tx.STOP)) + "]"
+SQL_TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9_]{{2,}}'), lambda x: not list_contains(" + SQL_STOP + ", x))"
+
+
+# ---- text functions
+
+
+@query(f"select raw_id, {SQL_SQUEEZE.format(SQL_MASK)} masked from (select raw_id, text t from sample_resumes where text is not null)")
+def mask_pii(spark: SparkSession, d: str) -> DataFrame:
+    """P1, P3, F1."""
+    return table(spark, d, "sample_resumes").where("text is not null").select("raw_id", tx.squeeze(tx.mask_pii(F.col("text"))).alias("masked"))
+
+
+@query()
+def preprocess(spark: SparkSession, d: str) -> DataFrame:
+    """Masked, compatibility-normalised, squeezed, blank texts dropped."""
+    t = table(spark, d, "sample_resumes").where("text is not null").select("raw_id", tx.squeeze(tx.nfkc(tx.mask_pii(F.col("text")))).alias("resume_text"), F.coalesce("label", F.lit("unknown")).alias("label"))
+    return t.where("resume_text <> ''")
+
+
+@query(f"select {SQL_LABEL.format('label')} label_key, count(*) n, count(distinct label) spellings from resumes where label is not null group by 1")
+def label_keys(spark: SparkSession, d: str) -> DataFrame:
+    """P5, A20."""
+    return table(spark, d, "resumes").where("label is not null").groupBy(tx.label_key(F.col("label")).alias("label_key")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("spellings"))
+
+
+@query("select canonical, concat_ws(' ', nullif(canonical, ''), nullif(category, ''), nullif(description, ''), array_to_string(aliases, ' ')) embedding_text from lexicon")
+def embedding_text(spark: SparkSession, d: str) -> DataFrame:
+    """P6, S9."""
+    return table(spark, d, "lexicon").select("canonical", tx.embedding_text(F.col("canonical"), F.col("category"), F.col("description"), F.col("aliases")).alias("embedding_text"))
+
+
+_HEAD = "case " + " ".join(f"when regexp_matches(line, {_lit(p)}) then {_lit(n)}" for n, p in extract.HEADERS) + " end"
+
+
+@query(rf"""with lines as (select raw_id, unnest(l) raw, generate_subscripts(l, 1) no from (select raw_id, regexp_split_to_array(text, '\r\n|\r|\n') l from sample_resumes where text is not null)),
+live as (select raw_id, no, trim(raw) line from lines where trim(raw) <> ''), heads as (select *, {_HEAD} head from live),
+filled as (select *, coalesce(last_value(head ignore nulls) over (partition by raw_id order by no rows between unbounded preceding and current row), 'experience') section from heads),
+rest as (select raw_id id, section, case when head is null then line else regexp_replace(regexp_replace(line, {_lit(extract.HEADER_WORDS)}, ''), '^[ :\-]+|[ :\-]+$', '', 'g') end line from filled)
+select id, section, count(*) n_lines, sum(length(line))::bigint n_chars from rest where line <> '' group by 1, 2""")
+def section_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """P7, W1."""
+    lines = extract.section_lines(table(spark, d, "sample_resumes").where("text is not null"), "raw_id", "text")
+    return lines.groupBy("id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(r"""select resume_id, phrase, count(*) n from (
+select resume_id, unnest(list_distinct(list_filter(list_transform(flatten(list_transform(list_filter(skills_raw, lambda x: x is not null), lambda x: regexp_split_to_array(x, '[,;/|\n]'))),
+  lambda x: lower(regexp_replace(x, '^[ \-:\t]+|[ \-:\t]+$', '', 'g'))), lambda x: x <> ''))) phrase from extracted) group by 1, 2""")
+def candidate_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """P8, P12, P13, U4."""
+    return table(spark, d, "extracted").select("resume_id", F.explode(tx.phrases(F.col("skills_raw"))).alias("phrase")).groupBy("resume_id", "phrase").agg(F.count("*").alias("n"))
+
+
+_CONTACT = r"(?i)\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b|\b\S+@\S+\b|https?://\S+|www\.\S+"
+
+
+@query(f"select raw_id, len(regexp_extract_all(text, {_lit(_CONTACT)})) n_contacts from sample_resumes where text is not null")
+def contact_lines(spark: SparkSession, d: str) -> DataFrame:
+    """P9."""
+    return table(spark, d, "sample_resumes").where("text is not null").select("raw_id", F.size(F.regexp_extract_all("text", F.lit(_CONTACT), F.lit(0))).alias("n_contacts"))
+
+
+_S = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _many(*patterns: str) -> str:
+    return "len(list_filter(s, lambda x: " + " and ".join(f"regexp_matches(x, {_lit(p)})" for p in patterns) + "))"
+
+
+_EXPERIENCE = f"""select resume_id, coalesce(list_max(list_transform(regexp_extract_all(t, {_lit(tx.YEARS)}, 1), lambda x: x::double)), 0.0) total_years, {_many(tx.ROLE)} role_count,
+{_many(tx.LEADERSHIP)} leadership_indicators, {_many(tx.IMPACT)} impact_statements, {_many(tx.IMPACT, tx.QUANTITY)} quantified_impact
+from (select resume_id, t, {_S} s from (select resume_id, resume_text t from resumes where resume_text is not null))"""
+
+
+@query(_EXPERIENCE)
+def experience(spark: SparkSession, d: str) -> DataFrame:
+    """P14, P15."""
+    t = table(spark, d, "resumes").where("resume_text is not null")
+    return t.select("resume_id", tx.experience_struct(F.col("resume_text")).alias("x")).select("resume_id", "x.total_years", "x.role_count", "x.leadership_indicators", "x.impact_statements", "x.quantified_impact")
+
+
+_SWAPPED = "text"
+for _p, _m in tx.PRONOUNS:
+    _SWAPPED = f"regexp_replace({_SWAPPED}, {_lit(_p)}, {_lit(_m)}, 'g')"
+
+
+@query(f"select doc_id, {_SWAPPED} swapped from documents where text is not null")
+def swap_pronouns(spark: SparkSession, d: str) -> DataFrame:
+    """P20."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", tx.swap_pronouns(F.col("text")).alias("swapped"))
+
+
+NAME_SWAPS = [("Ilse", "Aisha"), ("Noor", "Miguel"), ("Lena", "Priya"), ("Tomasz", "Wei")]
+_NAME_SQL = "case " + " ".join(f"when contains(t, {_lit(o)}) then substr(t, 1, strpos(t, {_lit(o)}) - 1) || {_lit(n)} || substr(t, strpos(t, {_lit(o)}) + {len(o)})" for o, n in NAME_SWAPS) + " else t end"
+_CUE = r"case when trim(l[1]) = '' or contains(t, 'from an underrepresented background') then t else array_to_string(list_concat([l[1], 'Identity cue: from an underrepresented background.'], l[2:]), chr(10)) end"
+
+
+@query(rf"""with base as (select raw_id, text t, regexp_split_to_array(text, '\r\n|\r|\n') l from sample_resumes where text is not null),
+v as (select raw_id, 1 k, 'name' variant_type, {_NAME_SQL} text from base union all select raw_id, 2, 'cue', {_CUE} from base union all select raw_id, 0, 'original', t from base)
+select raw_id, variant_type, md5(text) text_md5 from (select *, row_number() over (partition by raw_id, trim(text) order by k) rn from v where trim(text) <> '') where rn = 1""")
+def perturbations(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of each text, equal ones once."""
+    t = table(spark, d, "sample_resumes").where("text is not null")
+    v = F.array(F.struct(F.lit(0).alias("k"), F.lit("original").alias("variant_type"), F.col("text")), F.struct(F.lit(1).alias("k"), F.lit("name").alias("variant_type"), tx.swap_name(F.col("text"), NAME_SWAPS).alias("text")), F.struct(F.lit(2).alias("k"), F.lit("cue").alias("variant_type"), tx.identity_cue(F.col("text")).alias("text")))
+    rows = t.select("raw_id", F.explode(v).alias("v")).select("raw_id", "v.*").where(F.trim("text") != "")
+    w = Window.partitionBy("raw_id", F.trim("text")).orderBy("k")
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("raw_id", "variant_type", F.md5("text").alias("text_md5"))
+
+
+@query("select doc_id, sha256(concat_ws(chr(31), 'rules', 'v1', coalesce(doc_kind, ''), coalesce(text, ''))) cache_key from documents")
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    """P18, P19."""
+    c = lambda n: F.coalesce(F.col(n), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", tx.cache_key(F.lit("rules"), F.lit("v1"), c("doc_kind"), c("text")).alias("cache_key"))
+
+
+@query(r"""select req_id, resume_id, case when o <> '' then o when a <> '' then a else s end block from (select *, regexp_extract(s, '(?s)\{.*\}') o, regexp_extract(s, '(?s)\[.*\]') a
+from (select req_id, resume_id, trim(regexp_replace(scores, '```(?:json)?', '', 'g')) s from predictions where scores is not null))""")
+def json_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """P17."""
+    return table(spark, d, "predictions").where("scores is not null").select("req_id", "resume_id", tx.json_block(F.col("scores")).alias("block"))
+
+
+@query("""select distinct lower(trim(form)) form, canonical, category from (select canonical, category, unnest(list_concat([canonical], coalesce(aliases, []))) form from lexicon) where trim(form) <> ''""")
+def surface_forms(spark: SparkSession, d: str) -> DataFrame:
+    """P24."""
+    return extract.lexicon_forms(table(spark, d, "lexicon")).select("form", "canonical", "category")
+
+
+# fixed values: words that name an attribute of a person
+IDENTITY = [
+    "she", "her", "hers", "herself", "he", "him", "his", "himself", "mr", "mrs", "ms", "miss", "sir", "madam", "gentleman", "lady", "woman", "women", "man", "men", "female", "male",
+    "young", "old", "elderly", "youthful", "ageing", "aging", "married", "unmarried", "single", "divorced", "widowed", "spouse", "husband", "wife", "christian", "muslim", "jewish", "hindu",
+    "buddhist", "sikh", "atheist", "caucasian", "asian", "african-american", "african american", "hispanic", "latino", "latina", "disabled", "handicapped", "blind", "deaf",
+]
+_IDENTITY_RE = r"(?i)\b(" + "|".join(IDENTITY) + r")\b"
+
+
+@query(f"select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, {_lit(_IDENTITY_RE)}), lambda x: lower(x)))) terms from documents where regexp_matches(text, {_lit(_IDENTITY_RE)})")
+def identity_terms(spark: SparkSession, d: str) -> DataFrame:
+    """F6, F7."""
+    t = table(spark, d, "documents").where(F.col("text").rlike(_IDENTITY_RE))
+    return t.select("doc_id", F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_IDENTITY_RE), F.lit(0)), F.lower))).alias("terms"))
+
+
+# ---- lexicon joins
+
+
+@query(r"""with forms as (select distinct lower(trim(form)) form, canonical from (select canonical, unnest(list_concat([canonical], coalesce(aliases, []))) form from lexicon) where trim(form) <> ''),
+docs as (select resume_id, lower(resume_text) t from resumes where resume_text is not null)
+select distinct resume_id id, canonical from docs join forms on regexp_matches(t, '(^|[^a-z0-9])' || replace(form, ' ', '\s+') || '([^a-z0-9]|$)')""")
+def lexicon_scan(spark: SparkSession, d: str) -> DataFrame:
+    """F5, J5, L14, W6."""
+    return extract.lexicon_matches(table(spark, d, "resumes").where("resume_text is not null"), "resume_id", "resume_text", table(spark, d, "lexicon"))
+
+
+_CANON = f"""(select m.resume_id, l.canonical, l.category, max(m.confidence) confidence from skill_matches m join lexicon l on {SQL_KEY.format('m.canonical_skill')} = {SQL_KEY.format('l.canonical')} where m.confidence >= 0.4 group by all)"""
+
+
+@query(f"select * from {_CANON}")
+def canonical_skills(spark: SparkSession, d: str) -> DataFrame:
+    """F3, F4, J11, P4."""
+    return extract.canonical_skills(table(spark, d, "skill_matches"), table(spark, d, "lexicon"))
+
+
+@query("""select resume_id, canonical_skill, phrase, pos from (select *, row_number() over (partition by resume_id, canonical_skill order by pos, phrase) rn from (select distinct resume_id, canonical_skill, phrase, pos from skill_matches where canonical_skill is not null)) where rn = 1""")
+def first_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """W7."""
+    m = table(spark, d, "skill_matches").where("canonical_skill is not null").select("resume_id", "canonical_skill", "phrase", "pos").distinct()
+    w = Window.partitionBy("resume_id", "canonical_skill").orderBy("pos", "phrase")
+    return m.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("resume_id", "canonical_skill", "phrase", "pos")
+
+
+@query()
+def lexicon_search(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest lexicon entries of every distinct phrase."""
+    p = table(spark, d, "skill_matches").where("phrase is not null").select(tx.phrase_key(F.col("phrase")).alias("phrase")).where("phrase <> ''")
+    return vectors.lexicon_search(p, "phrase", table(spark, d, "lexicon"))
+
+
+@query(f"select resume_id, count(*) n_skills, round(sum(confidence), 4) sum_confidence, max(confidence) max_confidence, count(distinct category) n_categories from {_CANON} group by 1")
+def skill_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A18, A19."""
+    c = canonical_skills(spark, d)
+    return c.groupBy("resume_id").agg(F.count("*").alias("n_skills"), F.round(F.sum("confidence"), 4).alias("sum_confidence"), F.max("confidence").alias("max_confidence"), F.countDistinct("category").alias("n_categories"))
+
+
+@query(f"select resume_id, category, round(count(*) / sum(count(*)) over (partition by resume_id), 6) share from {_CANON} group by 1, 2")
+def category_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """A18."""
+    c = canonical_skills(spark, d).groupBy("resume_id", "category").agg(F.count("*").alias("n"))
+    return c.select("resume_id", "category", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("resume_id")), 6).alias("share"))
+
+
+# ---- scoring
+
+
+def _score(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.col("resume_text").alias("text"))
+    return scoring.score_all(docs, canonical_skills(spark, d), experience(spark, d).select("resume_id", "total_years", "leadership_indicators"), table(spark, d, "profiles_learned"))
+
+
+
+
+def _tf(key: str, text: str, rows: str) -> str:
+    return f"select {key}, term, count(*) tf from (select {key}, unnest({SQL_TOKENS.format(text)}) term from {rows}) group by 1, 2"
+
+
+_SCORES = f"""with docs as (select resume_id, resume_text from resumes where resume_text is not null), dt as ({_tf('resume_id', 'resume_text', 'docs')}), pt as ({_tf('label', 'description', 'profiles_learned')}),
+dn as (select resume_id, sum(tf * tf) d2 from dt group by 1), pn as (select label, sum(tf * tf) p2 from pt group by 1),
+sh as (select resume_id, label, sum(dt.tf * pt.tf) dot, sum(dt.tf * dt.tf) ds, sum(pt.tf * pt.tf) ps from dt join pt using (term) group by 1, 2),
+sim as (select resume_id, label, dot / (sqrt(ds + {scoring.UNSHARED**2} * (d2 - ds)) * sqrt(ps + {scoring.UNSHARED**2} * (p2 - ps))) ts from sh join dn using (resume_id) join pn using (label)),
+own as (select resume_id, list(distinct canonical) own from {_CANON} group by 1), ex as ({_EXPERIENCE}),
+pairs as (select d.resume_id, p.label, coalesce(own, []) own, list_distinct(required_skills) req, list_distinct(preferred_skills) pref, list_distinct(list_concat(required_skills, preferred_skills)) both_,
+  coalesce(total_years, 0) y, coalesce(leadership_indicators, 0) l, coalesce(ts, 0) ts from docs d cross join profiles_learned p left join own using (resume_id) left join ex using (resume_id) left join sim using (resume_id, label)),
+parts as (select *, len(list_intersect(own, req)) / greatest(len(req), 1) required, len(list_intersect(own, pref)) / greatest(len(pref), 1) preferred, least(len(list_intersect(own, both_)) / greatest(len(own), 1), 1.0) coverage,
+  least(y / 8.0, 1.0) yrs, least(l / 2.0, 1.0) leadership, len(list_intersect(own, both_)) / greatest(len(list_distinct(list_concat(own, both_))), 1) overlap from pairs)
+select resume_id, label, round(100 * (0.28 * required + 0.16 * preferred + 0.14 * coverage + 0.14 * yrs + 0.08 * leadership + 0.12 * ts + 0.08 * overlap), 2) fit_score,
+  round(required, 4) required, round(preferred, 4) preferred, round(coverage, 4) coverage, round(yrs, 4) as "years", round(leadership, 4) leadership, round(ts, 4) text_similarity, round(overlap, 4) overlap,
+  len(list_intersect(own, both_)) n_matched from parts"""
+
+
+@query(_SCORES)
+def score_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Every resume against every learned profile."""
+    s = _score(spark, d)
+    return s.withColumn("n_matched", F.size("matched")).drop("matched", "missing")
+
+
+@query(f"""with s as (select resume_id, label, fit_score from ({_SCORES})), r as (select *, row_number() over (partition by resume_id order by fit_score desc, label) rn from s)
+select resume_id, max(case when rn = 1 then label end) best_label, max(case when rn = 1 then fit_score end) best, max(case when rn = 2 then fit_score end) as "second",
+round(max(case when rn = 1 then fit_score end) - max(case when rn = 2 then fit_score end), 2) margin, case when max(case when rn = 1 then fit_score end) >= 70 then 'advance' when max(case when rn = 1 then fit_score end) >= 40 then 'consider' else 'reject' end band
+from r where rn <= 2 group by 1""")
+def best_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The best label of every resume and its margin."""
+    b = scoring.best_and_margin(_score(spark, d), "resume_id", "label", "fit_score")
+    return b.withColumn("margin", F.round("margin", 2)).withColumn("band", scoring.fit_band(F.col("best")))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return best_profiles(spark, d)
+
+
+@query("""select req_id, resume_id, y_true, y_pred, decision_source from (select *, row_number() over (partition by req_id, resume_id order by scored_at desc nulls last, loaded_at desc nulls last, y_pred, decision_source, scores) rn from predictions) where rn = 1""")
+def latest_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The last scoring of each application."""
+    w = Window.partitionBy("req_id", "resume_id").orderBy(F.desc_nulls_last("scored_at"), F.desc_nulls_last("loaded_at"), F.asc_nulls_last("y_pred"), F.asc_nulls_last("decision_source"), F.asc_nulls_last("scores"))
+    return table(spark, d, "predictions").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("req_id", "resume_id", "y_true", "y_pred", "decision_source")
+
+
+_PRED = f"(select {SQL_LABEL.format('y_true')} t, {SQL_LABEL.format('y_pred')} p from predictions where y_true is not null and y_pred is not null)"
+
+
+def _pred(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "predictions").where("y_true is not null and y_pred is not null").select(tx.label_key(F.col("y_true")).alias("t"), tx.label_key(F.col("y_pred")).alias("p"))
+
+
+@query(f"""with x as (select t, p, count(*) n from {_PRED} group by 1, 2), l as (select t label from x union select p from x),
+per as (select label, coalesce((select sum(n) from x where t = label), 0) tn, coalesce((select sum(n) from x where p = label), 0) pn, coalesce((select sum(n) from x where p = label and t = label), 0) tp from l),
+m as (select *, case when pn = 0 then 0 else tp / pn end pr, case when tn = 0 then 0 else tp / tn end rc, case when tn + pn = 0 then 0 else 2 * tp / (tn + pn) end f1 from per)
+select round(sum(tp) / sum(tn), 4) accuracy, round(avg(pr), 4) precision_macro, round(avg(rc), 4) recall_macro, round(avg(f1), 4) f1_macro, round(sum(f1 * tn) / sum(tn), 4) f1_weighted, sum(tn)::bigint support, count(*) classes from m""")
+def classification(spark: SparkSession, d: str) -> DataFrame:
+    """A1, A2, A3, M7."""
+    return scoring.classification_metrics(_pred(spark, d), "t", "p")
+
+
+@query(f"select t, p, count(*) n from {_PRED} where t <> p group by 1, 2 order by n desc, t, p limit 8")
+def top_confusions(spark: SparkSession, d: str) -> DataFrame:
+    """A21."""
+    return _pred(spark, d).where("t <> p").groupBy("t", "p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t", "p").limit(8)
+
+
+@query("select decision_source, count(*) n from predictions group by 1")
+def decision_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A4."""
+    return table(spark, d, "predictions").groupBy("decision_source").agg(F.count("*").alias("n"))
+
+
+@query(f"""select th threshold, count(*) n, round(avg((y_true = y_pred)::int), 6) accuracy, round(avg((fit_score >= th)::int), 6) selected from (select {SQL_LABEL.format('y_true')} y_true, {SQL_LABEL.format('y_pred')} y_pred, fit_score from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)), (select unnest([40.0, 50.0, 60.0, 70.0, 80.0]) th) where fit_score >= th - 20 group by 1""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A24, F11."""
+    p = table(spark, d, "predictions").where("y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)")
+    x = p.select((tx.label_key(F.col("y_true")) == tx.label_key(F.col("y_pred"))).cast("int").alias("ok"), "fit_score", F.explode(F.array(*(F.lit(v) for v in (40.0, 50.0, 60.0, 70.0, 80.0)))).alias("threshold")).where("fit_score >= threshold - 20")
+    return x.groupBy("threshold").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg((F.col("fit_score") >= F.col("threshold")).cast("int")), 6).alias("selected"))
+
+
+@query("select decision_source, round(quantile_cont(fit_score, 0.25), 6) q25, round(quantile_cont(fit_score, 0.5), 6) q50, round(quantile_cont(fit_score, 0.75), 6) q75 from predictions where fit_score is not null and not isnan(fit_score) group by 1")
+def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """A22."""
+    p = table(spark, d, "predictions").where("fit_score is not null and not isnan(fit_score)")
+    return p.groupBy("decision_source").agg(*(F.round(F.percentile("fit_score", F.lit(q)), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+
+
+_RANK = f"""with best as (select {SQL_LABEL.format('y_pred')} job, resume_id item, max(fit_score) score, max(({SQL_LABEL.format('y_true')} = {SQL_LABEL.format('y_pred')})::int) rel from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score) group by 1, 2),
+tot as (select job, sum(rel) total from best group by 1 having sum(rel) > 0), r as (select *, row_number() over (partition by job order by score desc, item) rk from best),
+h as (select *, sum(rel) over (partition by job order by rk) hits from r where rk <= 10), k as (select unnest([1, 3, 5, 10]) k),
+c as (select job, k, total, sum(rel) hit, sum(case when rel > 0 then hits / rk else 0 end) ap, sum(rel / log2(rk + 1)) dcg from h join tot using (job) join k on rk <= k group by 1, 2, 3),
+i as (select *, list_sum(list_transform(range(1, least(k, total)::int + 1), lambda x: 1 / log2(x + 1))) ideal from c)
+select k, round(avg(hit / k), 4) precision_at, round(avg(hit / total), 4) recall_at, round(avg(ap / least(k, total)), 4) map_at, round(avg(dcg / ideal), 4) ndcg_at, count(*) jobs from i group by 1"""
+
+
+@query(_RANK)
+def ranking(spark: SparkSession, d: str) -> DataFrame:
+    """A12, A23, W3, W4, W5, F13."""
+    p = table(spark, d, "predictions").where("y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)")
+    best = p.select(tx.label_key(F.col("y_pred")).alias("job"), F.col("resume_id").alias("item"), F.col("fit_score").alias("score"), (tx.label_key(F.col("y_true")) == tx.label_key(F.col("y_pred"))).cast("int").alias("rel"))
+    return scoring.ranking_metrics(best.groupBy("job", "item").agg(F.max("score").alias("score"), F.max("rel").alias("rel")), "job", "item", "score", "rel")
+
+
+def _gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    gold = lexicon_scan(spark, d).select("id", F.col("canonical").alias("skill"))
+    found = canonical_skills(spark, d).select(F.col("resume_id").alias("id"), F.col("canonical").alias("skill"))
+    return gold, found
+
+
+_PRF = f"""with g as (select id, canonical skill from ({ORACLE['lexicon_scan']})), f as (select distinct resume_id id, canonical skill from {_CANON} where resume_id in (select id from g)),
+b as (select coalesce(g.id, f.id) id, coalesce(g.skill, f.skill) skill, (g.id is not null and f.id is not null)::int tp, (g.id is null)::int fp, (f.id is null)::int fn from g full join f on g.id = f.id and g.skill = f.skill),
+s as (select {{0}}, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from b group by 1)
+select {{0}}, tp, fp, fn, case when tp + fp = 0 then 0 else round(tp / (tp + fp), 4) end as "precision", case when tp + fn = 0 then 0 else round(tp / (tp + fn), 4) end recall, case when 2 * tp + fp + fn = 0 then 0 else round(2 * tp / (2 * tp + fp + fn), 4) end f1 from s"""
+
+
+@query(_PRF.replace("{0}", "id"))
+def extraction_by_resume(spark: SparkSession, d: str) -> DataFrame:
+    """J9, J10, A11, U2."""
+    return scoring.extraction_metrics(*_gold(spark, d), ["id"])
+
+
+@query(_PRF.replace("{0}", "skill"))
+def extraction_by_skill(spark: SparkSession, d: str) -> DataFrame:
+    """A11."""
+    return scoring.extraction_metrics(*_gold(spark, d), ["skill"])
+
+
+@query(f"""select count(*) n, round(avg(b - a), 6) mean_delta, round(avg((b >= 60)::int) - avg((a >= 60)::int), 6) selection_delta from (
+select x.req_id, x.resume_id, min(x.fit_score) a, max(x.fit_score) b from predictions x where fit_score is not null and not isnan(fit_score) group by 1, 2)""")
+def fairness_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Lowest against highest scoring of each application."""
+    p = table(spark, d, "predictions").where("fit_score is not null and not isnan(fit_score)").groupBy("req_id", "resume_id").agg(F.min("fit_score").alias("a"), F.max("fit_score").alias("b"))
+    at = lambda c: F.avg((F.col(c) >= 60).cast("int"))
+    return p.agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_delta"), F.round(at("b") - at("a"), 6).alias("selection_delta"))
+
+
+@query()
+def bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """A16."""
+    return scoring.bootstrap_interval(table(spark, d, "predictions").where("not isnan(fit_score)").select("req_id", "resume_id", "scored_at", "fit_score"), "fit_score")
+
+
+# ---- term vectors and mining
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "resumes").where("resume_text is not null and label is not null").select(F.col("resume_id").alias("id"), F.col("resume_text").alias("text"), tx.label_key(F.col("label")).alias("label"))
+    return r
+
+
+_VEC = f"""docs as (select resume_id id, resume_text t, {SQL_LABEL.format('label')} label from resumes where resume_text is not null and label is not null),
+n as (select count(*) n from docs), tf as (select id, term, count(*) tf from (select id, unnest({SQL_TOKENS.format('t')}) term from docs) group by 1, 2),
+df as (select term, count(*) df from tf group by 1 having count(*) >= 2), raw as (select id, term, tf * (ln((1 + n) / (1 + df)) + 1) w from tf join df using (term), n),
+vec as (select id, term, w / sqrt(sum(w * w) over (partition by id)) w from raw), size as (select label, count(*) c from docs group by 1)"""
+
+
+@query(f"""with {_VEC}, cent as (select label, term, sum(w) / any_value(c) w from vec join docs using (id) join size using (label) group by 1, 2), cn as (select label, sqrt(sum(w * w)) nrm from cent group by 1),
+sims as (select v.id, c.label, sum(v.w * c.w) / any_value(nrm) s from vec v join cent c using (term) join cn on cn.label = c.label group by 1, 2),
+r as (select *, row_number() over (partition by id order by round(s, 9) desc, label) rn from sims) select id, label, round(s, 5) similarity from r where rn = 1""")
+def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """L1, L2, A9, T2."""
+    docs = _labelled(spark, d)
+    counts = cut(vectors.term_counts(docs, "id", "text"))
+    vec = cut(vectors.tfidf(counts, docs.count()))
+    out = vectors.nearest_centroid(vec, cut(vectors.centroids(vec, docs.select("id", "label"))))
+    return out.withColumn("similarity", F.round("similarity", 5))
+
+
+@query()
+def characteristic_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A10, T4."""
+    docs = _labelled(spark, d)
+    vec = cut(vectors.tfidf(vectors.term_counts(docs, "id", "text", bigrams=True), docs.count(), 3, sublinear=True))
+    return vectors.characteristic_terms(vec, docs.select("id", "label"))
+
+
+def _skill_lists(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_skills(spark, d).groupBy(F.col("resume_id").alias("id")).agg(F.sort_array(F.collect_set("canonical")).alias("items"))
+
+
+@query()
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """L10, L11, A17."""
+    lists = cut(_skill_lists(spark, d))
+    assigned = vectors.cluster(lists, "id", "items")
+    return vectors.cluster_summary(assigned, lists.select("id", F.explode("items").alias("item")))
+
+
+@query()
+def association_rules(spark: SparkSession, d: str) -> DataFrame:
+    """L12, T3."""
+    return vectors.association_rules(cut(_skill_lists(spark, d)), "items", 0.02, 0.3)
+
+
+@query(f"""with l as (select resume_id id, {SQL_LABEL.format('label')} label from resumes where label is not null), s as (select distinct resume_id id, canonical skill from {_CANON}), n as (select label, count(*) n from l group by 1),
+c as (select label, skill, count(distinct id) / any_value(n) cov, any_value(n) n from s join l using (id) join n using (label) group by 1, 2),
+r as (select *, row_number() over (partition by label order by cov desc, skill) rn from c where cov >= case when n < 35 then 0.05 else 0.1 end),
+q as (select *, rn <= 6 and cov >= case when n < 35 then 0.2 else 0.3 end rq from r), h as (select *, max(rq::int) over (partition by label) = 1 has from q), f as (select *, case when has then rq else rn <= 3 end req from h),
+p as (select *, sum(case when req then 0 else 1 end) over (partition by label order by cov desc, skill) pn from f)
+select label, list(skill order by rn) filter (where req) required_skills, coalesce(list(skill order by rn) filter (where not req), []) preferred_skills from p where req or pn <= 8 group by 1""")
+def learned_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """A5, A6, A7, A8, F2."""
+    labels = table(spark, d, "resumes").where("label is not null").select(F.col("resume_id").alias("id"), tx.label_key(F.col("label")).alias("label"))
+    skills = canonical_skills(spark, d).select(F.col("resume_id").alias("id"), F.col("canonical").alias("skill")).distinct()
+    return vectors.learned_profiles(skills, labels)
+
+
+@query(f"""with want as (select distinct label from resumes where label is not null) select w.label, coalesce(p.description, 'Role focused on ' || lower(replace(replace(w.label, '_', ' '), '-', ' ')) || '.') description, coalesce(len(p.required_skills), 1) n_required
+from want w left join profiles_learned p on {SQL_LABEL.format('w.label')} = {SQL_LABEL.format('p.label')}""")
+def resolve_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """A profile for every label spelling, made up where none is learned."""
+    want = table(spark, d, "resumes").where("label is not null").select("label").distinct().withColumn("key", tx.label_key(F.col("label")))
+    p = table(spark, d, "profiles_learned").select(tx.label_key(F.col("label")).alias("key"), "description", F.size("required_skills").alias("n"))
+    made = F.concat(F.lit("Role focused on "), F.lower(F.translate("label", "_-", "  ")), F.lit("."))
+    return want.join(extract.small(p), "key", "left").select("label", F.coalesce("description", made).alias("description"), F.coalesce("n", F.lit(1)).alias("n_required"))
+
+
+@query("""with b as (select resume_id, label, row_number() over (partition by label order by md5('42:' || resume_id), resume_id) rn, count(*) over (partition by label) n from resumes) select label, count(*) n, sum((rn <= round(n * 0.2))::int)::bigint n_test, min(case when rn <= round(n * 0.2) then resume_id end) first_test from b group by 1""")
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    """L13, W8."""
+    s = vectors.stratified_split(table(spark, d, "resumes").select("resume_id", "label"), "resume_id", "label")
+    test = F.col("split_name") == "test"
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(test, 1)).alias("n_test"), F.min(F.when(test, F.col("resume_id"))).alias("first_test"))
+
+
+@query("""with x as (select label, generate_subscripts(embedding, 1) i, unnest(embedding)::double v from embeddings), m as (select label, i, avg(v) v from x group by 1, 2)
+select a.label label_a, b.label label_b, round(sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))), 5) cosine from m a join m b on a.i = b.i and a.label < b.label group by 1, 2""")
+def centroid_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine between the mean vectors of all labels."""
+    m = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    a, b = m.select(F.col("label").alias("label_a"), "i", F.col("v").alias("va")), m.select(F.col("label").alias("label_b"), "i", F.col("v").alias("vb"))
+    p = a.join(b, "i").where("label_a < label_b").groupBy("label_a", "label_b")
+    return p.agg(F.round(F.sum(F.col("va") * F.col("vb")) / (F.sqrt(F.sum(F.col("va") * F.col("va"))) * F.sqrt(F.sum(F.col("vb") * F.col("vb")))), 5).alias("cosine"))
+
+
+@query(r"select resume_id, round(ln(1 + length(resume_text)), 6) log_length, len(regexp_extract_all(resume_text, '\S+')) n_words, len(regexp_extract_all(resume_text, '[0-9]+')) n_numbers from resumes where resume_text is not null")
+def structure_features(spark: SparkSession, d: str) -> DataFrame:
+    """M8, M9, L6."""
+    n = lambda p: F.size(F.regexp_extract_all("resume_text", F.lit(p), F.lit(0)))
+    return table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.round(F.log1p(F.length("resume_text")), 6).alias("log_length"), n(r"\S+").alias("n_words"), n("[0-9]+").alias("n_numbers"))
+
+
+# ---- sources, sinks and streams
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
+
+
+@query("select resume_id, resume_text, label from resumes")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """S3, S5, K1, K4."""
+    at = _place(spark, "jsonl")
+    files.write_jsonl(table(spark, d, "resumes").select("resume_id", "resume_text", "label"), at)
+    return files.read_jsonl(spark, at, "resume_id long, resume_text string, label string")
+
+
+@query("select req_id, resume_id, y_true, y_pred from predictions")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """S1, S4, K2."""
+    at = _place(spark, "csv")
+    files.write_csv(table(spark, d, "predictions").select("req_id", "resume_id", "y_true", "y_pred"), at)
+    return spark.read.schema("req_id long, resume_id long, y_true string, y_pred string").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+
+
+@query("select doc_kind cache_key, max(text) response from (select doc_kind, text, row_number() over (partition by doc_kind order by received_at desc, text desc) rn from documents where doc_kind is not null and text is not null and received_at is not null) where rn = 1 group by 1")
+def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The latest entry of every key."""
+    t = table(spark, d, "documents").where("doc_kind is not null and text is not null and received_at is not null").select(F.col("doc_kind").alias("cache_key"), F.col("text").alias("response"), F.col("received_at").alias("created_at"))
+    return files.cache_upsert(t.limit(0), t).select("cache_key", "response")
+
+
+@query("select event_type, count(*) n, count(distinct user_id) users from events group by 1")
+def event_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
