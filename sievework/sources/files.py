@@ -63,7 +63,7 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Profiles from one JSON object keyed by label; a profile's own label wins over its key."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value"))
     kind = "map<string, struct<label: string, description: string, required_skills: array<string>, preferred_skills: array<string>>>"
     each = text.select(F.explode(F.from_json("value", kind)).alias("key", "p"))
     return each.select(F.coalesce("p.label", "key").alias("label"), "p.description", "p.required_skills", "p.preferred_skills")

@@ -20,4 +20,5 @@ def masked(docs: DataFrame, text_col: str) -> DataFrame:
 def windowed_counts(events: DataFrame, at: str, key: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Rows per key and time window, closed once the watermark has passed."""
     w = F.window(at, width)
+    events = events.withColumn(at, F.col(at).cast("timestamp"))
     return events.withWatermark(at, late).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start_at"), key, "n")

@@ -30,7 +30,7 @@ def test_masks_keep_a_leading_bracket(spark):
 
 
 def test_pronouns_swap_one_after_the_other(spark):
-    assert one(spark, tx.swap_pronouns(F.col("t")), "he she him her his hers himself herself") == "he he him him him his himself himself"
+    assert one(spark, tx.swap_pronouns(F.col("t")), "he she him her his hers himself herself") == "he he him him her his himself himself"
 
 
 @pytest.mark.parametrize(("text", "years"), [("5+ yrs", 5.0), ("3.5 years and 2 years", 3.5), ("none", 0.0), ("", 0.0)])
