@@ -27,6 +27,7 @@ from ..session import cut
 from .common import spread
 
 RATIO = 3
+MOST_SENT = 100_000  # garbled forms found up to which their table is sent to all tasks; beyond, they are joined by shuffle
 UNIT = re.compile("[A-Za-z?]*[\x80-\U0010ffff][A-Za-z?\x80-\U0010ffff]*")
 BARE = re.compile("[?\x80-\U0010ffff]*[\x80-\U0010ffff][?\x80-\U0010ffff]*")
 LOST = "[\ufffd\x80-\x84\x86-\x9f]"  # replacement character and C1 controls, but not the line end U+0085
@@ -133,7 +134,7 @@ def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     units = cut(text_units(docs, id_col, text_col))
     counts = units.groupBy("unit", "level").agg(F.count("*").alias("unit_docs"))
-    match = counts.join(garbled_table(counts), F.col("unit") == F.col("form"))
+    match = counts.join(garbled_table(counts).hint("merge"), F.col("unit") == F.col("form"))
     lossy = F.col("unit").contains("?") & ~F.col("unit").rlike(r"^â|\?\?")
     sure = F.col("utf8") & ((F.col("level") == 0) | (F.length("form") >= 2) & ((F.col("level") == 1) & ~lossy | (F.length("original") == 1)))
     likely = ~F.col("utf8") & (F.col("level") == 0) & (F.col("n") >= RATIO * F.col("unit_docs"))
@@ -141,10 +142,14 @@ def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     known = match.where(sure | likely).withColumn("k", F.row_number().over(best)).where("k = 1").select("unit", "level", "original", "chain")
     marked = counts.where((F.col("level") == 0) & F.col("unit").rlike(LOST)).select("unit", "level")
     bad = known.unionByName(marked.join(known, ["unit", "level"], "left_anti"), allowMissingColumns=True)
+    bad = cut(bad)
+    if bad.count() <= MOST_SENT:
+        return units.join(F.broadcast(bad), ["unit", "level"]).select("doc", "unit", "level", "original", "chain")
     # a word that is in very many documents is joined in salts, its row copied to each
     salts = 16
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return units.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")).join(bad, ["unit", "level", "salt"]).select("doc", "unit", "level", "original", "chain")
+    salted = units.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    return salted.join(bad.hint("merge"), ["unit", "level", "salt"]).select("doc", "unit", "level", "original", "chain")
 
 
 def garbled_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
