@@ -3,8 +3,8 @@
 Each group's scores go into a histogram of ``BINS`` equal-width bins between its lowest and highest score. Walking down
 the bins until N items are reached gives a threshold that at least N items pass; rows below it leave
 before any row is sorted, and the survivors are ranked exactly. Only groups of more than ``LARGE`` items
-need a threshold; their rows are spread over ``SALTS`` salts, so a group with a third of all rows never
-meets its threshold in one task.
+need a threshold; where there are too many of them to send to all tasks, rows are spread over ``SALTS``
+salts, so a group with a third of all rows never meets its threshold in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BINS, LARGE, SALTS = 64, 256, 32
+MOST_SENT = 100_000  # large groups up to which their thresholds are sent to all tasks
 
 
 def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> DataFrame:
@@ -28,18 +29,27 @@ def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> D
     for g in group:
         live = live.where(F.col(g).isNotNull())
     best = live.groupBy(*group, "item").agg(F.max("score").alias("score"))
-    best = cut(best).withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    best = cut(best)
     finite = lambda c: F.least(F.greatest(c, F.lit(-1e300)), F.lit(1e300))
-    span = best.groupBy(*group).agg(F.count("*").alias("items"), F.min(finite(F.col("score"))).alias("lo"), F.max(finite(F.col("score"))).alias("hi")).where(F.col("items") > max(LARGE, n))
-    salts = span.select(*group, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    binned = best.join(salts, [*group, "salt"], "left").withColumn("bin", _bin(finite(F.col("score")), F.col("lo"), F.col("hi")))
-    histogram = binned.where("lo is not null").groupBy(*group, "bin").agg(F.count("*").alias("in_bin"))
-    down = Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    floor = histogram.withColumn("above", F.sum("in_bin").over(down)).where(F.col("above") >= n).groupBy(*group).agg(F.max("bin").alias("least_bin"))
-    floor = floor.select(*group, "least_bin", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    kept = binned.join(floor, [*group, "salt"], "left").where(F.col("least_bin").isNull() | (F.col("bin") >= F.col("least_bin")))
+    span = cut(best.groupBy(*group).agg(F.count("*").alias("items"), F.min(finite(F.col("score"))).alias("lo"), F.max(finite(F.col("score"))).alias("hi")).where(F.col("items") > max(LARGE, n)))
+    large = span.count()
+    if large:
+        binned = _meet(best, span.drop("items"), group, large).withColumn("bin", _bin(finite(F.col("score")), F.col("lo"), F.col("hi")))
+        histogram = binned.where("lo is not null").groupBy(*group, "bin").agg(F.count("*").alias("in_bin"))
+        down = Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        floor = histogram.withColumn("above", F.sum("in_bin").over(down)).where(F.col("above") >= n).groupBy(*group).agg(F.max("bin").alias("least_bin"))
+        best = _meet(binned, floor, group, large).where(F.col("least_bin").isNull() | (F.col("bin") >= F.col("least_bin")))
     w = Window.partitionBy(*group).orderBy(F.desc("score"), F.asc("item"))
-    return kept.select(*group, "item", "score").withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+    return best.select(*group, "item", "score").withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+
+
+def _meet(rows: DataFrame, large: DataFrame, group: list[str], count: int) -> DataFrame:
+    """``rows`` with the columns of their large group: sent to all tasks if few, else joined in salts of which each has a copy."""
+    if count <= MOST_SENT:
+        return rows.join(F.broadcast(large), group, "left")
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    return spread.join(salted.hint("merge"), [*group, "salt"], "left").drop("salt")
 
 
 def _bin(s: Column, lo: Column, hi: Column) -> Column:
