@@ -234,6 +234,7 @@ def map_values(cases: DataFrame, value: str, lexicon: DataFrame, frequency: Data
 
     ``lexicon`` holds ``canonical`` and ``aliases``, ``frequency`` ``(canonical, n)``. A null or blank value is unmatched.
     """
+    cases = cases.drop("meant")
     entries = lexicon.select("canonical", F.explode_outer("aliases").alias("alias")).limit(MOST_FORMS + 1).collect()
     if len(entries) > MOST_FORMS:
         raise ValueError(f"the reference list has more than {MOST_FORMS} forms")

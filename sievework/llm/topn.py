@@ -24,7 +24,8 @@ def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> D
     An item's score is its highest non-null, non-NaN one. Rows with a null in a group column, the item or the score
     are left out; smaller groups list all; an empty table gives no row. Infinite scores rank first or last.
     """
-    live = rows.select(*group, F.col(item).alias("item"), F.col(score).cast("double").alias("score"))
+    names, group = group, [f"_group{k}" for k in range(len(group))]
+    live = rows.select(*(F.col(n).alias(g) for n, g in zip(names, group, strict=True)), F.col(item).alias("item"), F.col(score).cast("double").alias("score"))
     live = live.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("item").isNotNull())
     for g in group:
         live = live.where(F.col(g).isNotNull())
@@ -40,7 +41,8 @@ def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> D
         floor = histogram.withColumn("above", F.sum("in_bin").over(down)).where(F.col("above") >= n).groupBy(*group).agg(F.max("bin").alias("least_bin"))
         best = _meet(binned, floor, group, large).where(F.col("least_bin").isNull() | (F.col("bin") >= F.col("least_bin")))
     w = Window.partitionBy(*group).orderBy(F.desc("score"), F.asc("item"))
-    return best.select(*group, "item", "score").withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+    out = best.select(*group, "item", "score").withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+    return out.select(*(F.col(g).alias(name) for g, name in zip(group, names, strict=True)), "item", "score", "rank_no")
 
 
 def _meet(rows: DataFrame, large: DataFrame, group: list[str], count: int) -> DataFrame:
@@ -65,9 +67,11 @@ def json_scores(rows: DataFrame, key: str, scores: str) -> DataFrame:
     Text that isn't one whole JSON object gives no row, nor does an entry that isn't a number. Labels
     are trimmed, upper-cased, with ``_`` read as ``-``.
     """
-    whole = F.try_parse_json(F.col(scores))
-    src = rows.select(F.col(key).alias("key"), whole.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    parsed = src.select("key", F.explode(F.expr("try_variant_get(v, '$', 'map<string,variant>')")).alias("label", "value"))
+    # the parser stops after one value; inside an array anything that follows the object is an error or a second element
+    text = F.trim(F.col(scores))
+    whole = F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    src = rows.select(F.col(key).alias("key"), whole.alias("v")).where(F.schema_of_variant("v").startswith("ARRAY<OBJECT") & F.expr("try_variant_get(v, '$[1]', 'variant') is null"))
+    parsed = src.select("key", F.explode(F.expr("try_variant_get(v, '$[0]', 'map<string,variant>')")).alias("label", "value"))
     kind = F.schema_of_variant("value")
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     label = F.translate(F.upper(F.trim("label")), "_", "-")
