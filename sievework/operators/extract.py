@@ -47,17 +47,25 @@ def lexicon_forms(lexicon: DataFrame) -> DataFrame:
     return forms.select(F.lower(F.trim("form")).alias("form"), "canonical", "category").where("form <> ''").distinct()
 
 
-def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, longest: int = 6) -> DataFrame:
+def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """``(id, canonical)`` of every lexicon entry that stands in a text as whole words.
 
-    Word n-grams of each text are joined with the forms, so the cost is that of the text, not text times lexicon.
+    Word n-grams of each text are joined with the forms, so the cost is that of the text, not text times lexicon. With
+    a lexicon of checked size only n-grams that begin with a form's first word are built.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), F.lit(0))
-    src = docs.select(F.col(id_col).alias("id"), words.alias("w")).where("size(w) > 0")
-    grams = F.flatten(F.array(*(F.expr(f"transform(sequence(1, greatest(size(w) - {n - 1}, 1)), i -> concat_ws(' ', slice(w, i, {n})))") for n in range(1, longest + 1))))
-    rows = src.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-    forms = lexicon_forms(lexicon).select(F.array_join(F.regexp_extract_all("form", F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), F.lit(0)), " ").alias("gram"), "canonical").distinct()
-    return rows.join(small(forms), "gram").select("id", "canonical").distinct()
+    split = lambda c: F.regexp_extract_all(c, F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), F.lit(0))
+    forms = lexicon_forms(lexicon).select(split(F.col("form")).alias("w"), "canonical").where("size(w) > 0")
+    src = docs.select(F.col(id_col).alias("id"), split(F.lower(F.col(text_col))).alias("w")).where("size(w) > 0")
+    longest = forms.agg(F.max(F.size("w"))).first()[0] or 1
+    first = forms.select(F.col("w")[0].alias("f")).distinct().limit(BROADCAST_ROWS + 1).collect()
+    at = F.sequence(F.lit(1), F.size("w"))
+    if len(first) <= BROADCAST_ROWS:
+        starts = [r["f"] for r in first]
+        at = F.filter(at, lambda i: F.element_at("w", i).isin(starts))
+    rows = src.select("id", "w", F.explode(at).alias("i"))
+    grams = rows.select("id", F.explode(F.array(*(F.when(F.col("i") + n - 1 <= F.size("w"), F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ")) for n in range(1, longest + 1)))).alias("gram")).where("gram is not null")
+    keyed = forms.select(F.array_join("w", " ").alias("gram"), "canonical").distinct()
+    return grams.join(small(keyed), "gram").select("id", "canonical").distinct()
 
 
 def first_phrase(matches: DataFrame, id_col: str, canonical: str, order: str) -> DataFrame:
