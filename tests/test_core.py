@@ -201,3 +201,10 @@ def test_queries_equal_their_sql(spark, name):
 def test_entry_imports_without_a_session():
     e = importlib.import_module("__spark_entry__")
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_characteristic_terms_by_hand(spark):
+    v = spark.createDataFrame([(1, "x", 1.0), (2, "x", 0.5), (2, "y", 0.5), (3, "y", 0.4)], "id long, term string, weight double")
+    labels = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "id long, label string")
+    got = {(r["label"], r["rank_no"]): (r["term"], r["score"]) for r in vectors.characteristic_terms(v, labels, 2).collect()}
+    assert got == {("A", 1): ("x", 0.75), ("A", 2): ("y", -0.15), ("B", 1): ("y", 0.15)}
