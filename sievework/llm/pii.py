@@ -1,29 +1,33 @@
 """Personal information inside free text: detection and typed placeholders.
 
 Addresses, numbers and e-mail addresses have a form of their own and are found by pattern. Names have not,
-so what reveals a person is estimated from the corpus: for every word, how often it stands beside a
-known family or given name, against all its occurrences. A word beside known names in more than the
-disclosure threshold of its occurrences, and beside several different ones, reveals a name itself; ordinary words
-that happen to be given names (their share beside family names is low) are no evidence for others. Two
-words in the shape of a full name that are both known or revealing are a name, and are removed.
-
-The counts cover all texts and are summed per task before they are shuffled.
+so what reveals a person is estimated from the corpus: for every word, in how many distinct contexts (it and the ``AROUND`` words
+on each side) it stands beside a known family or given name, against all its contexts; copies of a text add
+none. A word beside known names in more than the disclosure threshold of its contexts, and beside several
+different ones or in most of them, reveals a name itself; ordinary words that happen to be given names (their share
+beside family names is low) are no evidence for others. Two words in the shape of a full name that are both known
+or revealing are a name, and are removed; so is a listed given name with the capitalised word after it, once
+the pair stands behind a title or 'Name:'.
+
+The contexts cover all texts and are made distinct per batch before they are shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import spread
+from .common import M1, mix64, spread
 
-GIVEN_SHARE, FAMILY_SHARE, PURE_SHARE, RARE = 0.1, 0.25, 0.3, 5
+GIVEN_SHARE, FAMILY_SHARE, PURE_SHARE, ONE_PARTNER_SHARE = 0.1, 0.25, 0.3, 0.5
+AROUND = 5
 MOST_SENT = 500_000  # learned words up to which their table is sent to all tasks; beyond, they are joined by shuffle
 
 # fixed values: patterns of the kinds of personal data, street words of several languages, organisation forms
@@ -68,6 +72,7 @@ GAP = re.compile(r"[ \t\u00a0]+")
 COMMA = re.compile(r",[ \t\u00a0]+")
 PARTICLES = {"van", "von", "de", "der", "den", "da", "di", "du", "la", "le", "del", "al", "el", "bin", "ten", "ter"}
 INTRO = {"mr", "mrs", "ms", "dr", "prof", "name", "of", "vitae", "contact", "references", "reference", "was", "with", "to", "by"}
+TITLES = {"mr", "mrs", "ms", "dr", "prof"}
 FIRM = {"ltd", "gmbh", "group", "foods", "services", "supply", "systems", "partners", "clinic", "college", "institute", "studio", "trust", "union", "cooperative", "inc", "llc", "plc", "ag", "university", "school", "foundation", "works", "bank", "hospital"}
 
 
@@ -138,12 +143,39 @@ def _known(listed: set[str], w: str) -> bool:
     return w in listed or "-" in w and any(p in listed for p in w.split("-"))
 
 
-def count_evidence(total: Counter, ws: list[tuple[str, str, int, int]], kinds: list[int], given: frozenset[str], family: frozenset[str]) -> None:
-    """Adds ``(kind, word, other)``: each word ('all'), after a listed given name ('after') and before a listed family name ('before')."""
-    total.update([("all", w[1], "") for w in ws])
-    fam = [_known(family, w[1]) for w in ws]
-    giv = [_known(given, w[1]) for w in ws]
+def titled_family(ws: list[tuple[str, str, int, int]], kinds: list[int], k: int, given: frozenset[str]) -> int:
+    """Where the family name of a listed given name at ``k`` stands if a title or 'Name:' comes before it, else 0."""
+    if not k or not ws[k][0][0].isupper():
+        return 0
+    before = ws[k - 1][1]
+    if not (before in TITLES and kinds[k - 1] in (1, 3) or before == "name" and not kinds[k - 1]):
+        return 0
+    for at in range(k + 1, min(k + 5, len(ws))):
+        if not (kinds[at - 1] == 1 or kinds[at - 1] == 3 and len(ws[at - 1][1]) == 1) or not ws[at][0][0].isupper():
+            return 0
+        if len(ws[at][1]) > 2 and not _known(given, ws[at][1]):  # initials and further given names may stand between
+            return 0 if ws[at][1] in PARTICLES or kinds[at] == 1 and ws[at + 1][1] in FIRM or ws[at][1] in FIRM else at
+    return 0
+
+
+def evidence(ws: list[tuple[str, str, int, int]], kinds: list[int], given: frozenset[str], family: frozenset[str]) -> list[tuple[str, str, str, int]]:
+    """``(kind, word, other, place of the word)`` after a listed given name ('after'), before a listed family name ('before') and behind a titled given name ('titled').
+
+    'After' and 'Before' stand where a name may stand: both words capitalised, or the first behind an introducing word or mark.
+    """
+    out = []
+
+    def placed(kind: str, k: int, at: int) -> str:
+        caps = ws[k][0][0].isupper() and ws[at][0][0].isupper()
+        opened = ws[k][0].islower() and ws[at][0].islower() and (not k or ws[k - 1][1] in INTRO or kinds[k - 1] != 1)
+        return kind.capitalize() if caps or opened else kind
+
+    low = [w[1] for w in ws]
+    fam = [_known(family, w) for w in low]
+    giv = [_known(given, w) for w in low]
     for k, kind in enumerate(kinds):
+        if giv[k] and (at := titled_family(ws, kinds, k, given)):
+            out += [("titled", low[at], low[k], at), ("Before", low[k], low[at], k)]
         if kind == 1 or kind == 3:
             at = k + 1
             if kind == 3 or len(ws[at][0]) == 1:  # an initial may stand between
@@ -151,36 +183,47 @@ def count_evidence(total: Counter, ws: list[tuple[str, str, int, int]], kinds: l
                     continue
                 at += 1
             if giv[k] and not (ws[at][0].islower() and not ws[k][0].islower()):
-                total["after", ws[at][1], ws[k][1]] += 1
+                out.append((placed("after", k, at), low[at], low[k], at))
             if fam[at]:
-                total["before", ws[k][1], ws[at][1]] += 1
+                out.append((placed("before", k, at), low[k], low[at], k))
         elif kind == 2:
             if giv[k + 1]:
-                total["after", ws[k][1], ws[k + 1][1]] += 1
+                out.append((placed("after", k, k + 1), low[k], low[k + 1], k))
             if fam[k]:
-                total["before", ws[k + 1][1], ws[k][1]] += 1
+                out.append((placed("before", k, k + 1), low[k + 1], low[k], k + 1))
+    return out
+
 
+def context_hashes(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """One hash per word of the word and its ``AROUND`` neighbours on both sides; texts stand behind each other, with as many zeros before, between and after."""
+    h = np.concatenate([table[codes], np.zeros(AROUND, np.uint64)])
+    n = len(codes) - AROUND
+    out = np.zeros(len(codes), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(2 * AROUND + 1):
+            out[AROUND:] = mix64(out[AROUND:] * M1 + h[k : k + n])
+    return out.view(np.int64)
 
-def revealing_words(counts: DataFrame, given: frozenset[str], family: frozenset[str]) -> DataFrame:
-    """``(word, given_like, family_like, pure, total)`` of the words that disclose a name.
 
-    ``given_like``: beside family names in at least ``GIVEN_SHARE`` of the occurrences and beside two or more
+def revealing_words(evidence: DataFrame, total: DataFrame, given: frozenset[str]) -> DataFrame:
+    """``(word, given_like, family_like, pure)`` of the words that disclose a name.
+
+    ``evidence`` has distinct ``(kind, word, other, context)``, ``total`` the number of distinct contexts of a ``word``.
+
+    ``given_like``: beside family names in at least ``GIVEN_SHARE`` of the contexts and beside two or more
     of them. ``family_like``: after given names, themselves mostly used as names, in at least ``FAMILY_SHARE``.
+    Beside one name only, ``ONE_PARTNER_SHARE`` of the contexts must be places for names, and a listed given name is no
+    family name: 'rose garden' is always the same pair as well.
     """
-    total = counts.where("kind = 'all'").groupBy("word").agg(F.sum("n").alias("total"))
-    before = counts.where("kind = 'before'").groupBy("word").agg(F.sum("n").alias("near"), F.count("*").alias("kinds"))
-    givens = before.join(total, "word").withColumn("share", F.col("near") / F.col("total"))
+    named = F.countDistinct(F.when(F.initcap("kind") == F.col("kind"), F.col("context"))).alias("named")
+    near = lambda x: x.groupBy("word").agg(F.countDistinct("context").alias("near"), F.countDistinct("other").alias("kinds"), named).join(total, "word").withColumn("share", F.col("near") / F.col("total"))
+    enough = lambda share, one: (F.col("share") >= share) & (F.col("kinds") >= 2) | one & (F.col("named") / F.col("total") >= ONE_PARTNER_SHARE)
+    givens = near(evidence.where("lower(kind) = 'before'"))
     pure = givens.where((F.col("share") >= PURE_SHARE) & F.col("word").isin(*given)).select(F.col("word").alias("other"))  # at most the listed names
-    after = counts.where("kind = 'after'").join(F.broadcast(pure), "other").groupBy("word").agg(F.sum("n").alias("near"), F.count("*").alias("kinds"))
-    fams = after.join(total, "word").withColumn("share", F.col("near") / F.col("total"))
-    g = givens.where((F.col("share") >= GIVEN_SHARE) & (F.col("kinds") >= 2)).select("word", F.lit(True).alias("given_like"), (F.col("share") >= PURE_SHARE).alias("pure"))
-    f = fams.where((F.col("share") >= FAMILY_SHARE) & (F.col("kinds") >= 2)).select("word", F.lit(True).alias("family_like"))
-    # words seen a few times only, once beside a known name, have no other reading
-    few = lambda x: x.where((F.col("total") <= RARE) & (F.col("share") >= 0.5))
-    g = g.unionByName(few(givens).select("word", F.lit(True).alias("given_like"), F.lit(False).alias("pure")))
-    f = f.unionByName(few(fams).select("word", F.lit(True).alias("family_like")))
-    g = g.groupBy("word").agg(F.max("given_like").alias("given_like"), F.max("pure").alias("pure"))
-    return g.join(f.distinct(), "word", "full_outer").na.fill(False)
+    fams = near(evidence.where("lower(kind) = 'after'").join(F.broadcast(pure), "other"))
+    g = givens.where(enough(GIVEN_SHARE, F.lit(True))).select("word", F.lit(True).alias("given_like"), ((F.col("share") >= PURE_SHARE) & (F.col("kinds") >= 2)).alias("pure"))
+    f = fams.where(enough(FAMILY_SHARE, ~F.col("word").isin(*given))).select("word", F.lit(True).alias("family_like"))
+    return g.join(f, "word", "full_outer").na.fill(False)
 
 
 def name_candidates(ws: list[tuple[str, str, int, int]], kinds: list[int], given: frozenset[str], family: frozenset[str]) -> list[tuple[int, int, str, str, bool]]:
@@ -242,38 +285,55 @@ def find_pii(docs: DataFrame, names: DataFrame) -> DataFrame:
     texts = spread(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["source_table", "record_id", "pii_type", "start_at", "end_at", "given", "family", "sure"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        total: Counter[tuple[str, str, str]] = Counter()
+        names = ["source_table", "record_id", "pii_type", "start_at", "end_at", "given", "family", "sure", "contexts"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        def counted() -> pa.RecordBatch:
-            out = batch([(None, n, f"~{kind}", None, None, w, o, None) for (kind, w, o), n in total.items()])
-            total.clear()
-            return out
-
         for b in batches:
-            rows = []
+            rows, codes, near = [], [0] * AROUND, []
+            vocabulary: dict[str, int] = {"": 0}
             for s, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 spans = pattern_spans(t)
                 ws = words_of(t, spans)
                 gaps = gap_kinds(t, ws) if ws else []
-                count_evidence(total, ws, gaps, given, family)
-                rows += [(s, i, kind, a, e, None, None, True) for kind, a, e in spans if kind != "web"]
-                rows += [(s, i, "name", a, e, g, f, sure) for a, e, g, f, sure in name_candidates(ws, gaps, given, family)]
+                near += [(kind, w, o, len(codes) + at) for kind, w, o, at in evidence(ws, gaps, given, family)]
+                codes += [vocabulary.setdefault(w[1], len(vocabulary)) for w in ws] + [0] * AROUND
+                rows += [(s, i, kind, a, e, None, None, True, None) for kind, a, e in spans if kind != "web"]
+                rows += [(s, i, "name", a, e, g, f, sure, None) for a, e, g, f, sure in name_candidates(ws, gaps, given, family)]
+            code = np.array(codes)
+            table = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in vocabulary), np.uint64, len(vocabulary))
+            context = context_hashes(code, table)
+            about: dict[tuple[str, str, str], set[int]] = {}
+            for kind, w, o, at in near:
+                about.setdefault((kind, w, o), set()).add(int(context[at]))
+            rows += [(None, None, f"~{kind}", None, None, w, o, None, list(c)) for (kind, w, o), c in about.items()]
             yield batch(rows)
-            if len(total) > 300_000:
-                yield counted()
-        if total:
-            yield counted()
-
-    # one pass over the texts writes both the findings and each task's counts (rows whose type begins with ~)
-    spans = cut(texts.mapInArrow(run, "source_table string, record_id bigint, pii_type string, start_at bigint, end_at bigint, given string, family string, sure boolean"))
-    counts = spans.where("pii_type like '~%'").groupBy(F.substring("pii_type", 2, 9).alias("kind"), F.col("given").alias("word"), F.col("family").alias("other")).agg(F.sum("record_id").alias("n"))
-    learned = cut(revealing_words(cut(counts), given, family))
+            live = np.flatnonzero(code)
+            order = live[np.lexsort((context[live], code[live]))]
+            c, x = code[order], context[order]
+            first = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])][: len(c)]
+            c, x = c[first], x[first]
+            if len(c):
+                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                words = list(vocabulary)
+                n = len(starts)
+                none = lambda kind: pa.nulls(n, kind)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(c)].astype(np.int32)), pa.array(x))
+                yield pa.RecordBatch.from_arrays([none(kinds[0]), none(kinds[1]), pa.array(["~all"] * n), none(kinds[3]), none(kinds[4]), pa.array([words[k] for k in c[starts]]), pa.array([""] * n), none(kinds[7]), lists], names=names)
+
+    # one pass over the texts writes both the findings and each task's contexts (rows whose type begins with ~)
+    spans = cut(texts.mapInArrow(run, "source_table string, record_id bigint, pii_type string, start_at bigint, end_at bigint, given string, family string, sure boolean, contexts array<bigint>"))
+    noted = spans.where("pii_type like '~%'").select(F.substring("pii_type", 2, 9).alias("kind"), F.col("given").alias("word"), F.col("family").alias("other"), "contexts")
+    flat = lambda x, *by: x.select(*by, F.explode("contexts").alias("context")).distinct()
+    near = cut(flat(noted.where("kind <> 'all'"), "kind", "word", "other"))
+    asked = cut(near.select("word").distinct())  # only words beside a known name need their count
+    asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
+    total = flat(noted.where("kind = 'all'").join(asked, "word", "left_semi"), "word").groupBy("word").agg(F.count("*").alias("total"))
+    learned = cut(revealing_words(near, total, given))
+    titled = cut(near.where("kind = 'titled'").select(F.col("other").alias("given"), F.col("word").alias("family"), F.lit(True).alias("titled")).distinct())
     fixed = spans.where("pii_type <> 'name' and pii_type not like '~%'").select("source_table", "record_id", "pii_type", "start_at", "end_at")
     listed_g = F.col("given").isin(*given)
     listed_f = F.col("family").isin(*family)
@@ -281,8 +341,9 @@ def find_pii(docs: DataFrame, names: DataFrame) -> DataFrame:
     send = F.broadcast if small else (lambda x: x)
     g = learned.where("given_like").select(F.col("word").alias("given"), "pure", F.lit(True).alias("g_ok"))
     f = learned.where("family_like").select(F.col("word").alias("family"), F.lit(True).alias("f_ok"))
-    maybe = spans.where("pii_type = 'name'").join(send(g), "given", "left").join(send(f), "family", "left")
-    ok = F.col("sure") | ((listed_g | F.coalesce("g_ok", F.lit(False))) & (listed_f | F.coalesce("f_ok", F.lit(False))))
+    pairs = F.broadcast(titled) if titled.count() <= MOST_SENT else titled
+    maybe = spans.where("pii_type = 'name'").join(send(g), "given", "left").join(send(f), "family", "left").join(pairs, ["given", "family"], "left")
+    ok = F.col("sure") | F.coalesce("titled", F.lit(False)) | ((listed_g | F.coalesce("g_ok", F.lit(False))) & (listed_f | F.coalesce("f_ok", F.lit(False))))
     accepted = maybe.where(ok).groupBy("source_table", "record_id").agg(F.sort_array(F.collect_set(F.struct("start_at", "end_at"))).alias("at"))
     # of names that overlap the first and longest stays; the names of one text are few
     keep = F.expr("""aggregate(array_sort(at, (x, y) -> case when x.start_at < y.start_at then -1 when x.start_at > y.start_at then 1 when x.end_at > y.end_at then -1 when x.end_at < y.end_at then 1 else 0 end),

@@ -217,6 +217,16 @@ def test_names_are_learned_from_the_corpus(spark):
     assert masked[18] == "Dr. [NAME]" and masked[19] == "[NAME] and [EMAIL]" and masked[20] is None and masked[21] == "" and masked[7] == t[7]
 
 
+def test_copies_hide_no_name(spark):
+    # Zellmoor and Corrway are in no list; copies lower the share of Ann and Bea beside listed names and lift the others' counts
+    t = ["Ann Moxby led two people in this place", "Bea Moxby led two people", "Bea Quilton wrote it"] + [f"Dr. Ann Zellmoor, ledger clerk, kept {w} books" for w in ("ten", "six", "two", "old", "new", "odd", "few", "all")] + ["Supervisor was Bea Corrway; the contract ended"] * 12
+    t += [f"She {w} grant applications and a rose garden" for w in ("read", "wrote", "sent", "kept", "lost", "found")] * 2 + ["Ann Zellmoor Group", "Mr Will Power Ltd opened"]
+    docs = spark.createDataFrame([("r", i, x) for i, x in enumerate(t)], "source_table string, record_id long, text string")
+    names = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY], "person_name string, name_kind string")
+    got = {(r["record_id"], r["start_at"]) for r in pii.find_pii(docs, names).where("pii_type = 'name'").collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), *((i, 4) for i in range(3, 11)), *((i, 15) for i in range(11, 23))}
+
+
 # ---- 8 and 9 tokens and containers
 
 
