@@ -6,7 +6,9 @@ read as another, and code-page bytes read as UTF-8 with replacement characters.
 they come from make a table, which is joined with the words of each document by the form.
 
 A form counts as garbled if reading it back is the only sensible reading (a chain through UTF-8), or, for
-chains between two code pages, if the word it comes from stands in at least ``RATIO`` times as many documents.
+chains between two code pages, if its letters are less plausible than those of the word it comes from (a change of script
+or case inside the word, a symbol between letters), or, if both are alike, if that word stands in at least ``RATIO`` times
+as many distinct texts. A form more plausible than its supposed original never counts, however frequent either is.
 Beside whole words, the bare runs of non-ASCII characters and their 2 to 3 character parts are joined
 through the UTF-8 chains, which finds damage in words that the corpus has nowhere intact. Replacement characters and C1 controls have no clean
 reading; they mark a document even if no original is found.
@@ -85,13 +87,41 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
     return out
 
 
+@lru_cache(4096)
+def _kind(c: str) -> str:
+    """Script of a letter; 'symbol' of what doesn't stand inside a word, 'low' of opening low quotes, '' of other characters."""
+    if c in "ªº":
+        return "symbol"
+    if c.isalpha():
+        return unicodedata.name(c, "?").split(" ")[0].replace("MICRO", "GREEK")
+    if c in "‚„":
+        return "low"
+    return "symbol" if unicodedata.category(c) in ("So", "Sm", "Sc", "Sk", "No", "Po", "Pi", "Pf", "Ps", "Pe", "Cc") and c not in "'’‘·?" else ""
+
+
+def oddness(word: str) -> int:
+    """How many places of a word no clean word has: changes of script, capitals after small letters, small between capitals, symbols between letters."""
+    kinds = [_kind(c) for c in word]
+    letter = [k not in ("", "symbol", "low") for k in kinds]
+    n = max(0, len({k for k, is_letter in zip(kinds, letter, strict=True) if is_letter}) - 1)
+    for k, c in enumerate(word):
+        before, after = k > 0 and letter[k - 1], k + 1 < len(word) and letter[k + 1]
+        if letter[k]:
+            n += before and c.isupper() and word[k - 1].islower() and word[k - 1] != "ß"
+            n += before and after and c.islower() and c != "ß" and word[k - 1].isupper() and word[k + 1].isupper()
+        elif before and kinds[k]:
+            end = next((j for j in range(k, len(word)) if letter[j] or not kinds[j]), len(word))
+            n += kinds[k] == "low" or end < len(word) and letter[end]
+    return int(n)
+
+
 def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, unit, level)``: the distinct words (0), bare runs (1) and 2 to 3 character parts of bare runs (2) with a non-ASCII character of each text."""
+    """``(doc, text_key, unit, level)``: the distinct words (0), bare runs (1) and 2 to 3 character parts of bare runs (2) with a non-ASCII character of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, units, level = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, keys, units, level = [], [], [], []
+            for i, t, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not t or t.isascii():
                     continue
                 words = set(UNIT.findall(t))
@@ -102,29 +132,30 @@ def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 parts = {x for x in parts if not x.isalpha() and "?" not in x}
                 for kind, got in enumerate((words, runs - words, parts - runs - words)):
                     ids += [i] * len(got)
+                    keys += [key] * len(got)
                     units += got
                     level += [kind] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units, pa.string()), pa.array(level, pa.int32())], names=["doc", "unit", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(units, pa.string()), pa.array(level, pa.int32())], names=["doc", "text_key", "unit", "level"])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    return spread(src).mapInArrow(run, "doc bigint, unit string, level int")
+    return spread(src).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc bigint, text_key bigint, unit string, level int")
 
 
 def garbled_table(counts: DataFrame) -> DataFrame:
-    """``(form, original, chain, utf8, n)`` of every distinct clean word, bare run and character; ``n`` counts the documents that have it as a word."""
+    """``(form, original, chain, utf8, n, copies)`` of every distinct clean word, bare run and character; ``n`` counts the distinct texts that have it as a word, ``copies`` all documents, which settles ties only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(form, w, chain, utf8, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for form, (chain, utf8) in garbled_forms(w).items()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["form", "original", "chain", "utf8", "n"])
+            rows = [(form, w, chain, utf8, n, copies) for w, n, copies in zip(*(c.to_pylist() for c in b.columns), strict=True) for form, (chain, utf8) in garbled_forms(w).items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["form", "original", "chain", "utf8", "n", "copies"])
 
     seen = counts.where("level < 2").where(~F.col("unit").contains("?") & ~F.col("unit").rlike(LOST))
-    words = seen.select("unit", F.when(F.col("level") == 0, F.col("unit_docs")).otherwise(0).alias("n"))
-    chars = seen.select(F.explode(F.split("unit", "")).alias("unit"), F.lit(0).cast("bigint").alias("n")).where(F.col("unit") > "\x7f")
-    clean = words.unionByName(chars).groupBy("unit").agg(F.max("n").alias("n"))
-    return clean.mapInArrow(run, "form string, original string, chain string, utf8 boolean, n bigint")
+    words = seen.select("unit", *(F.when(F.col("level") == 0, F.col(c)).otherwise(0).alias(n) for c, n in (("unit_texts", "n"), ("unit_docs", "copies"))))
+    chars = seen.select(F.explode(F.split("unit", "")).alias("unit"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("copies")).where(F.col("unit") > "\x7f")
+    clean = words.unionByName(chars).groupBy("unit").agg(F.max("n").alias("n"), F.max("copies").alias("copies"))
+    return clean.mapInArrow(run, "form string, original string, chain string, utf8 boolean, n bigint, copies bigint")
 
 
 def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,13 +164,16 @@ def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null and ASCII texts give no row; each document gives a unit once; an empty table gives no row.
     """
     units = cut(text_units(docs, id_col, text_col))
-    counts = units.groupBy("unit", "level").agg(F.count("*").alias("unit_docs"))
+    counts = units.groupBy("unit", "level").agg(F.countDistinct("text_key").alias("unit_texts"), F.count("*").alias("unit_docs"))
     match = counts.join(garbled_table(counts).hint("merge"), F.col("unit") == F.col("form"))
     lossy = F.col("unit").contains("?") & ~F.col("unit").rlike(r"^â|\?\?")
     sure = F.col("utf8") & ((F.col("level") == 0) | (F.length("form") >= 2) & ((F.col("level") == 1) & ~lossy | (F.length("original") == 1)))
-    likely = ~F.col("utf8") & (F.col("level") == 0) & (F.col("n") >= RATIO * F.col("unit_docs"))
-    best = Window.partitionBy("unit", "level").orderBy(F.desc("n"), F.asc("original"), F.asc("chain"))
+    odd = F.udf(oddness, "int")
+    likely = ~F.col("utf8") & (F.col("level") == 0) & (F.col("n") > 0) & ((F.col("odd_form") > F.col("odd")) | (F.col("odd_form") == F.col("odd")) & (F.col("n") >= RATIO * F.col("unit_texts")))
+    best = Window.partitionBy("unit", "level").orderBy(F.desc(F.col("n") > 0), F.asc("odd"), F.desc("n"), F.desc("copies"), F.asc("original"), F.asc("chain"))
+    match = match.withColumn("odd", odd("original")).withColumn("odd_form", odd("form"))
     known = match.where(sure | likely).withColumn("k", F.row_number().over(best)).where("k = 1").select("unit", "level", "original", "chain")
+    known = cut(known)
     marked = counts.where((F.col("level") == 0) & F.col("unit").rlike(LOST)).select("unit", "level")
     bad = known.unionByName(marked.join(known, ["unit", "level"], "left_anti"), allowMissingColumns=True)
     bad = cut(bad)

@@ -298,6 +298,22 @@ def test_garbled(spark):
     assert mojibake.garbled_documents(df.limit(0), "unit", "text").count() == 0
 
 
+def test_frequent_damage_between_code_pages(spark):
+    clean = [f"un travail très utile, déjà prêt {w}" for w in ("ici", "hier", "demain")] + [f"cada año {w}" for w in ("bien", "mal", "hoy", "nunca")]
+    damaged = [f"un travail très utile, déjà prêt {w}".encode("cp1252").decode("cp850") for w in ("a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k")]  # more texts than clean ones
+    copies = ["un año bueno".encode("cp1252").decode("iso8859_2")] * 15
+    data = list(enumerate(clean + damaged * 2 + copies))
+    df = spark.createDataFrame(data, "id long, text string")
+    back = {r["id"]: r["restored_text"] for r in mojibake.restored_texts(df, "id", "text").collect()}
+    assert set(back) == set(range(len(clean), len(data)))
+    assert back[len(clean)] == "un travail très utile, déjà prêt a" and back[len(data) - 1] == "un año bueno"
+
+
+def test_oddness():
+    assert [mojibake.oddness(w) for w in ("très", "SÃO", "l’été", "Straße", "Опыт", "STRAßE", "naïve–déjà")] == [0] * 7
+    assert all(mojibake.oddness(w) > 0 for w in ("trÞs", "dÚjÓ", "a±o", "naяve", "нОШР", "d‚jà", "r‚sumé"))
+
+
 # ---- queries
 
 
