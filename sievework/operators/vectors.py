@@ -85,6 +85,44 @@ def lexicon_search(phrases: DataFrame, phrase: str, lexicon: DataFrame, k: int =
     return sims.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k)
 
 
+EXPERIENCE_NAMES = ["years", "years_capped_8", "role_count", "leadership", "impact", "quantified", "has_senior_experience"]
+SKILL_NAMES = ["n_raw", "n_normalized", "avg_confidence", "max_confidence"]
+STRUCTURE_NAMES = ["n_education", "n_experience", "n_certifications", "n_projects", "log_length"]
+
+
+def feature_names(labels: list[str], categories: list[str]) -> list[str]:
+    """Names of the places of ``feature_rows``."""
+    named = [("fit", labels), ("top_profile", labels), ("exp", EXPERIENCE_NAMES), ("skills", SKILL_NAMES), ("skill_cat", categories), ("struct", STRUCTURE_NAMES)]
+    return [f"{block}::{name}" for block, names in named for name in names]
+
+
+def feature_rows(docs: DataFrame, scores: DataFrame, experience: DataFrame, skills: DataFrame, extracted: DataFrame, labels: list[str], categories: list[str]) -> DataFrame:
+    """``(resume_id, features)`` of every row of ``docs`` (resume_id, log_length): fit per label out of 1, the first best label as one-hot, experience, skill, category and structure blocks.
+
+    ``labels`` and ``categories`` are small fixed lists in order. Repeated rows of ``extracted`` count once, null and blank elements don't; what is missing is 0.
+    """
+    fit = scores.groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("fit_score") / 100))).alias("fit"))
+    live = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
+    lists = extracted.groupBy("resume_id").agg(*(F.max(live(F.col(c))).alias(f"n_{c}") for c in ("skills_raw", "education", "experience", "certifications", "projects")))
+    by = skills.groupBy("resume_id", "category").agg(F.count("*").alias("n"), F.sum("confidence").alias("s"), F.max("confidence").alias("m"))
+    own = by.groupBy("resume_id").agg(
+        F.sum("n").alias("n_normalized"), (F.sum("s") / F.sum("n")).alias("avg_confidence"), F.max("m").alias("max_confidence"),
+        F.sum(F.when(F.col("category").isNotNull(), F.col("n"))).alias("n_named"), F.map_from_entries(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "n")))).alias("by_category"),
+    )
+    rows = docs.join(fit, "resume_id", "left").join(experience, "resume_id", "left").join(own, "resume_id", "left").join(lists, "resume_id", "left")
+    num = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(0.0))
+    rows = rows.withColumn("fits", F.array(*(num(F.col("fit")[label]) for label in labels)))
+    top = F.array_position("fits", F.array_max("fits"))
+    blocks = [
+        F.col("fits"), F.array(*((top == k + 1).cast("double") for k in range(len(labels)))),
+        F.array(num("total_years"), F.least(num("total_years"), F.lit(8.0)) / 8, num("role_count"), num("leadership_indicators"), num("impact_statements"), num("quantified_impact"), (num("total_years") >= 5).cast("double")),
+        F.array(num("n_skills_raw"), num("n_normalized"), num("avg_confidence"), num("max_confidence")),
+        F.array(*(num(F.col("by_category")[c] / F.col("n_named")) for c in categories)),
+        F.array(num("n_education"), num("n_experience"), num("n_certifications"), num("n_projects"), num("log_length")),
+    ]
+    return rows.select("resume_id", F.concat(*blocks).alias("features"))
+
+
 def cluster(rows: DataFrame, id_col: str, items_col: str, k: int | None = None, seed: int = 42) -> DataFrame:
     """``(id, cluster)`` by k-means over item incidence; ``k`` defaults to the root of the row count between 2 and 4."""
     from pyspark.ml.clustering import KMeans

@@ -315,7 +315,7 @@ def decision_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""select th threshold, count(*) n, round(avg((y_true = y_pred)::int), 6) accuracy, round(avg((fit_score >= th)::int), 6) selected from (select {SQL_LABEL.format('y_true')} y_true, {SQL_LABEL.format('y_pred')} y_pred, fit_score from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)), (select unnest([40.0, 50.0, 60.0, 70.0, 80.0]) th) where fit_score >= th - 20 group by 1""")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """A24, F11."""
+    """stored scores by five cut-offs; A24 is left out."""
     p = table(spark, d, "predictions").where("y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)")
     x = p.select((tx.label_key(F.col("y_true")) == tx.label_key(F.col("y_pred"))).cast("int").alias("ok"), "fit_score", F.explode(F.array(*(F.lit(v) for v in (40.0, 50.0, 60.0, 70.0, 80.0)))).alias("threshold")).where("fit_score >= threshold - 20")
     return x.groupBy("threshold").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg((F.col("fit_score") >= F.col("threshold")).cast("int")), 6).alias("selected"))
@@ -478,11 +478,20 @@ def centroid_cosines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"select resume_id, round(ln(1 + length(resume_text)), 6) log_length, len(regexp_extract_all(resume_text, '\S+')) n_words, len(regexp_extract_all(resume_text, '[0-9]+')) n_numbers from resumes where resume_text is not null")
 def structure_features(spark: SparkSession, d: str) -> DataFrame:
-    """M8, M9, L6."""
+    """log1p of the text length, as in M9, and counts of words and numbers; M8, M9 and L6 are in ``feature_matrix``."""
     n = lambda p: F.size(F.regexp_extract_all("resume_text", F.lit(p), F.lit(0)))
     return table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.round(F.log1p(F.length("resume_text")), 6).alias("log_length"), n(r"\S+").alias("n_words"), n("[0-9]+").alias("n_numbers"))
 
 
+@query()
+def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """``(resume_id, features)`` of every resume with a text, in the order of ``vectors.feature_names``."""
+    docs = table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.log1p(F.length("resume_text")).alias("log_length"))
+    labels = [r[0] for r in table(spark, d, "profiles_learned").select("label").distinct().orderBy("label").collect()]  # fixed tables
+    categories = [r[0] for r in table(spark, d, "lexicon").where("category is not null").select("category").distinct().orderBy("category").collect()]
+    return vectors.feature_rows(docs, _score(spark, d), experience(spark, d), canonical_skills(spark, d), table(spark, d, "extracted"), labels, categories)
+
+
 # ---- sources, sinks and streams
 
 

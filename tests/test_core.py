@@ -208,3 +208,17 @@ def test_characteristic_terms_by_hand(spark):
     labels = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "id long, label string")
     got = {(r["label"], r["rank_no"]): (r["term"], r["score"]) for r in vectors.characteristic_terms(v, labels, 2).collect()}
     assert got == {("A", 1): ("x", 0.75), ("A", 2): ("y", -0.15), ("B", 1): ("y", 0.15)}
+
+
+def test_feature_rows(spark):
+    made = lambda data, schema: spark.createDataFrame(data, schema)
+    docs = made([(1, 3.0), (2, 1.0)], "resume_id long, log_length double")
+    scores = made([(1, "B", 80.0), (1, "A", 80.0), (2, "A", 5.0), (2, "B", 7.5)], "resume_id long, label string, fit_score double")
+    exp = made([(1, 12.0, 1, 2, 3, 4)], "resume_id long, total_years double, role_count int, leadership_indicators int, impact_statements int, quantified_impact int")
+    skills = made([(1, "x", "c1", 0.5), (1, "y", "c1", 0.9), (1, "z", "c2", 0.7), (1, "q", None, 0.9)], "resume_id long, canonical string, category string, confidence double")
+    row = (1, ["s", " ", None, "t"], ["e"], ["f", "g"], None, ["p", "p"])
+    ext = made([row, row], "resume_id long, skills_raw array<string>, education array<string>, experience array<string>, certifications array<string>, projects array<string>")
+    got = {r["resume_id"]: r["features"] for r in vectors.feature_rows(docs, scores, exp, skills, ext, ["A", "B"], ["c1", "c2", "c3"]).collect()}
+    assert got[1] == pytest.approx([0.8, 0.8, 1, 0, 12, 1, 1, 2, 3, 4, 1, 2, 4, 0.75, 0.9, 2 / 3, 1 / 3, 0, 1, 2, 0, 2, 3])
+    assert got[2] == pytest.approx([0.05, 0.075, 0, 1] + [0] * 18 + [1])
+    assert len(vectors.feature_names(["A", "B"], ["c1", "c2", "c3"])) == len(got[1]) == 23
