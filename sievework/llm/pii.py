@@ -278,7 +278,9 @@ def find_pii(docs: DataFrame, names: DataFrame) -> DataFrame:
     ``docs`` holds ``(source_table, record_id, text)``, ``names`` ``(person_name, name_kind)``, a fixed list.
     Null or empty texts and null ids give no row; positions count code points; an empty table gives no row.
     """
-    listed = names.where("person_name is not null").limit(MOST_SENT).collect()
+    listed = names.where("person_name is not null").limit(MOST_SENT + 1).collect()
+    if len(listed) > MOST_SENT:
+        raise ValueError(f"the name list has more than {MOST_SENT} names")
     given = frozenset(r["person_name"].lower().replace("’", "'") for r in listed if r["name_kind"] == "given")
     family = frozenset(r["person_name"].lower().replace("’", "'") for r in listed if r["name_kind"] == "family")
     texts = docs.where("text <> '' and record_id is not null").select("source_table", F.col("record_id").cast("bigint").alias("record_id"), "text")

@@ -227,6 +227,14 @@ def test_copies_hide_no_name(spark):
     assert got == {(0, 0), (1, 0), (2, 0), *((i, 4) for i in range(3, 11)), *((i, 15) for i in range(11, 23))}
 
 
+def test_a_name_list_beyond_its_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_SENT", 2)
+    docs = spark.createDataFrame([("r", 1, "Ann Moxby")], "source_table string, record_id long, text string")
+    names = spark.createDataFrame([("Ann", "given"), ("Moxby", "family"), ("Bea", "given")], "person_name string, name_kind string")
+    with pytest.raises(ValueError, match="name list"):
+        pii.find_pii(docs, names)
+
+
 # ---- 8 and 9 tokens and containers
 
 
