@@ -20,9 +20,9 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, bigrams: bool = Fal
     return w.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(counts: DataFrame, n_docs: int, min_df: int = 2, sublinear: bool = False) -> DataFrame:
-    """``(id, term, weight)``, each document of unit length; smooth idf ``ln((1 + n) / (1 + df)) + 1``, rare terms left out."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+def tfidf(counts: DataFrame, n_docs: int, min_df: int = 2, sublinear: bool = False, max_df: float = 1.0) -> DataFrame:
+    """``(id, term, weight)``, each document of unit length; smooth idf ``ln((1 + n) / (1 + df)) + 1``, terms of under ``min_df`` documents or over ``max_df`` of them left out."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
     raw = counts.join(df, "term").select("id", "term", (tf * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -45,15 +45,19 @@ def nearest_centroid(vectors: DataFrame, cents: DataFrame) -> DataFrame:
     return sims.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", "label", "similarity")
 
 
-def characteristic_terms(vectors: DataFrame, labels: DataFrame, k: int = 8) -> DataFrame:
-    """``(label, term, score, rank_no)``: terms whose mean weight inside a label most exceeds the mean outside, all labels in one pass."""
-    n = labels.groupBy("label").agg(F.count("*").alias("n"))
+def characteristic_terms(vectors: DataFrame, labels: DataFrame, k: int = 8, least_docs: int = 1, shape: str = "") -> DataFrame:
+    """``(label, term, score, rank_no)``: terms whose mean weight inside a label most exceeds the mean outside, all labels in one pass.
+
+    Labels of under ``least_docs`` documents have none; of the best ``3 * k`` terms those that match ``shape`` stay.
+    """
+    n = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
     all_n = labels.agg(F.count("*").alias("all_n"))
     inside = vectors.join(labels, "id").groupBy("label", "term").agg(F.sum("weight").alias("s_in"))
     whole = inside.groupBy("term").agg(F.sum("s_in").alias("s_all"))
     out = inside.join(whole, "term").join(small(n), "label").join(small(all_n))
     out = out.withColumn("score", F.round(F.col("s_in") / F.col("n") - (F.col("s_all") - F.col("s_in")) / F.greatest(F.col("all_n") - F.col("n"), F.lit(1)), 6))
     w = Window.partitionBy("label").orderBy(F.desc("score"), F.asc("term"))
+    out = out.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= 3 * k).where(F.col("term").rlike(shape))
     return out.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k).select("label", "term", "score", "rank_no")
 
 

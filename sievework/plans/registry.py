@@ -401,7 +401,7 @@ vec as (select id, term, w / sqrt(sum(w * w) over (partition by id)) w from raw)
 sims as (select v.id, c.label, sum(v.w * c.w) / any_value(nrm) s from vec v join cent c using (term) join cn on cn.label = c.label group by 1, 2),
 r as (select *, row_number() over (partition by id order by round(s, 9) desc, label) rn from sims) select id, label, round(s, 5) similarity from r where rn = 1""")
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """L1, L2, A9, T2."""
+    """By single words; with word pairs as in L1 in ``nearest_centroid_pairs``."""
     docs = _labelled(spark, d)
     counts = cut(vectors.term_counts(docs, "id", "text"))
     vec = cut(vectors.tfidf(counts, docs.count()))
@@ -409,12 +409,21 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 5))
 
 
+@query()
+def nearest_centroid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """L1, L2: by words and pairs of adjacent words."""
+    docs = _labelled(spark, d)
+    vec = cut(vectors.tfidf(cut(vectors.term_counts(docs, "id", "text", bigrams=True)), docs.count()))
+    out = vectors.nearest_centroid(vec, cut(vectors.centroids(vec, docs.select("id", "label"))))
+    return out.withColumn("similarity", F.round("similarity", 5))
+
+
 @query()
 def characteristic_terms(spark: SparkSession, d: str) -> DataFrame:
-    """A10, T4."""
+    """A10, F10, T4."""
     docs = _labelled(spark, d)
-    vec = cut(vectors.tfidf(vectors.term_counts(docs, "id", "text", bigrams=True), docs.count(), 3, sublinear=True))
-    return vectors.characteristic_terms(vec, docs.select("id", "label"))
+    vec = cut(vectors.tfidf(vectors.term_counts(docs, "id", "text", bigrams=True), docs.count(), 3, sublinear=True, max_df=0.6))
+    return vectors.characteristic_terms(vec, docs.select("id", "label"), least_docs=2, shape=r"^(?i)[a-z][a-z\-+#]+(?: [a-z][a-z\-+#]+){0,2}$")
 
 
 def _skill_lists(spark: SparkSession, d: str) -> DataFrame:

@@ -222,3 +222,12 @@ def test_feature_rows(spark):
     assert got[1] == pytest.approx([0.8, 0.8, 1, 0, 12, 1, 1, 2, 3, 4, 1, 2, 4, 0.75, 0.9, 2 / 3, 1 / 3, 0, 1, 2, 0, 2, 3])
     assert got[2] == pytest.approx([0.05, 0.075, 0, 1] + [0] * 18 + [1])
     assert len(vectors.feature_names(["A", "B"], ["c1", "c2", "c3"])) == len(got[1]) == 23
+
+
+def test_characteristic_terms_leave_out_numbers_and_lone_documents(spark):
+    v = spark.createDataFrame([(1, "2019", 1.0), (1, "soil", 0.5), (2, "soil", 0.5), (2, "x", 0.9), (3, "late", 0.4)], "id long, term string, weight double")
+    labels = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "id long, label string")
+    got = [(r["label"], r["term"], r["rank_no"]) for r in vectors.characteristic_terms(v, labels, 2, least_docs=2, shape="^[a-z][a-z]+$").collect()]
+    assert got == [("A", "soil", 1)]
+    counts = spark.createDataFrame([(i, "all", 1) for i in range(4)] + [(0, "few", 1), (1, "few", 1)], "id long, term string, tf long")
+    assert {r["term"] for r in vectors.tfidf(counts, 4, 1, max_df=0.6).collect()} == {"few"}
