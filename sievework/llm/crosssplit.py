@@ -1,108 +1,36 @@
 """Same or near-same records across splits: exact prefix-filter bipartite join.
 
-A first pass over all texts counts shingles in a table of ``2**20`` hash buckets (4 MB, whatever the
-data), which orders shingles from rare to common. Two sets of Jaccard similarity ``t`` or more must
-share one of their ``n - ceil(t*n) + 1`` rarest shingles, so only those are indexed (evaluation side)
-and probed (training side). The join keeps a match only if the sizes, the positions and the parity
-sketches of the two sets still allow the threshold; all three filters are exact. The rest is verified.
-
-Equal sets are one class per side, so exact copies cost nothing. A shingle whose bucket counts more
-than ``HOT`` texts is salted: training postings pick a salt, evaluation postings are copied to all.
+The rarest shingles of each evaluation text are indexed and probed with those of the training texts; a match is kept
+only if the sizes, the positions and the parity sketches of the two sets still allow the threshold, all
+three exact (``prefix``). The rest is verified on the whole sets. Equal sets are one class per side, so exact
+copies cost nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .common import mix64, parity_sketch, set_keys, shingle_batch, spread
-from .neardup import verified
-
-BUCKETS, HOT, BITS = 1 << 20, 4096, 256
-
-
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, min_words: int) -> np.ndarray:
-    """How many texts hold a shingle of each hash bucket, over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            doc, sh = shingle_batch(b.column(0).to_pylist(), width, min_words)
-            if len(doc):
-                counts += np.bincount((sh % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        for lo in range(0, len(at), 1 << 17):
-            part = at[lo : lo + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    rows = spread(src).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
-    table = np.zeros(BUCKETS, np.int64)
-    table[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
-
-
-def prefix_rows(docs: DataFrame, id_col: str, text_col: str, side_col: str, table, threshold: float, width: int, min_words: int) -> DataFrame:
-    """``(id, key, side, size, sketch, prefix)`` with the rarest shingles of each text as structs ``(shingle, pos, salts)``."""
+from .common import member_pairs
+from .prefix import candidate_classes, verified
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = table.value
-        for b in batches:
-            doc, sh = shingle_batch(b.column(1).to_pylist(), width, min_words)
-            if not len(doc):
-                continue
-            starts, sizes, key = set_keys(doc, sh)
-            df = counts[(sh % np.uint64(BUCKETS)).astype(np.int64)]
-            order = np.lexsort((sh, df, doc))
-            pos = np.arange(len(sh)) - np.repeat(starts, sizes)
-            length = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            keep = pos < np.repeat(length, sizes)
-            rare, rare_df, rare_pos = sh[order][keep], df[order][keep], pos[keep]
-            entry = pa.StructArray.from_arrays([pa.array(rare.view(np.int64)), pa.array(rare_pos.astype(np.int32)), pa.array((rare_df // HOT + 1).astype(np.int32))], names=["shingle", "pos", "salts"])
-            offsets = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
-            sketch = parity_sketch(doc, sh, starts, BITS)
-            at = pa.array(doc[starts])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(key.view(np.int64)), b.column(2).take(at), pa.array(sizes.astype(np.int32)), *(pa.array(sketch[:, w].copy().view(np.int64)) for w in range(BITS // 64)), pa.ListArray.from_arrays(offsets, entry)], names=["id", "key", "side", "size", *(f"s{w}" for w in range(BITS // 64)), "prefix"])
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(side_col).alias("side")).where("id is not null and text is not null and side is not null")
-    words = ", ".join(f"s{w} bigint" for w in range(BITS // 64))
-    return spread(src).mapInArrow(run, f"id bigint, key bigint, side string, size int, {words}, prefix array<struct<shingle: bigint, pos: int, salts: int>>")
+def within(x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` have at most ``radius`` set bits."""
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int32) <= radius
 
 
 def overlap_classes(docs: DataFrame, id_col: str, text_col: str, side_col: str, threshold: float = 0.8, width: int = 5, min_words: int = 20) -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: members ``(id, key, side)`` with ``side`` 'train' or 'eval', pairs of an evaluation class ``key_a`` and a training class ``key_b``.
+    """``(members, pairs)``: members ``(id, key, side)`` with ``side`` 0 (evaluation) or 1 (training), pairs of an evaluation class ``key_a`` and a training class ``key_b``.
 
     Rows with a null id, text or side and texts of fewer than ``min_words`` words take no part; an empty table gives two empty results.
     """
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(shingle_table(docs, id_col, text_col, width, min_words))
-    rows = cut(prefix_rows(docs, id_col, text_col, side_col, table, threshold, width, min_words))
-    members = rows.select("id", "key", "side")
-    words = [f"s{w}" for w in range(BITS // 64)]
-    one = rows.drop("id").dropDuplicates(["side", "key"])
-    post = one.select("side", "key", "size", *words, F.explode("prefix").alias("p")).select("side", "key", "size", *words, "p.*")
-    index = post.where("side = 'eval'").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    probe = post.where("side = 'train'").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("i.size") + F.col("p.size")) - 1e-9)
-    ratio = (1 - threshold) / (1 + threshold)
-    distance = sum((F.bit_count(F.col(f"i.{w}").bitwiseXOR(F.col(f"p.{w}"))) for w in words), F.lit(0))
-    fits = (
-        (F.col("i.shingle") == F.col("p.shingle")) & (F.col("i.salt") == F.col("p.salt"))
-        & (F.col("i.size") >= F.col("p.size") * threshold - 1e-9) & (F.col("p.size") >= F.col("i.size") * threshold - 1e-9)
-        & (F.least(F.col("i.size") - F.col("i.pos"), F.col("p.size") - F.col("p.pos")) >= need)
-        & (distance <= (F.col("i.size") + F.col("p.size")) * ratio + 1e-9)
-    )
-    found = cut(index.alias("i").join(probe.alias("p"), fits).select(F.col("i.key").alias("key_a"), F.col("p.key").alias("key_b")).distinct())
-    one_text = members.select("id", "key")
+    members, found = candidate_classes(docs, id_col, text_col, F.col(side_col), threshold, width, min_words, within)
     # equal sets on both sides need no check
     same = found.where("key_a = key_b").select("key_a", "key_b", F.lit(None).cast("int").alias("shared"), F.lit(1.0).alias("jaccard"))
-    near = verified(found.where("key_a <> key_b"), docs, one_text, id_col, text_col, threshold, width, min_words)
-    return members, same.unionByName(near)
+    near = verified(found.where("key_a <> key_b"), docs, members, id_col, text_col, threshold, width, min_words)
+    return members.select("id", "key", "side"), same.unionByName(near)
 
 
 def cross_split_pairs(docs: DataFrame, id_col: str, text_col: str, split_col: str, source_col: str, eval_splits: tuple[str, ...] = ("dev", "test"), train_split: str = "train", **kw) -> DataFrame:
@@ -110,11 +38,9 @@ def cross_split_pairs(docs: DataFrame, id_col: str, text_col: str, split_col: st
 
     ``split`` must be folded already; other or null splits take no part. A null source stays null.
     """
-    side = F.when(F.col(split_col) == train_split, "train").when(F.col(split_col).isin(*eval_splits), "eval")
+    side = F.when(F.col(split_col) == train_split, 1).when(F.col(split_col).isin(*eval_splits), 0)
     sided = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text"), side.alias("side"), F.col(split_col).alias("split"), F.col(source_col).alias("source"))
     members, pairs = overlap_classes(sided, "rid", "text", "side", **kw)
-    ev = members.where("side = 'eval'").select(F.col("key").alias("key_a"), F.col("id").alias("eval_id"))
-    tr = members.where("side = 'train'").select(F.col("key").alias("key_b"), F.col("id").alias("train_id"))
-    ids = pairs.select("key_a", "key_b").join(ev, "key_a").join(tr, "key_b").select("eval_id", "train_id")
-    info = sided.where("side = 'eval'").select(F.col("rid").alias("eval_id"), "split", "source")
-    return ids.join(info, "eval_id").select("split", "source", "eval_id", "train_id").distinct()
+    ids = member_pairs(pairs, members.where("side = 0"), members.where("side = 1"))
+    info = sided.where("side = 0").select(F.col("rid").alias("a"), "split", "source")
+    return ids.join(info, "a").select("split", "source", F.col("a").alias("eval_id"), F.col("b").alias("train_id")).distinct()

@@ -51,6 +51,12 @@ _P4 = f"""with {_bigrams('label')}
 meet as (select x.resume_id a, y.resume_id b, any_value(x.n) na, any_value(y.n) nb, count(*) c from flat x join flat y on x.g = y.g and x.resume_id < y.resume_id group by 1, 2)
 select a resume_id_a, b resume_id_b from meet where 5 * c >= 3 * (na + nb - c)"""
 
+_P4_ROWS = f"""with {_bigrams('label')}
+classes as (select resume_id, min(resume_id) over (partition by list_sort(s)) class_id, count(*) over (partition by list_sort(s)) copies from sets),
+near as (select a, b from (select x.resume_id a, y.resume_id b, any_value(x.n) na, any_value(y.n) nb, count(*) c from flat x join flat y on x.g = y.g and x.resume_id <> y.resume_id group by 1, 2) where 5 * c >= 3 * (na + nb - c)),
+linked as (select x.class_id, count(distinct y.class_id) links from near join classes x on x.resume_id = a join classes y on y.resume_id = b where x.class_id <> y.class_id group by 1)
+select resume_id, class_id, copies, coalesce(links, 0) links from classes left join linked using (class_id)"""
+
 _P6 = f"""with {_bigrams(FOLD.format('split') + ' sp, source')}
 sided as (select f.*, sp, source from flat f join sets using (resume_id) where sp in ('train', 'dev', 'test')),
 meet as (select x.resume_id e, y.resume_id t, any_value(x.sp) split, any_value(x.source) source, any_value(x.n) na, any_value(y.n) nb, count(*) c
@@ -63,6 +69,7 @@ ORACLE: dict[str, str] = {
     "p2_counts": _P2,
     "p2_found": f"select field_name, term, verdict from ({_P2}) where verdict <> 'useful'",
     "p4_found": _P4,
+    "p4_classes": _P4_ROWS,
     "p5_found": _P5,
     "p6_found": f"select split, source, resume_id_a, resume_id_b from ({_P6})",
     "p6_report": f"select split, source, count(distinct e) eval_records, count(*) pairs from ({_P6}) group by 1, 2",
