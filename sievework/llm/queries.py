@@ -43,11 +43,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     lexicon = table(spark, d, "lexicon")
     matches, extracted = table(spark, d, "skill_matches"), table(spark, d, "extracted")
     frequency = matches.groupBy(fold(F.col("canonical_skill")).alias("canonical")).agg(F.count("*").alias("n")).where("canonical is not null")
-    # the lexicon is a fixed table; map_values checks its size as well
-    forms = [r[0] for r in lexicon.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array())))).limit(canon.MOST_FORMS).select(fold(F.col("col"))).collect() if r[0]]
+    forms = lexicon.select(F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array())))).select(fold(F.col("col")).alias("value")).where("value <> ''").distinct()
     phrase = matches.where("canonical_skill is null").select(F.lit("phrase").alias("field_name"), "resume_id", F.col("pos").cast("bigint").alias("pos"), fold(F.col("phrase")).alias("value"))
     raw = extracted.select(F.lit("skills_raw").alias("field_name"), "resume_id", F.posexplode("skills_raw").alias("pos", "value"))
-    raw = raw.select("field_name", "resume_id", F.col("pos").cast("bigint").alias("pos"), fold(F.col("value")).alias("value")).where(~F.col("value").isin(forms))
+    raw = raw.select("field_name", "resume_id", F.col("pos").cast("bigint").alias("pos"), fold(F.col("value")).alias("value"))
+    raw = raw.join(forms, "value", "left_anti").select(phrase.columns)
     cases = phrase.unionByName(raw).where("value <> ''")
     out = canon.map_values(cases, "value", lexicon, frequency)
     return out.select("field_name", "resume_id", "pos", F.col("meant").alias("canonical_skill")).distinct()
@@ -61,6 +61,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id_a").alias("resume_id_a"), F.col("id_b").alias("resume_id_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per resume of enough words: its class of equal texts, the class's size and its links to other classes."""
+    out = neardup.near_duplicate_rows(table(spark, d, "resumes"), "resume_id", "resume_text", **P4)
+    return out.withColumnRenamed("id", "resume_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "predictions")
     labels = topn.top_n(topn.json_scores(p, "resume_id", "scores"), ["key"], "label", "score", 3)
@@ -117,4 +123,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p3_found, p4_found, p5_found, p6_found, p6_report, p7_found, p7_masked, p8_ids, p9_pack, p10_found, p10_restored)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_lift, p2_found, p2_counts, p3_found, p4_found, p4_classes, p5_found, p6_found, p6_report, p7_found, p7_masked, p8_ids, p9_pack, p10_found, p10_restored)}

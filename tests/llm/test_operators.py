@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, permutations
 
 import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sievework.llm import canon, common, cooccur, crosssplit, mojibake, neardup, packing, pii, termfreq, tokenise, topn
+from sievework.llm import canon, common, cooccur, crosssplit, mojibake, neardup, packing, pii, prefix, termfreq, tokenise, topn
 from sievework.llm.oracle import ORACLE
 from sievework.llm.queries import QUERIES
 
@@ -80,7 +82,8 @@ def test_verdicts(spark):
 
 # ---- 3 values to a reference list
 
-LEX = [("client communication", ["customer communication"]), ("vital signs monitoring", ["vitals"]), ("pastry lamination", []), ("golang", ["go language"]), ("record linkage", []), ("harvester operation", ["combine operation"])]
+LEX = [("client communication", ["customer communication"]), ("vital signs monitoring", ["vitals"]), ("pastry lamination", []), ("golang", ["go language"]), ("record linkage", []), ("harvester operation", ["combine operation"]),
+       ("elektroenzephalographieauswertung management", []), ("international financial reporting standards implementation", []), ("one two three four five six seven eight nine", None)]
 
 
 @pytest.mark.parametrize(
@@ -88,11 +91,14 @@ LEX = [("client communication", ["customer communication"]), ("vital signs monit
     [
         ("ckient comunication", "client communication"), ("communication of client", "client communication"), ("clientcommunication", "client communication"), ("client comm.", "client communication"),
         ("8 years of customer communication (certified)", "client communication"), ("ｖｉｔａｌｓ", "vital signs monitoring"), ("gö language", "golang"), ("linkage record", "record linkage"), ("combine op", "harvester operation"),
+        # long words, many words and long forms are treated like short ones
+        ("management elektroenzephalographieauswertumg", "elektroenzephalographieauswertung management"), ("internationalfinancialreportingstandardsimplementatoin", "international financial reporting standards implementation"),
+        ("one two three four five six seven nine eigth", "one two three four five six seven eight nine"), ("one two three four five six seven eight eight", None),
         ("lamination poetry", None), ("linkage jokes", None), ("see above", None), ("???", None), ("x" * 5000, None), ("2 dogs", None),
     ],
 )
 def test_meaning(value, meant):
-    m = canon.Matcher([(c, c) for c, _ in LEX] + [(a, c) for c, al in LEX for a in al], {})
+    m = canon.Matcher([(c, c) for c, _ in LEX] + [(a, c) for c, al in LEX for a in al or []], {})
     assert m(value) == meant
 
 
@@ -103,6 +109,63 @@ def test_values_with_nulls(spark):
     assert sorted(r["meant"] for r in canon.map_values(cases, "value", lex, freq).collect()) == ["unmatched", "unmatched", "vital signs monitoring"]
 
 
+class Exhaustive(canon.Matcher):
+    """The same rules without any dictionary: every word and every form is compared."""
+
+    def words_within(self, w):
+        return set(self.with_word)
+
+    def forms_within(self, joined):
+        return set(range(len(self.forms)))
+
+
+def naive_edits(a, b):
+    """Damerau-Levenshtein distance in edits alone, whole table."""
+    t = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                t[i][j] = min(t[i][j], t[i - 2][j - 2] + 1)
+    return t[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7), st.integers(1, 2))
+def test_edit_bound(a, b, most):
+    got, edits = canon.edit_cost(a, b, most), naive_edits(a, b)
+    assert got is not None if edits <= most else got is None or most == 2 and len(a) + 1 == len(b) and edits == 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.one_of(st.none(), st.integers(0, 9)), min_size=n, max_size=n), min_size=n, max_size=n)))
+def test_least_assignment(cost):
+    n = len(cost)
+    all_ways = [sum(cost[i][p[i]] for i in range(n)) for p in permutations(range(n)) if all(cost[i][p[i]] is not None for i in range(n))]
+    got = canon.least_assignment(cost)
+    assert got == (pytest.approx(min(all_ways)) if all_ways else None)
+
+
+def test_dictionary_equals_comparing_everything(spark):
+    """All distinct values of the test tables, by the dictionary and by comparing every word and form."""
+    lex = spark.read.parquet(f"{SF}/lexicon.parquet").collect()
+    forms = sorted({(r["canonical"], r["canonical"]) for r in lex} | {(a, r["canonical"]) for r in lex for a in r["aliases"] or []})
+    values = {" ".join(v.split()).lower() for r in spark.read.parquet(f"{SF}/extracted.parquet").collect() for v in r["skills_raw"] or [] if v and v.strip()}
+    values |= {" ".join(r["phrase"].split()).lower() for r in spark.read.parquet(f"{SF}/skill_matches.parquet").collect() if r["phrase"] and r["phrase"].strip()}
+    quick, slow = canon.Matcher(forms, {}), Exhaustive(forms, {})
+    assert {v: quick.rank(v) for v in values} == {v: slow.rank(v) for v in values} and len(values) > 100
+
+
+def test_reference_in_blocks(spark, monkeypatch):
+    lex = spark.createDataFrame(LEX, "canonical string, aliases array<string>")
+    cases = spark.createDataFrame([(v, k) for k, v in enumerate(["vitls", None, "", "vitls", "gö language", "no such thing", "linkage record", "client comm."])], "value string, k int")
+    freq = spark.createDataFrame([("vital signs monitoring", 3)], "canonical string, n long")
+    whole = rows(canon.map_values(cases, "value", lex, freq).select("k", "meant"))
+    monkeypatch.setattr(canon, "MOST_FORMS", 3)
+    assert rows(canon.map_values(cases, "value", lex, freq).select("k", "meant")) == whole
+    assert {r["meant"] for r in canon.map_values(cases, "value", lex.limit(0), freq).collect()} == {"unmatched"}
+
+
 # ---- 4 and 6 near-duplicates
 
 
@@ -121,33 +184,81 @@ def texts(n=60, seed=7):
 def brute_near(docs, t):
     sets = {}
     for i, x in docs:
-        w = common.WORD.findall((x or "").lower())
+        w = re.findall("[a-z0-9]+", (x or "").lower())
         if len(w) >= 20:
             sets[i] = set(zip(w, w[1:], strict=False))
     return sorted((a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9)
 
 
-def test_near_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 3)  # several blocks a bucket
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abzAZ09 -_\n\u212aİéß", max_size=60), st.text(max_size=30)), max_size=6))
+def test_word_hashes_follow_the_words(some):
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in some]
+    h, counts = common.word_hashes(some)
+    flat = [w for x in words for w in x]
+    assert counts.tolist() == [len(w) for w in words] and len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_a_text_longer_than_a_piece(monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 10)
+    some = ["one two", None, "three " * 50, "one", ""]
+    whole = common.word_hashes(some)
+    monkeypatch.setattr(common, "PIECE", 1 << 20)
+    assert all((a == b).all() for a, b in zip(whole, common.word_hashes(some), strict=True))
+
+
+@pytest.mark.parametrize(("threshold", "hot"), [(0.6, 3), (0.6, 1 << 17), (0.3, 10), (0.95, 2)])
+def test_near_pairs(spark, monkeypatch, threshold, hot):
+    monkeypatch.setattr(prefix, "HOT", hot)  # several tiles a shingle
+    monkeypatch.setattr(common, "MEMBERS", 1)  # several blocks a class
     docs = list(enumerate(texts()))
     df = spark.createDataFrame([(i, x, 0, 0) for i, x in docs], "key long, text string, id int, sh int")
-    got = rows(neardup.near_duplicate_pairs(df, "key", "text", threshold=0.6, width=2))
-    want = brute_near(docs, 0.6)
-    assert got == want and len(want) > 40
-    assert neardup.near_duplicate_pairs(df.limit(0), "key", "text", threshold=0.6, width=2).count() == 0
+    got = rows(neardup.near_duplicate_pairs(df, "key", "text", threshold=threshold, width=2))
+    want = brute_near(docs, threshold)
+    assert got == want and len(want) >= 40
+
+
+def test_near_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts(8))], "id long, text string")
+    got = rows(neardup.near_duplicate_rows(df, "id", "text", threshold=0.6, width=2))
+    sets = {i: frozenset(zip(w, w[1:], strict=False)) for i, x in enumerate(texts(8)) if len(w := re.findall("[a-z0-9]+", (x or "").lower())) >= 20}
+    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    links = {s: sum(o != s and len(s & o) >= 0.6 * len(s | o) for o in first) for s in first}
+    assert got == sorted((i, first[s], sum(o == s for o in sets.values()), links[s]) for i, s in sets.items())
+    for run in (neardup.near_duplicate_pairs, neardup.near_duplicate_rows):
+        assert run(df.limit(0), "id", "text", threshold=0.6, width=2).count() == 0
+    with pytest.raises(ValueError, match="threshold"):
+        neardup.near_duplicate_pairs(df, "id", "text", threshold=0.0)
+
+
+def test_only_hot_shingles_are_copied(spark, monkeypatch):
+    """Postings stay as many as the first shingles of the sets, but for those of a shingle that many classes hold."""
+    monkeypatch.setattr(prefix, "HOT", 8)
+    docs = [(i, " ".join(["the", "same", *(f"w{i}x{k}" for k in range(30))])) for i in range(20)]
+    src = spark.createDataFrame(docs, "id long, text string").selectExpr("id", "text", "cast(0 as tinyint) side")
+    levels = spark.sparkContext.broadcast(np.zeros(prefix.BUCKETS, np.uint16))  # no order at all: the worst case
+    shingles, counts = prefix.hot_shingles(src, levels, 0.3, 2, 20, 8)
+    assert counts.tolist() == [20] or not len(counts)  # 'the same' stands in all texts, if in their first part
+    hot = spark.sparkContext.broadcast((shingles, counts))
+    sent = src.mapInArrow(prefix._send(levels, hot, 0.3, 2, 20, 4, 8), "part int, classes binary, postings binary").collect()
+    posts = sum(len(r["postings"]) for r in sent) // prefix.POSTING.itemsize
+    plain = 20 * int(prefix._kept(np.array([31]), 0.3)[0])
+    assert posts == plain + (20 * (3 - 1) if len(counts) else 0)
 
 
 @settings(max_examples=25, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 2**32))
 def test_bit_sliced_distances(n, seed):
     r = np.random.default_rng(seed)
-    x = r.integers(0, 2**63, (n, 4), dtype=np.uint64) & r.integers(0, 2**63, (n, 4), dtype=np.uint64)
-    radius = r.integers(0, 130, n).astype(np.int32)
+    x = r.integers(0, 2**63, (n, 6), dtype=np.uint64) & r.integers(0, 2**63, (n, 6), dtype=np.uint64)
+    x[: n // 2] &= r.integers(0, 2**63, (n // 2, 6), dtype=np.uint64)
+    radius = r.integers(-1, 190, n).astype(np.int32)
     assert (neardup.bit_sliced_within(x, radius) == (np.bitwise_count(x).sum(axis=1) <= radius)).all()
 
 
 def test_cross_split(spark, monkeypatch):
-    monkeypatch.setattr(crosssplit, "HOT", 2)  # every shingle salted
+    monkeypatch.setattr(prefix, "HOT", 2)  # shingles in tiles
+    monkeypatch.setattr(common, "MEMBERS", 1)
     rnd = random.Random(2)
     docs = [(i, x, rnd.choice(["train", "train", "dev", "test", None, "other"]), rnd.choice(["s1", None])) for i, x in enumerate(texts(40))]
     df = spark.createDataFrame(docs, "id long, text string, split string, source string")
@@ -167,7 +278,6 @@ def test_cross_split(spark, monkeypatch):
 
 @pytest.mark.parametrize("sent", [0, 1000])
 def test_top_n(spark, monkeypatch, sent):
-    monkeypatch.setattr(topn, "LARGE", 8)
     monkeypatch.setattr(topn, "MOST_SENT", sent)
     rnd = random.Random(4)
     data = [(rnd.choice([1, 1, 1, 2, 3]), rnd.randrange(200), rnd.choice([None, float("nan"), 1.0, 2.5, rnd.random() * 9, float("inf"), -1e308, 1e308])) for _ in range(1500)] + [(4, 1, None), (None, 1, 1.0), (5, None, 1.0), (6, 7, 1.0)]
@@ -182,10 +292,29 @@ def test_top_n(spark, monkeypatch, sent):
     assert topn.top_n(df.limit(0), ["item"], "rank_no", "score", 5).count() == 0
 
 
+def test_thresholds_let_at_least_n_pass_and_drop_the_rest(spark):
+    rnd = random.Random(8)
+    data = [(g, k, s) for g, most in ((1, 6), (2, 400), (3, 3000)) for k in range(most) for s in [rnd.choice([rnd.gauss(0, 1), -5.0, 0.0, 1e9 if k == 3 else 2.0])]]
+    best = spark.createDataFrame(data, "g int, i int, s double").withColumn("bin", topn.score_bin(F.col("s")))
+    bins = sorted((r["s"], r["bin"]) for r in best.collect())
+    assert all(a[1] <= b[1] for a, b in zip(bins, bins[1:]))
+    floor = {r["g"]: r["least_bin"] for r in topn.thresholds(best, ["g"], 5).collect()}
+    assert set(floor) == {1, 2, 3} and topn.thresholds(best.where("g = 1"), ["g"], 6).count() == 0
+    passing = Counter(r["g"] for r in best.collect() if r["bin"] >= floor[r["g"]])
+    assert all(n >= 5 for n in passing.values()) and passing[3] < 3000
+
+
+def test_most_groups_of_the_query_have_a_threshold(spark):
+    p = spark.read.parquet(f"{SF}/predictions.parquet").where("not isnan(fit_score)").selectExpr("req_id", "resume_id", "fit_score").groupBy("req_id", "resume_id").agg(F.max("fit_score").alias("s"))
+    best = p.withColumn("bin", topn.score_bin(F.col("s")))
+    large = best.groupBy("req_id").count().where("count > 5").count()
+    assert topn.thresholds(best, ["req_id"], 5).count() == large > 0
+
+
 def test_json_scores(spark):
-    data = [(1, '{"a_b ": 1.5, "C": null, "d": "x", "e": 2}'), (2, '{"a": 1} tail'), (3, "[]"), (4, None), (5, "{"), (6, "7"), (7, "{}"), (8, '{"a": 1} {"b": 2}'), (9, '{"a": 1}, {"b": 2}'), (10, ' {"z": -1} ')]
+    data = [(1, '{"a_b ": 1.5, "C": null, "d": "x", "e": 2}'), (2, '{"a": 1} tail'), (3, "[]"), (4, None), (5, "{"), (6, "7"), (7, "{}"), (8, '{"a": 1} {"b": 2}'), (9, '{"a": 1}, {"b": 2}'), (10, ' {"z": -1} '), (11, '{"n": NaN}'), (12, '{"b": true, "deep": {"a": 1}, "l": [2], "x": 3}'), (None, '{"a": 1}')]
     got = rows(topn.json_scores(spark.createDataFrame(data, "id long, s string"), "id", "s"))
-    assert got == [(1, "A-B", 1.5), (1, "E", 2.0), (10, "Z", -1.0)]
+    assert got == [(1, "A-B", 1.5), (1, "E", 2.0), (10, "Z", -1.0), (12, "X", 3.0)]
 
 
 # ---- 7 personal information
