@@ -1,21 +1,42 @@
 """Top N items within every group, by score histograms.
 
-Each group's scores go into a histogram of ``BINS`` equal-width bins between its lowest and highest score. Walking down
-the bins until N items are reached gives a threshold that at least N items pass; rows below it leave
-before any row is sorted, and the survivors are ranked exactly. Only groups of more than ``LARGE`` items
-need a threshold; where there are too many of them to send to all tasks, rows are spread over ``SALTS``
-salts, so a group with a third of all rows never meets its threshold in one task.
+Each group of more than N items has a histogram of its scores. The bins are ``PER_OCTAVE`` steps to each doubling of the
+score, with the sign, and the same for all groups, so an outlier doesn't coarsen the others. Walking down the bins until N
+items are reached gives a threshold that at least N items pass; rows below it leave before any row is
+sorted, and the survivors are ranked exactly, each task keeping its N best of a group before they meet, so equal scores
+gather nowhere. Thresholds are sent to all tasks while they are few; beyond, rows are spread over ``SALTS`` salts,
+so a group with a third of all rows never meets its threshold in one task.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import spread
+
+PER_OCTAVE, SALTS = 64, 32
+MOST_SENT = 100_000  # groups up to which their thresholds are sent to all tasks
+
+
+def score_bin(s: Column) -> Column:
+    """A whole number that never falls as the score rises."""
+    size = F.least(F.greatest(F.abs(s), F.lit(1e-300)), F.lit(1e300))
+    step = 1 + F.floor((F.log2(size) + 1000) * PER_OCTAVE).cast("int")
+    return F.when(s > 0, step).when(s < 0, -step).otherwise(F.lit(0))
 
-BINS, LARGE, SALTS = 64, 256, 32
-MOST_SENT = 100_000  # large groups up to which their thresholds are sent to all tasks
+
+def thresholds(best: DataFrame, group: list[str], n: int) -> DataFrame:
+    """``(group, least_bin)`` of every group of more than ``n`` rows ``(group, bin)``: at least ``n`` of them lie in that bin or above."""
+    histogram = best.groupBy(*group, "bin").agg(F.count("*").alias("in_bin"))
+    down = Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walk = histogram.withColumn("above", F.sum("in_bin").over(down))
+    return walk.groupBy(*group).agg(F.max(F.when(F.col("above") >= n, F.col("bin"))).alias("least_bin"), F.max("above").alias("items")).where(F.col("items") > n).drop("items")
 
 
 def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> DataFrame:
@@ -29,50 +50,62 @@ def top_n(rows: DataFrame, group: list[str], item: str, score: str, n: int) -> D
     live = live.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("item").isNotNull())
     for g in group:
         live = live.where(F.col(g).isNotNull())
-    best = live.groupBy(*group, "item").agg(F.max("score").alias("score"))
-    best = cut(best)
-    finite = lambda c: F.least(F.greatest(c, F.lit(-1e300)), F.lit(1e300))
-    span = cut(best.groupBy(*group).agg(F.count("*").alias("items"), F.min(finite(F.col("score"))).alias("lo"), F.max(finite(F.col("score"))).alias("hi")).where(F.col("items") > max(LARGE, n)))
-    large = span.count()
-    if large:
-        binned = _meet(best, span.drop("items"), group, large).withColumn("bin", _bin(finite(F.col("score")), F.col("lo"), F.col("hi")))
-        histogram = binned.where("lo is not null").groupBy(*group, "bin").agg(F.count("*").alias("in_bin"))
-        down = Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        floor = histogram.withColumn("above", F.sum("in_bin").over(down)).where(F.col("above") >= n).groupBy(*group).agg(F.max("bin").alias("least_bin"))
-        best = _meet(binned, floor, group, large).where(F.col("least_bin").isNull() | (F.col("bin") >= F.col("least_bin")))
+    best = cut(live.groupBy(*group, "item").agg(F.max("score").alias("score")).withColumn("bin", score_bin(F.col("score"))))
+    floor = cut(thresholds(best, group, n))
+    passed = _meet(best, floor, group, floor.count()).where(F.col("least_bin").isNull() | (F.col("bin") >= F.col("least_bin")))
     w = Window.partitionBy(*group).orderBy(F.desc("score"), F.asc("item"))
-    out = best.select(*group, "item", "score").withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
+    out = passed.select(*group, "item", "score").withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= n)
     return out.select(*(F.col(g).alias(name) for g, name in zip(group, names, strict=True)), "item", "score", "rank_no")
 
 
-def _meet(rows: DataFrame, large: DataFrame, group: list[str], count: int) -> DataFrame:
-    """``rows`` with the columns of their large group: sent to all tasks if few, else joined in salts of which each has a copy."""
+def _meet(rows: DataFrame, floor: DataFrame, group: list[str], count: int) -> DataFrame:
+    """``rows`` with the threshold of their group: sent to all tasks if few, else joined in salts of which each has a copy."""
     if count <= MOST_SENT:
-        return rows.join(F.broadcast(large), group, "left")
-    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-    return spread.join(salted.hint("merge"), [*group, "salt"], "left").drop("salt")
+        return rows.join(F.broadcast(floor), group, "left")
+    salted = floor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread_out = rows.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    return spread_out.join(salted.hint("merge"), [*group, "salt"], "left").drop("salt")
 
 
-def _bin(s: Column, lo: Column, hi: Column) -> Column:
-    """Monotone in the score; halves are taken first so that no difference overflows."""
-    width = hi / 2 - lo / 2
-    at = F.when(width > 0, F.floor((s / 2 - lo / 2) / F.when(width > 0, width) * (BINS - 1))).otherwise(F.lit(0))
-    return at.cast("int")
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON number")
 
 
 def json_scores(rows: DataFrame, key: str, scores: str) -> DataFrame:
-    """``(key, label, score)`` of each numeric entry of a JSON object column.
+    """``(key, label, score)`` of the numeric entries of a JSON object column, each task's best of a key and label.
 
-    Text that isn't one whole JSON object gives no row, nor does an entry that isn't a number. Labels
+    Text that isn't one whole JSON object gives no row, nor does an entry that isn't a number, nor a null key. Labels
     are trimmed, upper-cased, with ``_`` read as ``-``.
     """
-    # the parser stops after one value; inside an array anything that follows the object is an error or a second element
-    text = F.trim(F.col(scores))
-    whole = F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    src = rows.select(F.col(key).alias("key"), whole.alias("v")).where(F.schema_of_variant("v").startswith("ARRAY<OBJECT") & F.expr("try_variant_get(v, '$[1]', 'variant') is null"))
-    parsed = src.select("key", F.explode(F.expr("try_variant_get(v, '$[0]', 'map<string,variant>')")).alias("label", "value"))
-    kind = F.schema_of_variant("value")
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    label = F.translate(F.upper(F.trim("label")), "_", "-")
-    return parsed.where(number).select("key", label.alias("label"), F.expr("try_variant_get(value, '$', 'double')").alias("score"))
+    src = rows.select(F.col(key).alias("key"), F.col(scores).alias("scores")).where("key is not null and scores is not null")
+    kind = src.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = json.JSONDecoder(object_pairs_hook=tuple, parse_constant=_refuse).decode
+        labels: dict[str, str] = {}
+        for b in batches:
+            best: dict[tuple, float] = {}
+            for k, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not text.lstrip().startswith("{"):
+                    continue
+                try:
+                    entries = decode(text)
+                except (ValueError, RecursionError):
+                    continue
+                for raw, v in entries:
+                    if v.__class__ is not float:
+                        if v.__class__ is not int:
+                            continue
+                        v = float(v) if abs(v) < 1 << 1023 else float("inf") * (1 if v > 0 else -1)
+                    label = labels.get(raw)
+                    if label is None:
+                        if len(labels) > 100_000:
+                            labels.clear()
+                        label = labels[raw] = raw.strip(" ").upper().replace("_", "-")
+                    at = (k, label)
+                    if (old := best.get(at)) is None or v > old:
+                        best[at] = v
+            keys, names = zip(*best, strict=True) if best else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(list(best.values()), pa.float64())], names=["key", "label", "score"])
+
+    return spread(src).mapInArrow(run, f"key {kind}, label string, score double")
