@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import spread
 
 TOKENIZER_DIR = os.environ.get("SIEVEWORK_TOKENIZERS", "/opt/tokenizers")
 MEMO = 1 << 19
+# fixed value: the pattern that splits text before the merges of the vocabularies of ranks
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class PerfectHash:
@@ -102,23 +105,25 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts by one vocabulary file of ranks; no text is read as a special token."""
+    """Encodes texts by one vocabulary of ranks; no text is read as a special token. Built on the driver and sent to the tasks."""
 
-    def __init__(self, name: str, folder: str) -> None:
-        import importlib.util
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN) -> None:
+        self.ranks = ranks
+        self.pattern = pattern
+        self.whole = PerfectHash(list(ranks), list(ranks.values()))
+        self._start()
 
-        import regex
-
-        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
-        self.ranks = {base64.b64decode(k): int(v) for k, v in pairs}
-        spec = importlib.util.spec_from_file_location("tokenizer_files", os.path.join(folder, "__init__.py"))
-        files = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(files)
-        self.split = regex.compile(files.PATTERN).findall
-        self.whole = PerfectHash(list(self.ranks), list(self.ranks.values()))
+    def _start(self) -> None:
+        self.split = regex.compile(self.pattern).findall
         self.memo: dict[str, tuple[int, ...]] = {}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "memo")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._start()
+
     def piece(self, t: str) -> tuple[int, ...]:
         b = t.encode("utf-8", "replace")
         at = self.whole.get(b)
@@ -138,15 +143,24 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(name: str, folder: str = TOKENIZER_DIR) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(name, folder)
+    """The encoder of a file of ranks, which only the driver reads."""
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        pairs = [line.split() for line in f if line.strip()]
+    return Encoder({base64.b64decode(k): int(v) for k, v in pairs})
+
+
+def _sent(df: DataFrame, name: str, folder: str):
+    """The encoder for all tasks of a query; its size is that of the vocabulary. Executors keep one copy per worker."""
+    return df.sparkSession.sparkContext.broadcast(encoder(name, folder))
 
 
 def encode_corpus(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``(id_col, ids)``: the token ids of every text, an empty list for an empty or null text. Ids may repeat or be null; each row gives one row."""
 
+    sent = _sent(docs, tokenizer, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, folder)
+        enc = sent.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
@@ -162,8 +176,10 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, tokenizer: str =
 def token_counts(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """``(id_col, n_tokens)`` of every text, 0 for an empty or null one."""
 
+    sent = _sent(docs, tokenizer, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, folder)
+        enc = sent.value
         for b in batches:
             n = [sum(len(enc.memo.get(t) or enc.piece(t)) for t in enc.split(x)) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc", "n_tokens"])
