@@ -72,5 +72,7 @@ ORACLE: dict[str, str] = {
     "p4_classes": _P4_ROWS,
     "p5_found": _P5,
     "p6_found": f"select split, source, resume_id_a, resume_id_b from ({_P6})",
+    # what a right packing must come to: every text that isn't empty is placed, nothing breaks a capacity, little room is lost
+    "p9_report": "select count(*) documents, 0::bigint over_capacity, 0::bigint split_needlessly, true well_filled from documents where text <> '' and doc_id is not null",
     "p6_report": f"select split, source, count(distinct e) eval_records, count(*) pairs from ({_P6}) group by 1, 2",
 }

@@ -5,7 +5,7 @@ whole. Items are dealt by the hash of their id into groups of about ``GROUP`` it
 task, longest first, so a group loses at most about one container in some hundreds. A container has
 three capacities: tokens, documents and attention cost (the sum of squared lengths). Among the open
 containers that can take an item under all three, the one whose weighted residual after placing it has
-the least norm is chosen.
+the least norm is chosen. An item that alone exceeds the attention cost is not split: it has a container for itself.
 """
 
 from __future__ import annotations
@@ -55,16 +55,14 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = 2048, mos
 
     Items of null or no size take no room and give no row; ids must be unique; an empty table gives no
     row. ``container_id`` is 'group-number'. No container holds more than ``capacity`` tokens, ``most_docs``
-    pieces or a summed squared length of ``most_cost`` (by default both follow from ``capacity`` alone).
+    pieces or, if it holds several, a summed squared length of ``most_cost`` (by default both follow from ``capacity`` alone).
     """
     docs_cap, cost_cap = most_docs or capacity, most_cost or float(capacity) ** 2
     live = sizes.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size")).where("size > 0 and id is not null")
-    # the longest piece that alone keeps within the attention capacity
-    step = int(min(capacity, np.floor(np.sqrt(cost_cap))))
-    pieces = live.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / step).cast("int"))))
-    pieces = pieces.select("id", "piece_no", (F.col("piece_no").cast("bigint") * step).alias("start_at"), F.least(F.lit(step), F.col("size") - F.col("piece_no") * step).alias("n_tokens"))
-    full = pieces.where(F.col("n_tokens") >= step).withColumn("container_id", F.concat(F.lit("f-"), "id", F.lit("-"), "piece_no"))
-    rest = pieces.where(F.col("n_tokens") < step)
+    pieces = live.withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int"))))
+    pieces = pieces.select("id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start_at"), F.least(F.lit(capacity), F.col("size") - F.col("piece_no") * capacity).alias("n_tokens"))
+    full = pieces.where(F.col("n_tokens") >= capacity).withColumn("container_id", F.concat(F.lit("f-"), "id", F.lit("-"), "piece_no"))
+    rest = pieces.where(F.col("n_tokens") < capacity)
     groups = max(1, -(-live.count() // GROUP))
     rest = rest.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
 
@@ -76,3 +74,13 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = 2048, mos
 
     packed = rest.groupBy("grp").applyInPandas(run, "id bigint, piece_no int, start_at bigint, n_tokens bigint, container_id string")
     return full.unionByName(packed).withColumnRenamed("id", id_col)
+
+
+def packing_report(packed: DataFrame, id_col: str, capacity: int, most_docs: int, most_cost: float) -> DataFrame:
+    """One row ``(documents, tokens, containers, fill, over_capacity, split_needlessly)`` of the result of ``pack``: the share of the room that is used, how many containers break a capacity, and how many documents no longer than a container are split."""
+    bins = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("c"))
+    over = (F.col("t") > capacity) | (F.col("k") > most_docs) | (F.col("k") > 1) & (F.col("c") > most_cost)
+    b = bins.agg(F.count("*").alias("containers"), (F.sum("t") / (F.count("*") * capacity)).alias("fill"), F.count(F.when(over, 1)).alias("over_capacity"))
+    docs = packed.groupBy(id_col).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
+    d = docs.agg(F.count("*").alias("documents"), F.sum("t").alias("tokens"), F.count(F.when((F.col("t") <= capacity) & (F.col("k") > 1), 1)).alias("split_needlessly"))
+    return d.crossJoin(b)  # one row each
