@@ -1,34 +1,45 @@
-"""Personal information inside free text: detection and typed placeholders.
-
-Addresses, numbers and e-mail addresses have a form of their own and are found by pattern. Names have not,
-so what reveals a person is estimated from the corpus: for every word, in how many distinct contexts (it and the ``AROUND`` words
-on each side) it stands beside a known family or given name, against all its contexts; copies of a text add
-none. A word beside known names in more than the disclosure threshold of its contexts, and beside several
-different ones or in most of them, reveals a name itself; ordinary words that happen to be given names (their share
-beside family names is low) are no evidence for others. Two words in the shape of a full name that are both known
-or revealing are a name, and are removed; so is a listed given name with the capitalised word after it, once
-the pair stands behind a title or 'Name:'.
-
-The contexts cover all texts and are made distinct per batch before they are shuffled.
+"""Personal information inside free text: detection by what terms disclose, and typed placeholders.
+
+Patterns and word shapes only propose places; the corpus decides. The protected entities are the persons, known by the listed
+names and by the values around them; a term discloses them as far as its pointwise mutual information
+``PMI(entity; term) = log2(p(entity | term) / p(entity))`` reaches the information content ``IC = -log2 p(entity)``
+of the entity itself.
+
+*Names.* A place of a name is two neighbouring words of the same case (or family name, comma, given name). For the word in the
+given place, ``p`` is the share of its distinct contexts (it and ``AROUND`` words on each side; copies add none)
+before a listed family name, for each way of writing it apart, as 'May' and 'may' are different terms. For the word in the
+family place it is the mean of ``p`` of the given names before it, without the one it stands behind here,
+which would count twice; a title before a listed given name counts in full. A listed name has ``PRIOR`` as its prior share, any other word the
+base share. The place is a name, and is removed, if both terms together disclose ``DISCLOSED`` of the information
+content, and the given name ``GIVEN`` of it. So a listed word that the corpus uses otherwise is no name, and
+an unlisted one that stands where names stand is. A name with a legal form behind it is an organisation's.
+
+*Numbers, addresses and mail.* Their form (letters and digits replaced by classes) is the term: ``p`` is the share of distinct values of
+that form that stand within ``NEAR`` characters of another protected value, against the chance of any place to do so. A form
+that stands near protected values no more often than chance discloses nothing and is left.
+
+All counts cover all texts and are made distinct per batch before they are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import M1, mix64, spread
+from .common import spread
 
-GIVEN_SHARE, FAMILY_SHARE, PURE_SHARE, ONE_PARTNER_SHARE = 0.1, 0.25, 0.3, 0.5
-AROUND = 5
-MOST_SENT = 500_000  # learned words up to which their table is sent to all tasks; beyond, they are joined by shuffle
+AROUND, NEAR = 5, 60
+WEIGHT, PRIOR, PRIOR_LOWER = 3.0, 0.8, 0.5  # contexts that the prior counts for, and the prior share of listed names (in lower case, where most words stand, the second) and known forms
+DISCLOSED, GIVEN, BASE_MOST = 0.75, 1 / 3, 0.125
+MOST_SENT = 500_000  # words up to which a table is sent to all tasks; beyond, it is joined by shuffle
 
 # fixed values: patterns of the kinds of personal data, street words of several languages, organisation forms
 LOCAL_BEFORE = re.compile(r"[^\W_][\w.+%'’-]*$")
@@ -57,12 +68,11 @@ PHONE = re.compile(
     rf"|0\d{{4}}[ ]\d{{6}}|0\d{{3}}[ ]\d{{3}}[ ]\d{{4}}|0\d{{2}}[ ]\d{{4}}[ ]\d{{4}}|0\d(?:[ .]\d{{2}}){{4}}"
     rf"|[2-9]\d{{9}})(?![\w/]|[-.]\d)"
 )
-NOT_PHONE = re.compile(r"(?i)(?:\b(?:order|case|file|serial|ticket|build|version|batch|range|invoice|ref\w*|no\.|nr\.)[ \t:#]*(?:file|no\.?|number|range)?[ \t:#]*)$")
 STREET_WORD = r"(?:Street|St|Avenue|Ave|Boulevard|Blvd|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl|Terrace|Close|Crescent|Square|Row|Highway|Parkway|Trail)"
 CAP = r"(?:[A-ZÀ-ÖØ-Þ][\w'’-]*|[NSEW]\.)"
 SIDE = r"(?:(?:North|South|East|West|NORTH|SOUTH|EAST|WEST|[NSEW]\.)[ \t]+)?"
 STREET = re.compile(
-    rf"(?=\d)(?<![\w.,/-])\d{{1,5}}[A-Z]?[ \t]+{SIDE}(?:{CAP}[ \t]+){{1,3}}?(?:{STREET_WORD}|{STREET_WORD.upper()})\b\.?(?![ \t]+(?:style|Style|technician|prototypes?|operator|Assist|lamp|furniture|fair|level))"
+    rf"(?=\d)(?<![\w.,/-])\d{{1,5}}[A-Z]?[ \t]+{SIDE}(?:{CAP}[ \t]+){{1,3}}?(?:{STREET_WORD}|{STREET_WORD.upper()})\b\.?"
     rf"|(?=\d)(?<![\w.,/-])\d{{1,4}}(?:[ \t]*(?:bis|ter|quater|BIS|TER))?,?[ \t]+(?i:rue|avenue|impasse|boulevard|chemin|allée|place|quai|cours|passage|route)[ \t]+(?i:de[ \t]+la|de[ \t]+l['’]|du|des|de|d['’])[ \t]*[A-ZÀ-ÖØ-Þ][\w'’-]*(?:[ \t]+[A-ZÀ-ÖØ-Þ][\w'’-]*){{0,3}}"
 )
 STREET_END = re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|damm|ufer|STRASSE|STRAßE|STR\.|GASSE|WEG|PLATZ|ALLEE)[ \t]+\d{1,4}[a-zA-Z]?(?!\w)")
@@ -71,9 +81,8 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 GAP = re.compile(r"[ \t\u00a0]+")
 COMMA = re.compile(r",[ \t\u00a0]+")
 PARTICLES = {"van", "von", "de", "der", "den", "da", "di", "du", "la", "le", "del", "al", "el", "bin", "ten", "ter"}
-INTRO = {"mr", "mrs", "ms", "dr", "prof", "name", "of", "vitae", "contact", "references", "reference", "was", "with", "to", "by"}
 TITLES = {"mr", "mrs", "ms", "dr", "prof"}
-FIRM = {"ltd", "gmbh", "group", "foods", "services", "supply", "systems", "partners", "clinic", "college", "institute", "studio", "trust", "union", "cooperative", "inc", "llc", "plc", "ag", "university", "school", "foundation", "works", "bank", "hospital"}
+FIRMS = {"ltd", "limited", "inc", "llc", "plc", "corp", "company", "co", "gmbh", "ag", "sarl", "group", "holdings", "foundation"}  # what follows the name of an organisation
 
 
 def pattern_spans(text: str) -> list[tuple[str, int, int]]:
@@ -99,7 +108,7 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
             if not any(taken[m.start() : m.end()]):
                 taken[m.start() : m.end()] = b"\x02" * (m.end() - m.start())
                 out.append(("web", *m.span()))
-    if any(c.isdigit() for c in text):
+    if DIGITS.search(text):
         if any(w in low for w in ID_WORDS):
             for m in ID_NUMBER.finditer(text):
                 take("id_number", *m.span(m.lastgroup))
@@ -112,247 +121,295 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
             if name:
                 take("street_address", name.start(), m.end())
         for m in PHONE.finditer(text):
-            if not NOT_PHONE.search(text, max(0, m.start() - 24), m.start()):
-                take("phone", *m.span())
+            take("phone", *m.span())
     return out
 
 
-def words_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """``(word, lower, start, end)`` of the words outside patterns, web addresses and masks."""
-    if spans:
-        chars = list(text)
-        for _, a, b in spans:
-            chars[a:b] = "0" * (b - a)
-        text = "".join(chars)
-    if "’" in text:
-        return [(m.group(), m.group().lower().replace("’", "'"), m.start(), m.end()) for m in WORD.finditer(text)]
-    return [(w := m.group(), w.lower(), m.start(), m.end()) for m in WORD.finditer(text)]
-
-
-def gap_kinds(t: str, ws: list[tuple[str, str, int, int]]) -> list[int]:
-    """Between each word and the next: 1 blanks, 2 a comma and blanks, 3 a full stop with or without blanks, 0 anything else."""
-    out = []
-    for (_, _, _, a), (_, _, b, _) in zip(ws, ws[1:], strict=False):
-        gap = t[a:b]
-        out.append(1 if gap == " " or GAP.fullmatch(gap) else 2 if gap == ", " or COMMA.fullmatch(gap) else 3 if gap[0] == "." and not gap[1:].strip(" \t\u00a0") else 0)
-    out.append(0)
-    return out
+DIGITS, LETTERS = re.compile(r"\d+"), re.compile(r"[^\W\d_]+")
 
 
-def _known(listed: set[str], w: str) -> bool:
-    return w in listed or "-" in w and any(p in listed for p in w.split("-"))
+def form_of(kind: str, value: str) -> str:
+    """The kind and the value with letters and digits as classes."""
+    return f"{kind}:{LETTERS.sub('a', DIGITS.sub('9', value))[:40]}"
 
 
-def titled_family(ws: list[tuple[str, str, int, int]], kinds: list[int], k: int, given: frozenset[str]) -> int:
-    """Where the family name of a listed given name at ``k`` stands if a title or 'Name:' comes before it, else 0."""
-    if not k or not ws[k][0][0].isupper():
-        return 0
-    before = ws[k - 1][1]
-    if not (before in TITLES and kinds[k - 1] in (1, 3) or before == "name" and not kinds[k - 1]):
-        return 0
-    for at in range(k + 1, min(k + 5, len(ws))):
-        if not (kinds[at - 1] == 1 or kinds[at - 1] == 3 and len(ws[at - 1][1]) == 1) or not ws[at][0][0].isupper():
+def near_others(spans: list[tuple[str, int, int]], length: int) -> tuple[list[bool], int]:
+    """Whether each span (in order of place) lies within ``NEAR`` characters of another, and how many characters lie that near to any."""
+    near, covered, end = [], 0, 0
+    for k, (_, a, b) in enumerate(spans):
+        near.append(k > 0 and a - spans[k - 1][2] <= NEAR or k + 1 < len(spans) and spans[k + 1][1] - b <= NEAR)
+        lo, hi = max(a - NEAR, end), min(b + NEAR, length)
+        covered += max(hi - lo, 0)
+        end = max(end, hi)
+    return near, covered
+
+
+@lru_cache(4096)
+def _gap(g: str) -> int:
+    return 1 if GAP.fullmatch(g) else 2 if COMMA.fullmatch(g) else 3 if g[0] == "." and not g[1:].strip(" \t\u00a0") else 0
+
+
+class Words:
+    """The words of one text outside patterns, web addresses and masks, with what is known of them."""
+
+    def __init__(self, text: str, spans: list[tuple[str, int, int]], known: Known) -> None:
+        if spans:
+            parts, at = [], 0
+            for _, a, b in spans:  # in order and without overlaps
+                parts += [text[at:a], "0" * (b - a)]
+                at = b
+            text = "".join(parts) + text[at:]
+        self.text = text
+        found = list(WORD.finditer(text))
+        self.at = [m.span() for m in found]
+        self.info = [known[m.group()] for m in found]
+        self.n = len(found)
+        # words that a listed family name follows within four
+        self.ahead = bytearray(self.n)
+        for k, i in enumerate(self.info):
+            if i[3]:
+                self.ahead[max(0, k - 4) : k] = b"\x01" * min(4, k)
+
+    def gap(self, k: int) -> int:
+        """Between word ``k`` and the next: 1 blanks, 2 a comma and blanks, 3 a full stop with or without blanks, 0 anything else or nothing."""
+        if k < 0 or k + 1 >= self.n:
             return 0
-        if len(ws[at][1]) > 2 and not _known(given, ws[at][1]):  # initials and further given names may stand between
-            return 0 if ws[at][1] in PARTICLES or kinds[at] == 1 and ws[at + 1][1] in FIRM or ws[at][1] in FIRM else at
-    return 0
+        g = self.text[self.at[k][1] : self.at[k + 1][0]]
+        return 1 if g == " " else _gap(g)
 
+    def key(self, k: int) -> str:
+        """The word as a term of the given place: capitalised, in lower case behind a word, or in lower case where something begins."""
+        low, cap, _, _ = self.info[k]
+        return low if cap else ("~" if self.gap(k - 1) == 1 else "^") + low
 
-def evidence(ws: list[tuple[str, str, int, int]], kinds: list[int], given: frozenset[str], family: frozenset[str]) -> list[tuple[str, str, str, int]]:
-    """``(kind, word, other, place of the word)`` after a listed given name ('after'), before a listed family name ('before') and behind a titled given name ('titled').
+    def context(self, k: int) -> int:
+        """A hash of the word and its neighbours."""
+        lo = k - AROUND
+        around = [""] * max(0, -lo) + [i[0] for i in self.info[max(0, lo) : k + AROUND + 1]]
+        around += [""] * (2 * AROUND + 1 - len(around))
+        return xxhash.xxh64_intdigest("\x1f".join(around).encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    'After' and 'Before' stand where a name may stand: both words capitalised, or the first behind an introducing word or mark.
-    """
-    out = []
-
-    def placed(kind: str, k: int, at: int) -> str:
-        caps = ws[k][0][0].isupper() and ws[at][0][0].isupper()
-        opened = ws[k][0].islower() and ws[at][0].islower() and (not k or ws[k - 1][1] in INTRO or kinds[k - 1] != 1)
-        return kind.capitalize() if caps or opened else kind
-
-    low = [w[1] for w in ws]
-    fam = [_known(family, w) for w in low]
-    giv = [_known(given, w) for w in low]
-    for k, kind in enumerate(kinds):
-        if giv[k] and (at := titled_family(ws, kinds, k, given)):
-            out += [("titled", low[at], low[k], at), ("Before", low[k], low[at], k)]
-        if kind == 1 or kind == 3:
-            at = k + 1
-            if kind == 3 or len(ws[at][0]) == 1:  # an initial may stand between
-                if kind == 3 or kinds[at] not in (1, 3):
-                    continue
-                at += 1
-            if giv[k] and not (ws[at][0].islower() and not ws[k][0].islower()):
-                out.append((placed("after", k, at), low[at], low[k], at))
-            if fam[at]:
-                out.append((placed("before", k, at), low[k], low[at], k))
-        elif kind == 2:
-            if giv[k + 1]:
-                out.append((placed("after", k, k + 1), low[k], low[k + 1], k))
-            if fam[k]:
-                out.append((placed("before", k, k + 1), low[k + 1], low[k], k + 1))
-    return out
 
+class Known(dict):
+    """``(lower case, capitalised, listed given name, listed family name)`` of words, kept per task."""
 
-def context_hashes(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """One hash per word of the word and its ``AROUND`` neighbours on both sides; texts stand behind each other, with as many zeros before, between and after."""
-    h = np.concatenate([table[codes], np.zeros(AROUND, np.uint64)])
-    n = len(codes) - AROUND
-    out = np.zeros(len(codes), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(2 * AROUND + 1):
-            out[AROUND:] = mix64(out[AROUND:] * M1 + h[k : k + n])
-    return out.view(np.int64)
+    def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
+        self.given, self.family = given, family
 
+    def __missing__(self, w: str) -> tuple[str, bool, bool, bool]:
+        if len(self) > 500_000:
+            self.clear()
+        low = w.lower().replace("’", "'")
+        parts = low.split("-") if "-" in low else ()
+        has = lambda names: low in names or any(p in names for p in parts)
+        got = self[w] = (low, w[0].isupper(), has(self.given), has(self.family))
+        return got
 
-def revealing_words(evidence: DataFrame, total: DataFrame, given: frozenset[str]) -> DataFrame:
-    """``(word, given_like, family_like, pure)`` of the words that disclose a name.
 
-    ``evidence`` has distinct ``(kind, word, other, context)``, ``total`` the number of distinct contexts of a ``word``.
+def titled_family(ws: Words, k: int) -> int:
+    """Where the family name of a listed given name at ``k`` stands if a title or 'Name:' comes before it, else 0."""
+    if not k or not ws.info[k][1]:
+        return 0
+    before, gap = ws.info[k - 1][0], ws.gap(k - 1)
+    if not (before in TITLES and gap in (1, 3) or before == "name" and not gap):
+        return 0
+    for at in range(k + 1, min(k + 5, ws.n)):
+        low, cap, giv, _ = ws.info[at]
+        g = ws.gap(at - 1)
+        if not (g == 1 or g == 3 and len(ws.info[at - 1][0]) == 1) or not cap:
+            return 0
+        if len(low) > 2 and not giv:  # initials and further given names may stand between
+            return 0 if low in PARTICLES else at
+    return 0
 
-    ``given_like``: beside family names in at least ``GIVEN_SHARE`` of the contexts and beside two or more
-    of them. ``family_like``: after given names, themselves mostly used as names, in at least ``FAMILY_SHARE``.
-    Beside one name only, ``ONE_PARTNER_SHARE`` of the contexts must be places for names, and a listed given name is no
-    family name: 'rose garden' is always the same pair as well.
-    """
-    named = F.countDistinct(F.when(F.initcap("kind") == F.col("kind"), F.col("context"))).alias("named")
-    near = lambda x: x.groupBy("word").agg(F.countDistinct("context").alias("near"), F.countDistinct("other").alias("kinds"), named).join(total, "word").withColumn("share", F.col("near") / F.col("total"))
-    enough = lambda share, one: (F.col("share") >= share) & (F.col("kinds") >= 2) | one & (F.col("named") / F.col("total") >= ONE_PARTNER_SHARE)
-    givens = near(evidence.where("lower(kind) = 'before'"))
-    pure = givens.where((F.col("share") >= PURE_SHARE) & F.col("word").isin(*given)).select(F.col("word").alias("other"))  # at most the listed names
-    fams = near(evidence.where("lower(kind) = 'after'").join(F.broadcast(pure), "other"))
-    g = givens.where(enough(GIVEN_SHARE, F.lit(True))).select("word", F.lit(True).alias("given_like"), ((F.col("share") >= PURE_SHARE) & (F.col("kinds") >= 2)).alias("pure"))
-    f = fams.where(enough(FAMILY_SHARE, ~F.col("word").isin(*given))).select("word", F.lit(True).alias("family_like"))
-    return g.join(f, "word", "full_outer").na.fill(False)
-
-
-def name_candidates(ws: list[tuple[str, str, int, int]], kinds: list[int], given: frozenset[str], family: frozenset[str]) -> list[tuple[int, int, str, str, bool]]:
-    """``(start, end, given word, family word, sure)`` of every place in the shape of a full name."""
-    out = []
-    fam = [_known(family, w[1]) for w in ws]
-    for k, kind in enumerate(kinds):
-        x, lx, sx, _ = ws[k]
-        if kind == 0 or kind == 3 or len(lx) < 2:
+
+def places(ws: Words) -> Iterator[tuple[str, int, int]]:
+    """``(kind, given word, family word)`` places of the neighbouring words that may be a name: 'pair', or 'titled' behind a title."""
+    info, ahead = ws.info, ws.ahead
+    for k in range(ws.n - 1):
+        _, cap, giv, fam = info[k]
+        if not (cap or giv or fam or ahead[k]):
+            continue
+        if giv and (at := titled_family(ws, k)):
+            yield "titled", k, at
+        gap = ws.gap(k)
+        if gap in (1, 3):
+            a, b = k, k + 1
+            if gap == 3 or len(info[b][0]) == 1:  # an initial may stand between
+                if gap == 3 or ws.gap(b) not in (1, 3):
+                    continue
+                b += 1
+        elif gap == 2 and not (ws.gap(k - 1) in (1, 3) and (info[k - 1][2] or len(info[k - 1][0]) == 1)):
+            a, b = k + 1, k
+        else:
             continue
-        caps = x[0].isupper()
-        # whether a word in lower case stands where a name may begin
-        opened = not caps and (not k or ws[k - 1][1] in INTRO or kinds[k - 1] != 1)
-        if kind == 2:
-            y, ly, _, ey = ws[k + 1]
-            first, start = lx, sx
-            if k and ws[k - 1][1] in PARTICLES and kinds[k - 1] == 1:
-                first = f"{ws[k - 1][1]} {lx}"
-                if first in family or k < 2 or kinds[k - 2] != 1:
-                    start = ws[k - 1][2]
-            fam_listed, giv_listed = fam[k] or first in family, _known(given, ly)
-            if (fam_listed or giv_listed or caps and y[0].isupper() or opened) and len(lx) > 2 and len(ly) > 1:
-                out.append((start, ey, ly, lx, fam_listed and giv_listed and (caps == y[0].isupper() or not caps)))
+        if info[a][1] != info[b][1] or not info[a][1] and not (info[a][2] or info[b][3] and gap != 2):
             continue
-        if lx in PARTICLES:
+        yield "pair", a, b
+
+
+def name_candidates(ws: Words, family: frozenset[str]) -> Iterator[tuple[int, int, int, int, str]]:
+    """``(first word, last word, given word, family word, family name)`` of every place in the shape of a full name."""
+    info, ahead = ws.info, ws.ahead
+    for k in range(ws.n - 1):
+        low, cap, giv, fam = info[k]
+        listed_ahead, opened = ahead[k], False
+        if not cap:  # in lower case, where something begins
+            opened = not info[k + 1][1] and len(low) > 2 and not ws.gap(k - 1)
+            if not (giv or fam or listed_ahead or opened):
+                continue
+        if len(low) < 2:
             continue
-        listed_given = lx in given or _known(given, lx)
-        if not (caps or listed_given or opened or any(fam[k + 1 : k + 5])):
+        gap = ws.gap(k)
+        if gap == 2:
+            first, begin = low, k
+            if ws.gap(k - 1) == 1 and info[k - 1][0] in PARTICLES:
+                first = f"{info[k - 1][0]} {low}"
+                if first in family or ws.gap(k - 2) != 1:
+                    begin = k - 1
+            nxt = info[k + 1]
+            if (fam or first in family or nxt[2] or cap and nxt[1]) and (cap or not nxt[1]) and len(low) > 2 and len(nxt[0]) > 1:
+                yield begin, k + 1, k + 1, k, first if first in family else low
+            continue
+        if gap != 1 or low in PARTICLES or not (cap or giv or listed_ahead or opened):
             continue
         at, middles = k + 1, 0
-        while at <= k + 4:  # given, an initial or middle name, particles, family
-            w, lw, _, ew = ws[at]
-            joined = w[0].isupper() or not caps
-            if len(lw) > 2 and lw not in PARTICLES and joined:
-                two = f"{ws[at - 1][1]} {lw}"
-                fam_listed = fam[at] or ws[at - 1][1] in PARTICLES and two in family
-                if (listed_given or fam_listed or caps or opened and at == k + 1) and not (kinds[at] == 1 and ws[at + 1][1] in FIRM):
-                    out.append((sx, ew, lx, two if two in family else lw, listed_given and fam_listed))
-            if len(lw) > 1 and lw not in PARTICLES:
+        while at <= k + 4 and at < ws.n:  # given, an initial or middle name, particles, family
+            w = info[at]
+            joined = w[1] or not cap
+            if len(w[0]) > 2 and w[0] not in PARTICLES and joined and (cap or not w[1]):
+                two = f"{info[at - 1][0]} {w[0]}"
+                whole = info[at - 1][0] in PARTICLES and two in family
+                if ws.gap(at) == 1 and info[at + 1][0] in FIRMS:
+                    break
+                if giv or w[3] or whole or cap or opened and at == k + 1:
+                    yield k, at, k, at, two if whole else w[0]
+            if len(w[0]) > 1 and w[0] not in PARTICLES:
                 middles += 1
                 if middles > 1 or not joined:
                     break
-            if not (kinds[at] == 1 or kinds[at] == 3 and len(lw) == 1):
+            g = ws.gap(at)
+            if not (g == 1 or g == 3 and len(w[0]) == 1):
                 break
             at += 1
-    return out
+
+
+COLUMNS = ["source_table", "record_id", "pii_type", "start_at", "end_at", "term", "other", "listed", "listed_other", "seen"]
+SCHEMA = "source_table string, record_id bigint, pii_type string, start_at bigint, end_at bigint, term string, other string, listed boolean, listed_other boolean, seen array<bigint>"
+KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+
+
+def _propose(given: frozenset[str], family: frozenset[str]):
+    """One pass over the texts: proposed places, and each batch's counts as rows whose type begins with ~."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(given, family)
+        for b in batches:
+            rows: list[tuple] = []
+            seen: dict[tuple, set[int]] = {}
+            covered = total = 0
+            for s, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                spans = sorted(pattern_spans(t), key=lambda x: x[1])
+                near, part = near_others(spans, len(t))
+                covered += part
+                total += len(t)
+                for (kind, a, e), close in zip(spans, near, strict=True):
+                    if kind != "web":
+                        form = form_of(kind, t[a:e])
+                        rows.append((s, i, kind, a, e, form, None, None, None, None))
+                        value = xxhash.xxh64_intdigest(t[a:e].encode("utf-8", "surrogatepass")) - (1 << 63)
+                        seen.setdefault(("~near" if close else "~far", form, None, True), set()).add(value)
+                ws = Words(t, spans, known)
+                for kind, g, f in places(ws):
+                    key, fam = ws.key(g), ws.info[f][0]
+                    at_g, at_f = ws.context(g), ws.context(f)
+                    seen.setdefault(("~given", key, None, ws.info[g][2]), set()).add(at_g)
+                    seen.setdefault(("~family", fam, None, ws.info[f][3]), set()).add(at_f)
+                    if kind == "titled":
+                        seen.setdefault(("~titled", fam, None, ws.info[f][3]), set()).add(at_f)
+                    if kind == "titled" or ws.info[f][3]:
+                        seen.setdefault(("~before", key, None, ws.info[g][2]), set()).add(at_g)
+                    if kind == "pair" and ws.info[g][2]:
+                        seen.setdefault(("~after", fam, key, ws.info[f][3]), set()).add(at_f)
+                for first, last, g, f, name in name_candidates(ws, family):
+                    rows.append((s, i, "name", ws.at[first][0], ws.at[last][1], ws.key(g), name, ws.info[g][2], ws.info[f][3] or name in family, None))
+            rows += [(None, None, kind, None, None, term, other, listed, None, list(c)) for (kind, term, other, listed), c in seen.items()]
+            rows.append((None, None, "~chance", covered, total, None, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=COLUMNS)
+
+    return run
+
+
+def _share(k, n, prior):
+    """The share ``k`` of ``n`` with ``WEIGHT`` observations of the prior share."""
+    return (k + WEIGHT * prior) / (n + WEIGHT)
 
 
 def find_pii(docs: DataFrame, names: DataFrame) -> DataFrame:
     """``(source_table, record_id, pii_type, start_at, end_at)`` of every piece of personal data.
 
-    ``docs`` holds ``(source_table, record_id, text)``, ``names`` ``(person_name, name_kind)``, a fixed list.
-    Null or empty texts and null ids give no row; positions count code points; an empty table gives no row.
+    ``docs`` holds ``(source_table, record_id, text)``, ``names`` ``(person_name, name_kind)``, a fixed list (one of more than
+    ``MOST_SENT`` names is refused). Null or empty texts and null ids give no row; positions count code points; an empty table gives no row.
     """
     listed = names.where("person_name is not null").limit(MOST_SENT + 1).collect()
     if len(listed) > MOST_SENT:
         raise ValueError(f"the name list has more than {MOST_SENT} names")
-    given = frozenset(r["person_name"].lower().replace("’", "'") for r in listed if r["name_kind"] == "given")
-    family = frozenset(r["person_name"].lower().replace("’", "'") for r in listed if r["name_kind"] == "family")
-    texts = docs.where("text <> '' and record_id is not null").select("source_table", F.col("record_id").cast("bigint").alias("record_id"), "text")
-    texts = spread(texts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["source_table", "record_id", "pii_type", "start_at", "end_at", "given", "family", "sure", "contexts"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64())]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-        for b in batches:
-            rows, codes, near = [], [0] * AROUND, []
-            vocabulary: dict[str, int] = {"": 0}
-            for s, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                spans = pattern_spans(t)
-                ws = words_of(t, spans)
-                gaps = gap_kinds(t, ws) if ws else []
-                near += [(kind, w, o, len(codes) + at) for kind, w, o, at in evidence(ws, gaps, given, family)]
-                codes += [vocabulary.setdefault(w[1], len(vocabulary)) for w in ws] + [0] * AROUND
-                rows += [(s, i, kind, a, e, None, None, True, None) for kind, a, e in spans if kind != "web"]
-                rows += [(s, i, "name", a, e, g, f, sure, None) for a, e, g, f, sure in name_candidates(ws, gaps, given, family)]
-            code = np.array(codes)
-            table = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in vocabulary), np.uint64, len(vocabulary))
-            context = context_hashes(code, table)
-            about: dict[tuple[str, str, str], set[int]] = {}
-            for kind, w, o, at in near:
-                about.setdefault((kind, w, o), set()).add(int(context[at]))
-            rows += [(None, None, f"~{kind}", None, None, w, o, None, list(c)) for (kind, w, o), c in about.items()]
-            yield batch(rows)
-            live = np.flatnonzero(code)
-            order = live[np.lexsort((context[live], code[live]))]
-            c, x = code[order], context[order]
-            first = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])][: len(c)]
-            c, x = c[first], x[first]
-            if len(c):
-                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                words = list(vocabulary)
-                n = len(starts)
-                none = lambda kind: pa.nulls(n, kind)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(c)].astype(np.int32)), pa.array(x))
-                yield pa.RecordBatch.from_arrays([none(kinds[0]), none(kinds[1]), pa.array(["~all"] * n), none(kinds[3]), none(kinds[4]), pa.array([words[k] for k in c[starts]]), pa.array([""] * n), none(kinds[7]), lists], names=names)
-
-    # one pass over the texts writes both the findings and each task's contexts (rows whose type begins with ~)
-    spans = cut(texts.mapInArrow(run, "source_table string, record_id bigint, pii_type string, start_at bigint, end_at bigint, given string, family string, sure boolean, contexts array<bigint>"))
-    noted = spans.where("pii_type like '~%'").select(F.substring("pii_type", 2, 9).alias("kind"), F.col("given").alias("word"), F.col("family").alias("other"), "contexts")
-    flat = lambda x, *by: x.select(*by, F.explode("contexts").alias("context")).distinct()
-    near = cut(flat(noted.where("kind <> 'all'"), "kind", "word", "other"))
-    asked = cut(near.select("word").distinct())  # only words beside a known name need their count
-    asked = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
-    total = flat(noted.where("kind = 'all'").join(asked, "word", "left_semi"), "word").groupBy("word").agg(F.count("*").alias("total"))
-    learned = cut(revealing_words(near, total, given))
-    titled = cut(near.where("kind = 'titled'").select(F.col("other").alias("given"), F.col("word").alias("family"), F.lit(True).alias("titled")).distinct())
-    fixed = spans.where("pii_type <> 'name' and pii_type not like '~%'").select("source_table", "record_id", "pii_type", "start_at", "end_at")
-    listed_g = F.col("given").isin(*given)
-    listed_f = F.col("family").isin(*family)
-    small = learned.count() <= MOST_SENT
-    send = F.broadcast if small else (lambda x: x)
-    g = learned.where("given_like").select(F.col("word").alias("given"), "pure", F.lit(True).alias("g_ok"))
-    f = learned.where("family_like").select(F.col("word").alias("family"), F.lit(True).alias("f_ok"))
-    pairs = F.broadcast(titled) if titled.count() <= MOST_SENT else titled
-    maybe = spans.where("pii_type = 'name'").join(send(g), "given", "left").join(send(f), "family", "left").join(pairs, ["given", "family"], "left")
-    ok = F.col("sure") | F.coalesce("titled", F.lit(False)) | ((listed_g | F.coalesce("g_ok", F.lit(False))) & (listed_f | F.coalesce("f_ok", F.lit(False))))
+    fold = lambda kind: frozenset(r["person_name"].lower().replace("’", "'") for r in listed if r["name_kind"] == kind)
+    given, family = fold("given"), fold("family")
+    texts = spread(docs.where("text <> '' and record_id is not null").select("source_table", F.col("record_id").cast("bigint").alias("record_id"), "text"))
+    spans = cut(texts.mapInArrow(_propose(given, family), SCHEMA))
+    chance = spans.where("pii_type = '~chance'").agg(F.sum("start_at"), F.sum("end_at")).first()
+    # distinct contexts and values of each term
+    noted = spans.where("pii_type like '~%' and pii_type <> '~chance'").select("pii_type", "term", "other", "listed", F.explode("seen").alias("at")).distinct()
+    counts = cut(noted.groupBy("pii_type", "term", "other", "listed").agg(F.count("*").alias("n")))
+    return _decided_forms(spans, counts, (chance[0] or 0) / max(chance[1] or 0, 1)).unionByName(_decided_names(spans, counts))
+
+
+def _decided_forms(spans: DataFrame, counts: DataFrame, chance: float) -> DataFrame:
+    """Values whose form stands near protected values more often than chance."""
+    near = F.sum(F.when(F.col("pii_type") == "~near", F.col("n")).otherwise(0))
+    forms = counts.where("pii_type in ('~near', '~far')").groupBy("term").agg(near.alias("k"), F.sum("n").alias("n"))
+    told = forms.where(_share(F.col("k"), F.col("n"), F.lit(PRIOR)) >= F.lit(chance)).select("term")
+    return spans.where("pii_type <> 'name' and pii_type not like '~%'").join(_small(told), "term", "left_semi").select("source_table", "record_id", "pii_type", "start_at", "end_at")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Sent to all tasks behind a count, else joined by shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def _decided_names(spans: DataFrame, counts: DataFrame) -> DataFrame:
+    """Places in the shape of a name whose two words disclose one."""
+    of = lambda kind: counts.where(F.col("pii_type") == kind)
+    g = of("~given").select("term", "listed", "n").join(of("~before").select("term", F.col("n").alias("k")), "term", "left").na.fill(0, ["k"])
+    whole = g.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("listed"), F.col("k"))).alias("k")).first()
+    base = min(max(whole["k"] or 0, 1) / max(whole["n"] or 0, 1), BASE_MOST)
+    prior = lambda c: F.when(c, F.lit(PRIOR)).otherwise(F.lit(base))
+    prior_given = F.when(F.col("listed") & F.col("term").rlike("^[~^]"), F.lit(PRIOR_LOWER)).otherwise(prior(F.col("listed")))
+    p_given = _small(g.select("term", _share(F.col("k"), F.col("n"), prior_given).alias("p")))
+    bare = F.regexp_replace("other", "^[~^]", "")
+    after = of("~after").select(F.col("term").alias("family"), "other", "n").join(p_given.withColumnRenamed("term", "other"), "other")
+    by_pair = cut(after.groupBy("family", bare.alias("partner")).agg(F.sum("n").alias("pair_n"), F.sum(F.col("n") * F.col("p")).alias("pair_k")))
+    after_sum = by_pair.groupBy("family").agg(F.sum("pair_k").alias("k"))
+    titled = of("~titled").select(F.col("term").alias("family"), F.col("n").alias("titled"))
+    f = of("~family").select(F.col("term").alias("family"), "n").join(after_sum, "family", "left").join(titled, "family", "left").na.fill(0, ["k", "titled"])
+    maybe = spans.where("pii_type = 'name'").select("source_table", "record_id", "start_at", "end_at", "term", F.regexp_replace("term", "^[~^]", "").alias("partner"), F.col("other").alias("family"), "listed", "listed_other")
+    maybe = maybe.join(p_given, "term", "left").join(_small(f), "family", "left").join(_small(by_pair), ["family", "partner"], "left").na.fill(0, ["n", "k", "titled", "pair_n", "pair_k"])
+    # a word that stands nowhere else in this way of writing has the share that it has when capitalised
+    maybe = maybe.join(p_given.select(F.col("term").alias("partner"), F.col("p").alias("p_plain")), "partner", "left")
+    p_g = F.coalesce("p", "p_plain", prior_given)
+    others = F.greatest(F.col("n") - F.col("pair_n"), F.col("titled"))
+    p_f = F.least(_share(F.greatest(F.col("k") - F.col("pair_k"), F.lit(0.0)) + F.col("titled"), others, prior(F.col("listed_other"))), F.lit(1.0))
+    bits = lambda p: F.log2(p / F.lit(base))
+    content = F.lit(-math.log2(base))
+    ok = (bits(p_g) >= GIVEN * content) & (bits(p_g) + bits(p_f) >= DISCLOSED * content)
     accepted = maybe.where(ok).groupBy("source_table", "record_id").agg(F.sort_array(F.collect_set(F.struct("start_at", "end_at"))).alias("at"))
     # of names that overlap the first and longest stays; the names of one text are few
     keep = F.expr("""aggregate(array_sort(at, (x, y) -> case when x.start_at < y.start_at then -1 when x.start_at > y.start_at then 1 when x.end_at > y.end_at then -1 when x.end_at < y.end_at then 1 else 0 end),
         cast(array() as array<struct<start_at: bigint, end_at: bigint>>),
         (out, x) -> case when size(out) = 0 or out[size(out) - 1].end_at <= x.start_at then concat(out, array(x)) else out end)""")
-    people = accepted.select("source_table", "record_id", F.explode(keep).alias("n")).select("source_table", "record_id", F.lit("name").alias("pii_type"), "n.start_at", "n.end_at")
-    return fixed.unionByName(people)
+    return accepted.select("source_table", "record_id", F.explode(keep).alias("n")).select("source_table", "record_id", F.lit("name").alias("pii_type"), "n.start_at", "n.end_at")
 
 
 def masked_texts(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -356,6 +356,28 @@ def test_copies_hide_no_name(spark):
     assert got == {(0, 0), (1, 0), (2, 0), *((i, 4) for i in range(3, 11)), *((i, 15) for i in range(11, 23))}
 
 
+def test_forms_decide_by_what_stands_near(spark):
+    """Ten-digit numbers stand near nothing protected, so their form discloses nothing; '+' numbers stand beside mail addresses."""
+    t = [f"mail a{k}.b@c.example or +49 30 {k:04d} 55{k:02d}" for k in range(30)] + [f"{'filler ' * 30} archive 26134{k:05d} {'filler ' * 30}" for k in range(40)]
+    docs = spark.createDataFrame([("r", i, x) for i, x in enumerate(t)], "source_table string, record_id long, text string")
+    names = spark.createDataFrame([("Ann", "given"), (None, "family")], "person_name string, name_kind string")
+    got = Counter((r["pii_type"], r["record_id"] < 30) for r in pii.find_pii(docs, names).collect())
+    assert got == {("email", True): 30, ("phone", True): 30}
+
+
+def test_an_ordinary_word_is_no_name_though_listed(spark):
+    t = [f"{g} {f} leads" for g in ("Ann", "Bea") for f in ("Moxby", "Quilton", "Stenley", "Corrway")] * 2 + [f"They will {w} it, Will {w.title()} too" for w in ("take", "send", "keep", "file", "read", "hold", "open", "lift", "move", "sort")]
+    docs = spark.createDataFrame([("r", i, f"{x} {i}") for i, x in enumerate(t)], "source_table string, record_id long, text string")
+    names = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY], "person_name string, name_kind string")
+    assert {r["record_id"] for r in pii.find_pii(docs, names).where("pii_type = 'name'").collect()} == set(range(16))
+
+
+def test_no_texts_no_findings(spark):
+    docs = spark.createDataFrame([("r", 1, None), ("r", None, "Ann Moxby")], "source_table string, record_id long, text string")
+    names = spark.createDataFrame([("Ann", "given")], "person_name string, name_kind string")
+    assert pii.find_pii(docs, names).count() == 0 and pii.find_pii(docs.limit(0), names.limit(0)).count() == 0
+
+
 def test_a_name_list_beyond_its_bound_is_refused(spark, monkeypatch):
     monkeypatch.setattr(pii, "MOST_SENT", 2)
     docs = spark.createDataFrame([("r", 1, "Ann Moxby")], "source_table string, record_id long, text string")
