@@ -25,7 +25,36 @@ PRONOUNS = [
     (r"\bhimself\b", "herself"), (r"\bherself\b", "himself"), (r"\bHe\b", "She"), (r"\bShe\b", "He"), (r"\bHim\b", "Her"), (r"\bHer\b", "Him"),
     (r"\bHis\b", "Her"), (r"\bHers\b", "His"), (r"\bHimself\b", "Herself"), (r"\bHerself\b", "Himself"),
 ]
-STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "their", "this", "to", "was", "were", "which", "will", "with"]
+NAME_SWAPS = [
+    ("John Doe", "Aisha Khan"), ("Jane Smith", "Miguel Santos"), ("Alex Johnson", "Priya Patel"), ("Maria Garcia", "Darnell Brooks"), ("Kevin Brown", "Wei Chen"),
+    ("Ravi Patel", "Elena Petrova"), ("Emily Davis", "Omar Ali"), ("Samuel Lee", "Fatima Rahman"), ("Linda Nguyen", "Noah Williams"), ("Anika Sharma", "Grace Miller"),
+]
+FULL_NAME = r"^[A-Z][a-z]+(\s+[A-Z][a-z]+)+$"
+CONTACT = r"(?i)\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b|\b\S+@\S+\b|https?://\S+|www\.\S+"
+SKILL_HINTS = (
+    r"(?i)\b(python|sql|pytorch|tensorflow|scikit-learn|sklearn|tableau|docker|kubernetes|react|javascript|java|flask|nlp|machine learning|data science|hr|recruiting|onboarding"
+    r"|communication|leadership|excel|aws|azure|gcp|powerbi|power bi|tableau|figma|photoshop|autocad)\b"
+)
+WORD = r"[\p{L}\p{N}_]{2,}"
+
+
+def stop_words() -> list[str]:
+    """The English stop words that Spark ships, read from its library file, so that no session is needed."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    found = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if not found:
+        return ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with"]
+    with zipfile.ZipFile(found[0]) as z:
+        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split("\n")
+    return sorted({w.strip() for w in words if w.strip()})
+
+
+STOP = stop_words()
 
 
 def mask_pii(c: Column) -> Column:
@@ -61,9 +90,45 @@ def strip_edges(c: Column) -> Column:
     return F.regexp_replace(c, r"^[ \-:\t]+|[ \-:\t]+$", "")
 
 
-def chunks(c: Column, pattern: str = r"[,;/|\n]") -> Column:
-    """Distinct non-empty stripped parts in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, pattern), strip_edges), lambda x: x != ""))
+def chunks(c: Column, pattern: str = r"[,;/|]") -> Column:
+    """Distinct non-empty stripped parts of an array of lines, in order."""
+    parts = F.flatten(F.transform(c, lambda x: F.split(x, pattern)))
+    return F.array_distinct(F.filter(F.transform(parts, strip_edges), lambda x: x != ""))
+
+
+def skill_hints(lines: Column, text: Column, pattern: str = SKILL_HINTS) -> Column:
+    """All parts of the lines that hold a hint; where no line does, the hints themselves that stand in the text."""
+    of_lines = chunks(F.filter(lines, lambda x: x.rlike(pattern)))
+    return F.when(F.size(of_lines) > 0, of_lines).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
+
+
+def contacts(c: Column) -> Column:
+    """Every phone number, e-mail and web address in order, repeats included."""
+    return F.regexp_extract_all(c, F.lit(CONTACT), F.lit(0))
+
+
+def gathered_phrases(*fields: Column) -> Column:
+    """Candidate phrases of the first array; where it has none, those of all the others together."""
+    first, rest = phrases(fields[0]), phrases(F.concat(*(F.coalesce(f, F.array().cast("array<string>")) for f in fields[1:])))
+    return F.when(F.size(first) > 0, first).otherwise(rest)
+
+
+def prefer(full: Column, otherwise: Column) -> Column:
+    """An array without its blank elements, or another one where nothing is left of it."""
+    live = F.filter(full, lambda x: F.trim(x) != "")
+    return F.when(F.size(live) > 0, live).otherwise(otherwise)
+
+
+def prompt(template: str, *parts: Column) -> Column:
+    """A prompt template with its ``%s`` places filled."""
+    return F.format_string(template, *parts)
+
+
+def merged_experience(rule: Column, model: Column) -> Column:
+    """The larger of both for each number, years within 0 and 60, at most three pieces of evidence, the model's if it has any."""
+    larger = lambda n: F.greatest(rule[n], F.coalesce(model[n], rule[n])).alias(n)
+    years = F.least(F.greatest(rule["total_years"], F.coalesce(model["total_years"], F.lit(0.0)), F.lit(0.0)), F.lit(60.0))
+    return F.struct(years.alias("total_years"), *(larger(n) for n in ("role_count", "leadership_indicators", "impact_statements", "quantified_impact")), F.slice(prefer(model["evidence"], rule["evidence"]), 1, 3).alias("evidence"))
 
 
 def phrases(c: Column) -> Column:
@@ -106,14 +171,16 @@ def swap_pronouns(c: Column) -> Column:
     return c
 
 
-def swap_name(c: Column, swaps: list[tuple[str, str]], start: int = 0) -> Column:
-    """The first listed name present, from ``start`` on and around, is replaced once."""
+def swap_name(c: Column, swaps: list[tuple[str, str]] = NAME_SWAPS, start: int = 0) -> Column:
+    """The first listed name present, from ``start`` on and around, is replaced once; without any, a first line in the shape of a full name."""
     out = None
     for old, new in swaps[start:] + swaps[:start]:
         here = F.contains(c, F.lit(old))
         swapped = F.overlay(c, F.lit(new), F.locate(old, c), F.lit(len(old)))
         out = F.when(here, swapped) if out is None else out.when(here, swapped)
-    return c if out is None else out.otherwise(c)
+    first = F.split(c, r"\r\n|\r|\n")[0]
+    of_line = F.when(F.trim(first).rlike(FULL_NAME), F.concat(F.lit(swaps[start][1]), F.substring(c, F.length(first) + 1, F.length(c)))).otherwise(c) if swaps else c
+    return of_line if out is None else out.otherwise(of_line)
 
 
 def identity_cue(c: Column, cue: str = "from an underrepresented background") -> Column:
@@ -123,9 +190,26 @@ def identity_cue(c: Column, cue: str = "from an underrepresented background") ->
     return F.when((F.trim(lines[0]) == "") | F.contains(c, F.lit(cue)), c).otherwise(with_cue)
 
 
-def tokens(c: Column) -> Column:
-    """Lower-case words of two or more ASCII letters or digits, without stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)), lambda x: ~x.isin(STOP))
+def tokens(c: Column, stop: list[str] = ()) -> Column:
+    """Lower-case words of two or more letters, digits or underscores of any script, without stop words."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    return F.filter(words, lambda x: ~x.isin(list(stop))) if stop else words
+
+
+def ngrams(words: Column, longest: int) -> Column:
+    """All runs of 1 to ``longest`` words, joined by blanks."""
+    def runs_of(n: int) -> Column:
+        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    return F.concat(words, *(runs_of(n) for n in range(2, longest + 1)))
+
+
+def char_grams(c: Column, n: int = 3) -> Column:
+    """All runs of ``n`` characters of the lower-cased text with blanks collapsed."""
+    t = F.regexp_replace(F.lower(c), r"\s\s+", " ")
+    at = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substring(t, i, F.lit(n)))
 
 
 def cache_key(*parts: Column) -> Column:

@@ -12,13 +12,14 @@ HEADERS = [
     ("education", r"(?i)^education\b[:\s-]*"), ("experience", r"(?i)^(experience|work experience|employment)\b[:\s-]*"), ("skills", r"(?i)^skills\b[:\s-]*"),
     ("projects", r"(?i)^projects?\b[:\s-]*"), ("certifications", r"(?i)^(certifications?|licenses?)\b[:\s-]*"),
 ]
-HEADER_WORDS = r"(?i)^(education|experience|work experience|employment|skills|projects?|certifications?|licenses?)\b[:\s-]*"
-BROADCAST_ROWS = 100_000
+HEADER_WORDS = "|".join(p if k == 0 else p.replace("(?i)", "") for k, (_, p) in enumerate(HEADERS))
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a dimension table if it has at most ``most`` rows; a larger one is joined by shuffle."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts a dimension table if its rows come to at most ``most`` bytes as JSON, counted where they are; a larger one is joined by shuffle."""
+    size = df.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def section_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -41,37 +42,87 @@ def sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.groupBy("id").agg(*(at(name) for name, _ in HEADERS))
 
 
+def rule_extract(docs: DataFrame, id_col: str, text_col: str, hints: str = tx.SKILL_HINTS) -> DataFrame:
+    """``(id, raw_text, education, experience, skills_raw, projects, certifications, contact)`` of every non-blank text, by rules alone.
+
+    Experience falls back on the whole text; skills are those of the skills section, else of all pieces of the text. A null or blank text gives no row.
+    """
+    text = F.trim(F.regexp_replace(F.col(text_col), r"\r\n|\r", "\n"))
+    src = docs.select(F.col(id_col).alias("id"), text.alias("raw_text")).where("raw_text <> ''")
+    rows = src.join(sections(src, "id", "raw_text"), "id", "left")
+    none = F.array().cast("array<string>")
+    full = lambda n: F.coalesce(n, none)
+    of_section = tx.skill_hints(full("skills"), F.lit(""), hints)
+    pieces = F.filter(F.transform(F.split("raw_text", r"[\n\u2022;|]"), lambda x: F.trim(x)), lambda x: x != "")
+    anywhere = F.array_distinct(F.regexp_extract_all("raw_text", F.lit(hints), F.lit(1)))
+    skills = F.when(F.size(of_section) > 0, of_section).when(F.size(anywhere) > 0, anywhere).otherwise(tx.skill_hints(pieces, F.col("raw_text"), hints))
+    experience = F.when(F.size(full("experience")) > 0, F.col("experience")).otherwise(F.array("raw_text"))
+    return rows.select("id", "raw_text", full("education").alias("education"), experience.alias("experience"), skills.alias("skills_raw"), full("projects").alias("projects"), full("certifications").alias("certifications"), tx.contacts(F.col("raw_text")).alias("contact"))
+
+
+def merge_extractions(rule: DataFrame, model: DataFrame) -> DataFrame:
+    """Field by field the model's lists where they hold anything, else the rules'; contacts are always the rules'. Documents that the model lacks keep the rules' row."""
+    fields = ["education", "experience", "skills_raw", "projects", "certifications"]
+    other = model.select("id", *(F.col(f).alias(f"m_{f}") for f in fields))
+    return rule.join(other, "id", "left").select("id", "raw_text", *(tx.prefer(F.col(f"m_{f}"), F.col(f)).alias(f) for f in fields), "contact")
+
+
 def lexicon_forms(lexicon: DataFrame) -> DataFrame:
     """``(form, canonical, category)`` of every distinct surface form in lower case."""
     forms = lexicon.select("canonical", "category", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array()))).alias("form"))
     return forms.select(F.lower(F.trim("form")).alias("form"), "canonical", "category").where("form <> ''").distinct()
 
 
-def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """``(id, canonical)`` of every lexicon entry that stands in a text as whole words.
+def ordered_forms(lexicon: DataFrame) -> DataFrame:
+    """``(canonical, forms)``: the distinct surface forms of each entry, whatever their case, longest first, the first written one of a case kept."""
+    forms = F.filter(F.transform(F.concat(F.array("canonical"), F.coalesce("aliases", F.array())), lambda f: F.trim(f)), lambda f: f != "")
+    first = F.filter(forms, lambda f, i: F.array_position(F.transform(forms, F.lower), F.lower(f)) == i + 1)
+    keyed = F.transform(first, lambda f, i: F.struct((-F.length(f)).alias("n"), i.alias("i"), f.alias("f")))
+    return lexicon.select("canonical", F.transform(F.array_sort(keyed), lambda x: x["f"]).alias("forms"))
+
+
+def _grams(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, spans: bool) -> DataFrame:
+    """``(id, canonical[, start_at, end_at, surface])`` of every run of pieces of a text that is a lexicon form.
 
-    Word n-grams of each text are joined with the forms, so the cost is that of the text, not text times lexicon. With
-    a lexicon of checked size only n-grams that begin with a form's first word are built.
+    Word runs of each text are joined with the forms, so the cost is that of the text, not text times lexicon.
     """
-    split = lambda c: F.regexp_extract_all(c, F.lit(r"[a-z0-9]+|[^a-z0-9\s]"), F.lit(0))
+    piece = r"[a-z0-9]+|[^a-z0-9\s]"
+    split = lambda c: F.regexp_extract_all(c, F.lit(piece), F.lit(0))
     forms = lexicon_forms(lexicon).select(split(F.col("form")).alias("w"), "canonical").where("size(w) > 0")
-    src = docs.select(F.col(id_col).alias("id"), split(F.lower(F.col(text_col))).alias("w")).where("size(w) > 0")
-    longest = forms.agg(F.max(F.size("w"))).first()[0] or 1
-    first = forms.select(F.col("w")[0].alias("f")).distinct().limit(BROADCAST_ROWS + 1).collect()
-    at = F.sequence(F.lit(1), F.size("w"))
-    if len(first) <= BROADCAST_ROWS:
-        starts = [r["f"] for r in first]
-        at = F.filter(at, lambda i: F.element_at("w", i).isin(starts))
-    rows = src.select("id", "w", F.explode(at).alias("i"))
-    grams = rows.select("id", F.explode(F.array(*(F.when(F.col("i") + n - 1 <= F.size("w"), F.array_join(F.slice("w", F.col("i"), F.lit(n)), " ")) for n in range(1, longest + 1)))).alias("gram")).where("gram is not null")
-    keyed = forms.select(F.array_join("w", " ").alias("gram"), "canonical").distinct()
-    return grams.join(small(keyed), "gram").select("id", "canonical").distinct()
-
-
-def first_phrase(matches: DataFrame, id_col: str, canonical: str, order: str) -> DataFrame:
-    """The first match of each canonical name in each document."""
-    w = Window.partitionBy(id_col, canonical).orderBy(order)
-    return matches.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    keyed = forms.select(F.array_join("w", " ").alias("gram"), F.col("w")[0].alias("head"), F.size("w").alias("n"), "canonical").distinct()
+    longest = keyed.agg(F.max("n")).first()[0] or 1
+    low = F.lower(F.col(text_col))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), split(low).alias("w"), F.split(low, piece).alias("gaps")).where("size(w) > 0")
+    # a piece begins behind all gaps and pieces before it
+    ends = F.aggregate(F.sequence(F.lit(0), F.size("w") - 1), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.length(F.get("gaps", i)) + F.length(F.get("w", i))))) if spans else F.array().cast("array<int>")
+    rows = src.select("id", "text", "w", ends.alias("ends"), F.posexplode("w").alias("i", "head")).join(small(keyed.select("head").distinct()), "head", "left_semi")
+    runs = F.array(*(F.when(F.col("i") + n <= F.size("w"), F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(n)), " ").alias("gram"))) for n in range(1, longest + 1)))
+    grams = rows.select("id", "text", "w", "ends", "i", F.explode(runs).alias("g")).where("g is not null").select("id", "text", "w", "ends", "i", "g.n", "g.gram")
+    found = grams.join(small(keyed.select("gram", "canonical")), "gram")
+    if not spans:
+        return found.select("id", "canonical").distinct()
+    start = F.get("ends", F.col("i")) - F.length(F.get("w", F.col("i")))
+    return found.select("id", "canonical", start.alias("start_at"), F.get("ends", F.col("i") + F.col("n") - 1).alias("end_at"), "text").select("id", "canonical", "start_at", "end_at", F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at")).alias("surface"))
+
+
+def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, canonical)`` of every lexicon entry that stands in a text as whole words."""
+    return _grams(docs, id_col, text_col, lexicon, False)
+
+
+def skill_spans(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, canonical, surface, start_at, end_at)``: the first place of each entry in each text, as whole words, the longest form where several begin; positions count characters from 0.
+
+    An entry that stands only inside a longer form of another entry is none.
+    """
+    found = _grams(docs, id_col, text_col, lexicon, True)
+    at = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start_at", (-F.col("end_at")).alias("back"), "canonical", "surface"))).alias("at"))
+    # from left to right, each match begins where the one before it has ended
+    free = F.expr("""aggregate(at, named_struct('upto', 0, 'got', cast(array() as array<struct<start_at: int, end_at: int, canonical: string, surface: string>>)),
+        (s, x) -> if(x.start_at < s.upto, s, named_struct('upto', -x.back, 'got',
+            if(exists(s.got, g -> g.canonical = x.canonical), s.got, concat(s.got, array(named_struct('start_at', x.start_at, 'end_at', -x.back, 'canonical', x.canonical, 'surface', x.surface)))))),
+        s -> s.got)""")
+    return at.select("id", F.explode(free).alias("s")).select("id", "s.canonical", "s.surface", "s.start_at", "s.end_at")
 
 
 def canonical_skills(matches: DataFrame, lexicon: DataFrame, least: float = 0.4) -> DataFrame:

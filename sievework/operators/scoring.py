@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import softmatch
 from .extract import small
 
+PROFILES = 1000  # of one block that is laid onto every document
+# fixed values: weights of the score's components
+
 UNSHARED = 1.4054651081081644  # ln(3/2) + 1, the weight of a term in one of two texts
 WEIGHTS = {"required": 0.28, "preferred": 0.16, "coverage": 0.14, "years": 0.14, "leadership": 0.08, "text_similarity": 0.12, "overlap": 0.08}
 
@@ -17,7 +26,7 @@ def text_similarity(docs: DataFrame, profiles: DataFrame) -> DataFrame:
 
     Only terms that profiles use are joined; both norms follow from the shared terms' and the whole squared counts.
     """
-    tf = lambda df, key, text: df.select(key, F.explode(tx.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = lambda df, key, text: df.select(key, F.explode(tx.tokens(F.col(text), tx.STOP)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     d, p = tf(docs, "resume_id", "text"), tf(profiles, "label", "description")
     whole = lambda t, key, name: t.groupBy(key).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
     dn, pn = whole(d, "resume_id", "d2"), whole(p, "label", "p2")
@@ -29,33 +38,56 @@ def text_similarity(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     return out.select("resume_id", "label", (F.col("dot") / (norm("ds", "d2") * norm("ps", "p2"))).alias("text_similarity"))
 
 
-def score_all(docs: DataFrame, skills: DataFrame, experience: DataFrame, profiles: DataFrame) -> DataFrame:
+def score_all(docs: DataFrame, skills: DataFrame, experience: DataFrame, profiles: DataFrame, pairs: DataFrame | None = None, threshold: float = 1.01) -> DataFrame:
     """Every document against every profile with its components and ``fit_score``.
 
     ``docs`` (resume_id, text), ``skills`` (resume_id, canonical), ``experience`` (resume_id, total_years,
-    leadership_indicators), ``profiles`` as learned. Profiles are a small dimension; the pairs are made by exploding the profile list onto each document row.
+    leadership_indicators), ``profiles`` as learned. If ``docs`` has a column ``only``, a document meets the profile of that label alone. The profile list
+    is laid onto each document row in blocks and exploded there, with the document's text similarities as a map, so no pair is
+    shuffled. With ``pairs`` of like skills (``softmatch.likeness``) close skills count by ``threshold`` as well.
     """
+    none = F.array().cast("array<string>")
     own = skills.groupBy("resume_id").agg(F.sort_array(F.collect_set("canonical")).alias("own"))
-    base = docs.select("resume_id").join(own, "resume_id", "left").join(experience, "resume_id", "left")
-    base = base.withColumn("own", F.coalesce("own", F.array().cast("array<string>"))).na.fill(0, ["total_years", "leadership_indicators"])
-    prof = profiles.select("label", F.array_distinct("required_skills").alias("req"), F.array_distinct("preferred_skills").alias("pref"))
-    one_row = prof.agg(F.collect_list(F.struct("label", "req", "pref")).alias("all"))
-    pairs = base.join(small(one_row)).select("resume_id", "own", "total_years", "leadership_indicators", F.explode("all").alias("p")).select("*", "p.*").drop("p")
-    pairs = pairs.join(text_similarity(docs, profiles), ["resume_id", "label"], "left").na.fill(0.0, ["text_similarity"])
+    sims = text_similarity(docs, profiles).groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "text_similarity"))).alias("sims"))
+    only = [F.col("only")] if "only" in docs.columns else []
+    base = docs.select("resume_id", *only).join(own, "resume_id", "left").join(experience.select("resume_id", "total_years", "leadership_indicators"), "resume_id", "left").join(sims, "resume_id", "left")
+    if pairs is not None:
+        base = base.join(softmatch.closest(skills, pairs), "resume_id", "left")
+    base = base.withColumn("own", F.coalesce("own", none)).na.fill(0, ["total_years", "leadership_indicators"])
+    prof = profiles.select("label", F.array_distinct(F.coalesce("required_skills", none)).alias("req"), F.array_distinct(F.coalesce("preferred_skills", none)).alias("pref"))
+    blocks = prof.groupBy(F.floor(F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.lit(prof.count() / PROFILES))))).alias("block")).agg(F.collect_list(F.struct("label", "req", "pref")).alias("all"))
+    laid = base.join(small(blocks.drop("block")))  # each document with each block of profiles
+    every = F.filter("all", lambda p: p["label"] == F.col("only")) if only else F.col("all")
+    rows = laid.select(*base.columns, F.explode(every).alias("p")).select("*", "p.*").drop("p")
     both = F.array_union("req", "pref")
-    hit = lambda target: F.size(F.array_intersect("own", target))
     least1 = lambda n: F.greatest(n, F.lit(1))
+    if pairs is None:
+        hit = lambda target: F.size(F.array_intersect("own", target))
+        matched = F.sort_array(F.array_intersect("own", both))
+    else:
+        near = F.coalesce("near", F.create_map().cast("map<string,struct<cosine:double,skill:string>>"))
+        hit = lambda target: softmatch.overlap(F.col("own"), near, target, threshold)[0]
+        matched = softmatch.overlap(F.col("own"), near, both, threshold)[1]
     parts = {
-        "required": hit("req") / least1(F.size("req")), "preferred": hit("pref") / least1(F.size("pref")),
+        "required": hit(F.col("req")) / least1(F.size("req")), "preferred": hit(F.col("pref")) / least1(F.size("pref")),
         "coverage": F.least(hit(both) / least1(F.size("own")), F.lit(1.0)), "years": F.least(F.col("total_years") / 8.0, F.lit(1.0)),
-        "leadership": F.least(F.col("leadership_indicators") / 2.0, F.lit(1.0)), "text_similarity": F.col("text_similarity"),
-        "overlap": hit(both) / least1(F.size(F.array_union("own", both))),
+        "leadership": F.least(F.col("leadership_indicators") / 2.0, F.lit(1.0)), "text_similarity": F.coalesce(F.try_element_at("sims", "label"), F.lit(0.0)),
+        "overlap": F.size(F.array_intersect("own", both)) / least1(F.size(F.array_union("own", both))),
     }
     fit = sum((F.lit(w) * parts[k] for k, w in WEIGHTS.items()), F.lit(0.0)) * 100
-    return pairs.select(
-        "resume_id", "label", F.round(F.least(F.greatest(fit, F.lit(0.0)), F.lit(100.0)), 2).alias("fit_score"), *(F.round(v, 4).alias(k) for k, v in parts.items()),
-        F.sort_array(F.array_intersect("own", both)).alias("matched"), F.sort_array(F.array_except(both, "own")).alias("missing"),
-    )
+    out = rows.select("resume_id", "label", F.round(F.least(F.greatest(fit, F.lit(0.0)), F.lit(100.0)), 2).alias("fit_score"), *(F.round(v, 4).alias(k) for k, v in parts.items()), matched.alias("matched"), both.alias("both"))
+    return out.withColumn("missing", F.sort_array(F.array_except("both", "matched"))).drop("both")
+
+
+def json_scores(rows: DataFrame, keys: list[str], scores: str) -> DataFrame:
+    """``(keys, label, score)`` of each numeric entry of a JSON object column; text that isn't one whole JSON object gives no row."""
+    text = F.trim(F.col(scores))
+    whole = F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    src = rows.select(*keys, whole.alias("v")).where(F.schema_of_variant("v").startswith("ARRAY<OBJECT") & F.expr("try_variant_get(v, '$[1]', 'variant') is null"))
+    parsed = src.select(*keys, F.explode(F.expr("try_variant_get(v, '$[0]', 'map<string,variant>')")).alias("label", "value"))
+    kind = F.schema_of_variant("value")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return parsed.where(number).select(*keys, tx.label_key(F.col("label")).alias("label"), F.expr("try_variant_get(value, '$', 'double')").alias("score"))
 
 
 def best_and_margin(scores: DataFrame, id_col: str, label: str, score: str) -> DataFrame:
@@ -117,18 +149,58 @@ def extraction_metrics(gold: DataFrame, found: DataFrame, by: list[str]) -> Data
     return out.select(*by, "tp", "fp", "fn", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def bootstrap_interval(values: DataFrame, value: str, iterations: int = 500, seed: int = 42, strata: int = 1 << 16) -> DataFrame:
-    """``(lower, upper)`` 95 % interval of the mean over resamples.
+def extraction_report(gold: DataFrame, found: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row over all ids with gold: macro averages of the rounded values per id, micro values of the summed counts, and how many skills each side has.
 
-    Poisson bootstrap: every row draws its own weight for each resample from a hash, so nothing is collected
-    and the rows are read once; each resample is a sum that combines before its shuffle.
+    ``categories`` holds ``(id, category)``; its ids are those that count, so an id of which neither side names a skill counts as 0.
     """
-    # inverse of the Poisson(1) distribution, up to a count of 8
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    draw = F.pmod(F.xxhash64("row", "it", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    weight = sum((F.when(draw >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    rows = values.select(F.xxhash64(*values.columns).alias("row"), F.col(value).alias("v")).where("v is not null")
-    each = rows.select("row", "v", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it")).withColumn("w", weight)
-    means = each.groupBy("it").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
-    at = lambda q: F.element_at(F.sort_array(F.collect_list("mean")), int(q * (iterations - 1)) + 1)
-    return means.agg(F.round(at(0.025), 4).alias("lower"), F.round(at(0.975), 4).alias("upper"))
+    each = categories.select("id").distinct().join(extraction_metrics(gold, found, ["id"]), "id", "left").na.fill(0)
+    div = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / F.when(b != 0, b), 4))
+    t, p, n = F.sum("tp"), F.sum("fp"), F.sum("fn")
+    return each.agg(
+        F.round(F.avg("precision"), 4).alias("macro_precision"), F.round(F.avg("recall"), 4).alias("macro_recall"), F.round(F.avg("f1"), 4).alias("macro_f1"),
+        div(t, t + p).alias("micro_precision"), div(t, t + n).alias("micro_recall"), div(2 * t, 2 * t + p + n).alias("micro_f1"), F.count("*").alias("n_resumes"), (t + n).alias("n_gold_skills"), (t + p).alias("n_pred_skills"),
+    )
+
+
+def metric_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Differences of two one-row results of ``classification_metrics``."""
+    names = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted"]
+    both = a.select(*(F.col(n).alias(f"a_{n}") for n in names)).join(b.select(*(F.col(n).alias(f"b_{n}") for n in names)))  # one row each
+    return both.select(*(F.round(F.col(f"a_{n}") - F.col(f"b_{n}"), 4).alias(f"{n}_delta") for n in names))
+
+
+def fairness(pairs: DataFrame, original: str, perturbed: str, threshold: float = 60.0) -> DataFrame:
+    """One row over documents scored twice: mean difference, difference of the selection rates, both means and how many; zeros for none."""
+    zero = lambda c: F.coalesce(F.round(c, 4), F.lit(0.0))
+    rate = lambda c: F.avg((F.col(c) >= threshold).cast("double"))
+    live = pairs.where(F.col(original).isNotNull() & F.col(perturbed).isNotNull())
+    return live.agg(
+        zero(F.avg(F.col(perturbed) - F.col(original))).alias("mean_score_difference"), zero(rate(perturbed) - rate(original)).alias("selection_rate_difference"),
+        zero(F.avg(original)).alias("original_mean"), zero(F.avg(perturbed)).alias("perturbed_mean"), F.count("*").alias("variant_count"),
+    )
+
+
+def bootstrap_interval(values: DataFrame, value: str, iterations: int = 500, seed: int = 42) -> DataFrame:
+    """``(lower, upper)`` 95 % interval of the mean over resamples; zeros for no values.
+
+    Poisson bootstrap: each task draws a weight for every row and resample and sends one pair of sums per resample, so the rows are
+    read once, and equal rows are drawn apart. Resamples depend on how the rows lie in partitions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        rng = np.random.default_rng([seed, context.partitionId() if context else 0])
+        sums, weights = np.zeros(iterations), np.zeros(iterations)
+        for b in batches:
+            v = b.column(0).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(v), 4096):
+                w = rng.poisson(1.0, (iterations, len(v[lo : lo + 4096]))).astype(np.float64)
+                sums += w @ v[lo : lo + 4096]
+                weights += w.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations)), pa.array(sums), pa.array(weights)], names=["it", "s", "w"])
+
+    live = values.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    means = live.mapInArrow(run, "it bigint, s double, w double").groupBy("it").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean")).where("mean is not null and not isnan(mean)")
+    at = lambda q: F.coalesce(F.round(F.get(F.sort_array(F.collect_list("mean")), F.lit(int(q * (iterations - 1)))), 4), F.lit(0.0))
+    return means.agg(at(0.025).alias("lower"), at(0.975).alias("upper"))

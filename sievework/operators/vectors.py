@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +9,33 @@ from ..functions import text as tx
 from .extract import small
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, bigrams: bool = False) -> DataFrame:
-    """``(id, term, tf)`` of words, and of pairs of adjacent words if asked for."""
-    w = docs.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("w")).where("size(w) > 0")
-    terms = F.col("w")
-    if bigrams:
-        terms = F.concat(terms, F.expr("case when size(w) > 1 then transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])) else array() end"))
-    return w.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, id_col: str, text_col: str, longest: int = 1, stop: list[str] = (), chars: int = 0) -> DataFrame:
+    """``(id, term, tf)`` of the runs of 1 to ``longest`` words, or of the runs of ``chars`` characters if given."""
+    terms = tx.char_grams(F.col(text_col), chars) if chars else tx.ngrams(tx.tokens(F.col(text_col), stop), longest)
+    return docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 1.0, most: int | None = None) -> DataFrame:
+    """``(term, idf)``: terms of at least ``min_df`` documents and at most ``max_df`` of them, the ``most`` frequent ones (ties by term), with smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    if most is not None:
+        df = df.orderBy(F.desc("all"), "term").limit(most)
+    return df.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, n_docs: int, min_df: int = 2, sublinear: bool = False, max_df: float = 1.0) -> DataFrame:
-    """``(id, term, weight)``, each document of unit length; smooth idf ``ln((1 + n) / (1 + df)) + 1``, terms of under ``min_df`` documents or over ``max_df`` of them left out."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+def weigh(counts: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
+    """``(id, term, weight)`` of the terms in the vocabulary, each document of unit length."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    raw = counts.join(df, "term").select("id", "term", (tf * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w"))
+    raw = counts.join(small(vocab), "term").select("id", "term", (tf * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf(counts: DataFrame, n_docs: int, min_df: int = 2, sublinear: bool = False, max_df: float = 1.0, most: int | None = None) -> DataFrame:
+    """``weigh`` by the ``vocabulary`` of the same documents."""
+    return weigh(counts, vocabulary(counts, n_docs, min_df, max_df, most), sublinear)
+
+
 def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """``(label, term, weight)``: mean vector of each label; absent terms count as zero."""
     size = labels.groupBy("label").agg(F.count("*").alias("n"))
@@ -37,12 +44,21 @@ def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame, cents: DataFrame) -> DataFrame:
-    """``(id, label, similarity)`` of the label with the highest cosine, ties by label."""
+    """``(id, label, similarity)`` of the label with the highest cosine, ties by label.
+
+    The centroids are one row a term with a list over its labels. Where they are small they are sent to all tasks, and as the vectors are laid out by document first,
+    the products are summed where they are made; else both meet by term.
+    """
     norm = cents.groupBy("label").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = vectors.join(cents.withColumnRenamed("weight", "cw"), "term").groupBy("id", "label").agg(F.sum(F.col("weight") * F.col("cw")).alias("dot"))
-    sims = dots.join(small(norm), "label").withColumn("similarity", F.col("dot") / F.col("norm"))
-    w = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 9)), F.asc("label"))
-    return sims.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", "label", "similarity")
+    unit = cents.join(small(norm), "label").groupBy("term").agg(F.collect_list(F.struct("label", (F.col("weight") / F.col("norm")).alias("cw"))).alias("cents"))
+    rows = vectors.repartition("id").join(small(unit), "term").select("id", "weight", F.explode("cents").alias("c"))
+    sims = rows.groupBy("id", "c.label").agg(F.sum(F.col("weight") * F.col("c.cw")).alias("similarity"))
+    return sims.groupBy("id").agg(F.max_by(F.struct("label", "similarity"), F.struct(F.round("similarity", 9), _backwards("label"))).alias("best")).select("id", "best.*")
+
+
+def _backwards(label: str) -> Column:
+    """A key that falls as the label rises, by code point."""
+    return F.concat(F.transform(F.split(F.col(label), ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
 
 
 def characteristic_terms(vectors: DataFrame, labels: DataFrame, k: int = 8, least_docs: int = 1, shape: str = "") -> DataFrame:
@@ -71,17 +87,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def lexicon_search(phrases: DataFrame, phrase: str, lexicon: DataFrame, k: int = 3, least: float = 0.15) -> DataFrame:
-    """``(phrase, canonical, score, rank_no)``: the ``k`` entries nearest each distinct phrase by TF-IDF cosine over words, at least ``least``.
+    """``(phrase, canonical, score, rank_no)``: the ``k`` entries nearest each distinct phrase by TF-IDF cosine over runs of one to three words, at least ``least``.
 
     Only phrases and entries that share a term meet: the term vectors are joined, not the rows.
     """
     texts = lexicon.select("canonical", tx.embedding_text(F.col("canonical"), F.col("category"), F.col("description"), F.col("aliases")).alias("text"))
     n = texts.count()
-    counts = term_counts(texts, "canonical", "text")
-    idf = counts.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    entry = tfidf(counts, n, 1).select(F.col("id").alias("canonical"), "term", F.col("weight").alias("ew"))
+    counts = term_counts(texts, "canonical", "text", 3)
+    vocab = vocabulary(counts, n, 1)
+    entry = weigh(counts, vocab).select(F.col("id").alias("canonical"), "term", F.col("weight").alias("ew"))
     p = phrases.select(F.col(phrase).alias("id")).distinct().withColumn("text", F.col("id"))
-    raw = term_counts(p, "id", "text").join(small(idf), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = term_counts(p, "id", "text", 3).join(small(vocab), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     sims = raw.join(small(entry), "term").groupBy("id", "canonical").agg(F.sum(F.col("w") * F.col("ew")).alias("dot")).join(norm, "id")
     sims = sims.select(F.col("id").alias("phrase"), "canonical", F.round(F.least(F.col("dot") / F.col("norm"), F.lit(1.0)), 6).alias("score")).where(F.col("score") >= least)
@@ -136,7 +152,9 @@ def cluster(rows: DataFrame, id_col: str, items_col: str, k: int | None = None,
     n = live.count()
     if n < 2:
         return live.select(F.col(id_col).alias("id"), F.lit(0).alias("cluster"))
-    vec = CountVectorizer(inputCol=items_col, outputCol="features", binary=True).fit(live).transform(live)
+    # as many places as there are items: none is left out
+    items = live.select(F.explode(items_col).alias("i")).agg(F.countDistinct("i")).first()[0]
+    vec = CountVectorizer(inputCol=items_col, outputCol="features", binary=True, vocabSize=max(items, 1)).fit(live).transform(live)
     model = KMeans(k=min(n, k or max(2, min(4, int(n**0.5)))), seed=seed, maxIter=20).fit(vec)
     return model.transform(vec).select(F.col(id_col).alias("id"), F.col("prediction").alias("cluster"))
 
@@ -159,16 +177,11 @@ def association_rules(baskets: DataFrame, items_col: str, min_support: float = 0
     live = baskets.select(F.array_distinct(items_col).alias("items"))
     n = live.count()
     sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(live).freqItemsets.select(F.sort_array("items").alias("items"), (F.col("freq") / n).alias("support"))
-    longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
-    splits = None
-    for size in range(2, longest + 1):
-        for r in range(1, size):
-            for left in combinations(range(size), r):
-                right = [i for i in range(size) if i not in left]
-                part = sets.where(F.size("items") == size).select(F.array(*(F.col("items")[i] for i in left)).alias("antecedents"), F.array(*(F.col("items")[i] for i in right)).alias("consequents"), "support")
-                splits = part if splits is None else splits.unionByName(part)
-    if splits is None:
-        return baskets.sparkSession.createDataFrame([], "antecedents array<string>, consequents array<string>, support double, confidence double, lift double")
+    # each itemset is split by every bit mask but the empty and the full one
+    mask = F.explode(F.expr("sequence(1, shiftleft(1, size(items)) - 2)"))
+    masked = sets.where(F.size("items") > 1).select("items", "support", mask.alias("mask"))
+    side = lambda bit: F.filter("items", lambda x, i: F.call_function("getbit", F.col("mask"), i) == bit)
+    splits = masked.select(side(1).alias("antecedents"), side(0).alias("consequents"), "support")
     a = sets.select(F.col("items").alias("antecedents"), F.col("support").alias("sa"))
     c = sets.select(F.col("items").alias("consequents"), F.col("support").alias("sc"))
     out = splits.join(a, "antecedents").join(c, "consequents").withColumn("confidence", F.col("support") / F.col("sa"))
@@ -176,11 +189,49 @@ def association_rules(baskets: DataFrame, items_col: str, min_support: float = 0
 
 
 def stratified_split(rows: DataFrame, id_col: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``rows`` with ``split_name`` 'train' or 'test': an exact share of each label by the order of a hash of the id."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col))), F.col(id_col))
-    n = Window.partitionBy(label)
-    out = rows.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(n))
-    return out.withColumn("split_name", F.when(F.col("rn") <= F.round(F.col("n") * test_share), "test").otherwise("train")).drop("rn", "n")
+    """``rows`` with ``split_name`` 'train' or 'test': of all rows the whole number next above the share, dealt to the labels by largest remainder (ties by label), in the order of a hash of the id.
+
+    Null labels are a label of their own. If a label has a single row, labels are not kept apart. A label's rows are ranked only in the bin of hashes in which its
+    quota ends, so a label that holds a third of all rows is not sorted in one task.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col)))
+    tagged = rows.withColumn("_label", F.coalesce(F.col(label).cast("string"), F.lit("\x00"))).withColumn("_key", key).withColumn("_bin", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int"))
+    sizes = tagged.groupBy("_label").agg(F.count("*").alias("n"))
+    if sizes.where("n = 1").limit(1).count():
+        tagged = tagged.withColumn("_label", F.lit(""))
+        sizes = tagged.groupBy("_label").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    whole = F.ceil(F.col("total") * test_share - 1e-9)
+    share = sizes.join(small(total)).withColumn("exact", F.col("n") * whole / F.col("total")).withColumn("least", F.floor("exact"))
+    spare = Window.orderBy(F.desc(F.round(F.col("exact") - F.col("least"), 9)), "_label")  # one row a label
+    left = Window.partitionBy()
+    quota = share.withColumn("rn", F.row_number().over(spare)).withColumn("quota", F.col("least") + (F.col("rn") <= whole - F.sum("least").over(left)).cast("int")).select("_label", "quota")
+    upto = Window.partitionBy("_label").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 65,536 bins a label
+    bins = tagged.groupBy("_label", "_bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(upto)).join(small(quota), "_label")
+    last = bins.where(F.col("upto") >= F.col("quota")).groupBy("_label").agg(F.min("_bin").alias("_last"), (F.max("quota") - F.min(F.col("upto") - F.col("c"))).alias("_rest"))
+    met = tagged.join(small(last), "_label")
+    rank = F.row_number().over(Window.partitionBy("_label", "_bin").orderBy("_key", id_col))
+    edge = met.where(F.col("_bin") == F.col("_last")).withColumn("split_name", F.when(rank <= F.col("_rest"), "test").otherwise("train"))
+    rest = met.where(F.col("_bin") != F.col("_last")).withColumn("split_name", F.when(F.col("_bin") < F.col("_last"), "test").otherwise("train"))
+    return rest.unionByName(edge).select(*rows.columns, "split_name")
+
+
+def stratified_sample(rows: DataFrame, id_col: str, label: str, per_class: int = 4, most: int = 120, seed: int = 42) -> DataFrame:
+    """Of each label the ``per_class`` first rows by a hash of the id, of these the ``most`` first by another hash."""
+    key = lambda s: F.md5(F.concat_ws(":", F.lit(s), F.col(id_col)))
+    w = Window.partitionBy(F.coalesce(F.col(label), F.lit("unknown"))).orderBy(key(str(seed)), F.col(id_col))
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_class).drop("_rn").orderBy(key(f"{seed}-all"), F.col(id_col)).limit(most)
+
+
+def named_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(name_a, name_b, cosine)`` of each asked pair of names over unit vectors ``(id, term, weight)``; null where a name has no vector."""
+    known = vectors.select("id").distinct()
+    a, b = vectors.select(F.col("id").alias("name_a"), "term", F.col("weight").alias("x")), vectors.select(F.col("id").alias("name_b"), "term", F.col("weight").alias("y"))
+    asked = pairs.select("name_a", "name_b").distinct()
+    dots = asked.join(a, "name_a").join(b, ["name_b", "term"]).groupBy("name_a", "name_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    there = asked.join(small(known.withColumnRenamed("id", "name_a")), "name_a").join(small(known.withColumnRenamed("id", "name_b")), "name_b").withColumn("both", F.lit(1))
+    out = asked.join(there, ["name_a", "name_b"], "left").join(dots, ["name_a", "name_b"], "left")
+    return out.select("name_a", "name_b", F.when(F.col("both") == 1, F.round(F.coalesce("dot", F.lit(0.0)), 6)).alias("cosine"))
 
 
 def learned_profiles(skills: DataFrame, labels: DataFrame, required: float = 0.30, preferred: float = 0.10, most_required: int = 6, most_preferred: int = 8, sparse: int = 35) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import extract, scoring, vectors
+from ..operators import extract, rationale, scoring, vectors
 from ..session import cut, shared_dir, table
 from ..sources import files
 
@@ -35,7 +35,9 @@ SQL_SQUEEZE = r"trim(regexp_replace({}, '[\s\x{{a0}}]+', ' ', 'g'))"
 SQL_KEY = r"trim(regexp_replace(lower(replace({}, '/', ' ')), '[\s\x{{a0}}]+', ' ', 'g'))"
 SQL_LABEL = "replace(upper(trim({})), '_', '-')"
 SQL_STOP = "[" + ", ".join(map(_lit, tx.STOP)) + "]"
-SQL_TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9_]{{2,}}'), lambda x: not list_contains(" + SQL_STOP + ", x))"
+SQL_WORDS = "regexp_extract_all(lower({}), " + _lit(tx.WORD).replace("{", "{{").replace("}", "}}") + ")"
+SQL_TOKENS = "list_filter(" + SQL_WORDS + ", lambda x: not list_contains(" + SQL_STOP + ", x))"
+SQL_LINES = r"regexp_split_to_array({}, '\r\n|\r|\n')"
 
 
 # ---- text functions
@@ -80,21 +82,22 @@ def section_sizes(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query(r"""select resume_id, phrase, count(*) n from (
-select resume_id, unnest(list_distinct(list_filter(list_transform(flatten(list_transform(list_filter(skills_raw, lambda x: x is not null), lambda x: regexp_split_to_array(x, '[,;/|\n]'))),
-  lambda x: lower(regexp_replace(x, '^[ \-:\t]+|[ \-:\t]+$', '', 'g'))), lambda x: x <> ''))) phrase from extracted) group by 1, 2""")
-def candidate_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """P8, P12, P13, U4."""
-    return table(spark, d, "extracted").select("resume_id", F.explode(tx.phrases(F.col("skills_raw"))).alias("phrase")).groupBy("resume_id", "phrase").agg(F.count("*").alias("n"))
+_PHRASES = r"list_distinct(list_filter(list_transform(flatten(list_transform(list_filter({}, lambda x: x is not null), lambda x: regexp_split_to_array(x, '[,;/|\n]'))), lambda x: lower(regexp_replace(x, '^[ \-:\t]+|[ \-:\t]+$', '', 'g'))), lambda x: x <> ''))"
 
 
-_CONTACT = r"(?i)\b(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b|\b\S+@\S+\b|https?://\S+|www\.\S+"
+@query(f"""select resume_id, phrase, count(*) n from (select resume_id, unnest(case when len(a) > 0 then a else b end) phrase from (select resume_id, coalesce({_PHRASES.format('skills_raw')}, []) a,
+{_PHRASES.format('list_concat(coalesce(experience, []), coalesce(projects, []), coalesce(certifications, []))')} b from extracted)) group by 1, 2""")
+def candidate_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of the skills, else of experience, projects and certifications."""
+    e = table(spark, d, "extracted")
+    skills = F.coalesce("skills_raw", F.array().cast("array<string>"))
+    return e.select("resume_id", F.explode(tx.gathered_phrases(skills, *(F.col(n) for n in ("experience", "projects", "certifications")))).alias("phrase")).groupBy("resume_id", "phrase").agg(F.count("*").alias("n"))
 
 
-@query(f"select raw_id, len(regexp_extract_all(text, {_lit(_CONTACT)})) n_contacts from sample_resumes where text is not null")
+@query(f"select raw_id, regexp_extract_all(text, {_lit(tx.CONTACT)}) contacts from sample_resumes where text is not null")
 def contact_lines(spark: SparkSession, d: str) -> DataFrame:
-    """P9."""
-    return table(spark, d, "sample_resumes").where("text is not null").select("raw_id", F.size(F.regexp_extract_all("text", F.lit(_CONTACT), F.lit(0))).alias("n_contacts"))
+    """Every match in order."""
+    return table(spark, d, "sample_resumes").where("text is not null").select("raw_id", tx.contacts(F.col("text")).alias("contacts"))
 
 
 _S = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '')"
@@ -104,49 +107,76 @@ def _many(*patterns: str) -> str:
     return "len(list_filter(s, lambda x: " + " and ".join(f"regexp_matches(x, {_lit(p)})" for p in patterns) + "))"
 
 
-_EXPERIENCE = f"""select resume_id, coalesce(list_max(list_transform(regexp_extract_all(t, {_lit(tx.YEARS)}, 1), lambda x: x::double)), 0.0) total_years, {_many(tx.ROLE)} role_count,
-{_many(tx.LEADERSHIP)} leadership_indicators, {_many(tx.IMPACT)} impact_statements, {_many(tx.IMPACT, tx.QUANTITY)} quantified_impact
-from (select resume_id, t, {_S} s from (select resume_id, resume_text t from resumes where resume_text is not null))"""
+def _experience_sql(key: str, text: str, rows: str) -> str:
+    return f"""select {key}, coalesce(list_max(list_transform(regexp_extract_all(t, {_lit(tx.YEARS)}, 1), lambda x: x::double)), 0.0) total_years, {_many(tx.ROLE)} role_count,
+{_many(tx.LEADERSHIP)} leadership_indicators, {_many(tx.IMPACT)} impact_statements, {_many(tx.IMPACT, tx.QUANTITY)} quantified_impact, list_filter(s, lambda x: regexp_matches(x, {_lit(tx.IMPACT)}))[1:3] evidence
+from (select {key}, t, {_S} s from (select {key}, {text} t from {rows} where {text} is not null))"""
+
+
+_EXPERIENCE = _experience_sql("resume_id", "resume_text", "resumes")
+
+
+def experience_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    x = docs.where(F.col(text).isNotNull()).select(key, tx.experience_struct(F.col(text)).alias("x"))
+    return x.select(key, "x.*")
 
 
 @query(_EXPERIENCE)
 def experience(spark: SparkSession, d: str) -> DataFrame:
-    """P14, P15."""
-    t = table(spark, d, "resumes").where("resume_text is not null")
-    return t.select("resume_id", tx.experience_struct(F.col("resume_text")).alias("x")).select("resume_id", "x.total_years", "x.role_count", "x.leadership_indicators", "x.impact_statements", "x.quantified_impact")
+    """P14, P15 over whole resumes (their texts are one line, so all of it is the experience section)."""
+    return experience_of(table(spark, d, "resumes"), "resume_id", "resume_text")
 
 
-_SWAPPED = "text"
-for _p, _m in tx.PRONOUNS:
-    _SWAPPED = f"regexp_replace({_SWAPPED}, {_lit(_p)}, {_lit(_m)}, 'g')"
+def _pronouns_sql(text: str) -> str:
+    for p, m in tx.PRONOUNS:
+        text = f"regexp_replace({text}, {_lit(p)}, {_lit(m)}, 'g')"
+    return text
 
 
-@query(f"select doc_id, {_SWAPPED} swapped from documents where text is not null")
+@query(f"select doc_id, {_pronouns_sql('text')} swapped from documents where text is not null")
 def swap_pronouns(spark: SparkSession, d: str) -> DataFrame:
     """P20."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.swap_pronouns(F.col("text")).alias("swapped"))
 
 
-NAME_SWAPS = [("Ilse", "Aisha"), ("Noor", "Miguel"), ("Lena", "Priya"), ("Tomasz", "Wei")]
-_NAME_SQL = "case " + " ".join(f"when contains(t, {_lit(o)}) then substr(t, 1, strpos(t, {_lit(o)}) - 1) || {_lit(n)} || substr(t, strpos(t, {_lit(o)}) + {len(o)})" for o, n in NAME_SWAPS) + " else t end"
-_CUE = r"case when trim(l[1]) = '' or contains(t, 'from an underrepresented background') then t else array_to_string(list_concat([l[1], 'Identity cue: from an underrepresented background.'], l[2:]), chr(10)) end"
+def _names_sql(text: str) -> str:
+    listed = " ".join(f"when contains({text}, {_lit(o)}) then substr({text}, 1, strpos({text}, {_lit(o)}) - 1) || {_lit(n)} || substr({text}, strpos({text}, {_lit(o)}) + {len(o)})" for o, n in tx.NAME_SWAPS)
+    first = f"{SQL_LINES.format(text)}[1]"
+    return f"case {listed} when regexp_matches(trim({first}), {_lit(tx.FULL_NAME)}) then {_lit(tx.NAME_SWAPS[0][1])} || substr({text}, length({first}) + 1) else {text} end"
+
+
+def _cue_sql(text: str) -> str:
+    lines = SQL_LINES.format(text)
+    return f"case when trim({lines}[1]) = '' or contains({text}, 'from an underrepresented background') then {text} else array_to_string(list_concat([{lines}[1], 'Identity cue: from an underrepresented background.'], {lines}[2:]), chr(10)) end"
 
 
-@query(rf"""with base as (select raw_id, text t, regexp_split_to_array(text, '\r\n|\r|\n') l from sample_resumes where text is not null),
-v as (select raw_id, 1 k, 'name' variant_type, {_NAME_SQL} text from base union all select raw_id, 2, 'cue', {_CUE} from base union all select raw_id, 0, 'original', t from base)
-select raw_id, variant_type, md5(text) text_md5 from (select *, row_number() over (partition by raw_id, trim(text) order by k) rn from v where trim(text) <> '') where rn = 1""")
+_VARIANTS = f"""(with base as (select raw_id, text t from sample_resumes where text is not null), named as (select raw_id, t, {_names_sql('t')} n from base), swapped as (select *, {_pronouns_sql('t')} p, {_pronouns_sql('n')} np from named)
+select raw_id, 0 k, 'original' variant_type, t as text from swapped union all select raw_id, 1, 'name_swap', n from swapped union all select raw_id, 2, 'pronoun_swap', p from swapped union all select raw_id, 3, 'combined', {_cue_sql('np')} from swapped)"""
+
+
+def perturbed(c, kind: str):
+    """The text with one of the perturbations; 'combined' is all of them."""
+    if kind == "name_swap":
+        return tx.swap_name(c)
+    if kind == "pronoun_swap":
+        return tx.swap_pronouns(c)
+    return tx.identity_cue(tx.swap_pronouns(tx.swap_name(c))) if kind == "combined" else c
+
+
+@query(f"select raw_id, variant_type, md5(text) text_md5 from (select *, row_number() over (partition by raw_id, trim(text) order by k) rn from {_VARIANTS} where trim(text) <> '') where rn = 1")
 def perturbations(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of each text, equal ones once."""
+    """The text, with another name, with other pronouns and with both and a cue; equal ones once."""
     t = table(spark, d, "sample_resumes").where("text is not null")
-    v = F.array(F.struct(F.lit(0).alias("k"), F.lit("original").alias("variant_type"), F.col("text")), F.struct(F.lit(1).alias("k"), F.lit("name").alias("variant_type"), tx.swap_name(F.col("text"), NAME_SWAPS).alias("text")), F.struct(F.lit(2).alias("k"), F.lit("cue").alias("variant_type"), tx.identity_cue(F.col("text")).alias("text")))
+    kinds = ["original", "name_swap", "pronoun_swap", "combined"]
+    v = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(kind).alias("variant_type"), perturbed(F.col("text"), kind).alias("text")) for k, kind in enumerate(kinds)))
+    first = F.min_by("variant_type", "k").alias("variant_type")
     rows = t.select("raw_id", F.explode(v).alias("v")).select("raw_id", "v.*").where(F.trim("text") != "")
-    w = Window.partitionBy("raw_id", F.trim("text")).orderBy("k")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("raw_id", "variant_type", F.md5("text").alias("text_md5"))
+    return rows.groupBy("raw_id", F.trim("text").alias("same")).agg(first, F.min_by("text", "k").alias("text")).select("raw_id", "variant_type", F.md5("text").alias("text_md5"))
 
 
 @query("select doc_id, sha256(concat_ws(chr(31), 'rules', 'v1', coalesce(doc_kind, ''), coalesce(text, ''))) cache_key from documents")
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    """P18, P19."""
+    """P19."""
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
     return table(spark, d, "documents").select("doc_id", tx.cache_key(F.lit("rules"), F.lit("v1"), c("doc_kind"), c("text")).alias("cache_key"))
 
@@ -160,22 +190,16 @@ def json_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select distinct lower(trim(form)) form, canonical, category from (select canonical, category, unnest(list_concat([canonical], coalesce(aliases, []))) form from lexicon) where trim(form) <> ''""")
 def surface_forms(spark: SparkSession, d: str) -> DataFrame:
-    """P24."""
+    """Every form once, with the category of its entry."""
     return extract.lexicon_forms(table(spark, d, "lexicon")).select("form", "canonical", "category")
 
 
-# fixed values: words that name an attribute of a person
-IDENTITY = [
-    "she", "her", "hers", "herself", "he", "him", "his", "himself", "mr", "mrs", "ms", "miss", "sir", "madam", "gentleman", "lady", "woman", "women", "man", "men", "female", "male",
-    "young", "old", "elderly", "youthful", "ageing", "aging", "married", "unmarried", "single", "divorced", "widowed", "spouse", "husband", "wife", "christian", "muslim", "jewish", "hindu",
-    "buddhist", "sikh", "atheist", "caucasian", "asian", "african-american", "african american", "hispanic", "latino", "latina", "disabled", "handicapped", "blind", "deaf",
-]
-_IDENTITY_RE = r"(?i)\b(" + "|".join(IDENTITY) + r")\b"
+_IDENTITY_RE = r"(?i)\b(" + "|".join(rationale.IDENTITY) + r")\b"
 
 
 @query(f"select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, {_lit(_IDENTITY_RE)}), lambda x: lower(x)))) terms from documents where regexp_matches(text, {_lit(_IDENTITY_RE)})")
 def identity_terms(spark: SparkSession, d: str) -> DataFrame:
-    """F6, F7."""
+    """F7."""
     t = table(spark, d, "documents").where(F.col("text").rlike(_IDENTITY_RE))
     return t.select("doc_id", F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_IDENTITY_RE), F.lit(0)), F.lower))).alias("terms"))
 
@@ -187,7 +211,7 @@ def identity_terms(spark: SparkSession, d: str) -> DataFrame:
 docs as (select resume_id, lower(resume_text) t from resumes where resume_text is not null)
 select distinct resume_id id, canonical from docs join forms on regexp_matches(t, '(^|[^a-z0-9])' || replace(form, ' ', '\s+') || '([^a-z0-9]|$)')""")
 def lexicon_scan(spark: SparkSession, d: str) -> DataFrame:
-    """F5, J5, L14, W6."""
+    """F5, J5."""
     return extract.lexicon_matches(table(spark, d, "resumes").where("resume_text is not null"), "resume_id", "resume_text", table(spark, d, "lexicon"))
 
 
@@ -234,34 +258,36 @@ def category_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def _score(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.col("resume_text").alias("text"))
-    return scoring.score_all(docs, canonical_skills(spark, d), experience(spark, d).select("resume_id", "total_years", "leadership_indicators"), table(spark, d, "profiles_learned"))
-
-
+    return scoring.score_all(docs, canonical_skills(spark, d), experience(spark, d), table(spark, d, "profiles_learned"))
 
 
 def _tf(key: str, text: str, rows: str) -> str:
     return f"select {key}, term, count(*) tf from (select {key}, unnest({SQL_TOKENS.format(text)}) term from {rows}) group by 1, 2"
 
 
-_SCORES = f"""with docs as (select resume_id, resume_text from resumes where resume_text is not null), dt as ({_tf('resume_id', 'resume_text', 'docs')}), pt as ({_tf('label', 'description', 'profiles_learned')}),
+def scores_sql(rows: str = "(select resume_id, resume_text, null only_label from resumes where resume_text is not null)") -> str:
+    """Scores of the texts in ``rows`` (resume_id, resume_text, only_label) against every profile, or that of ``only_label`` alone."""
+    return f"""with docs as (select * from {rows}), dt as ({_tf('resume_id', 'resume_text', 'docs')}), pt as ({_tf('label', 'description', 'profiles_learned')}),
 dn as (select resume_id, sum(tf * tf) d2 from dt group by 1), pn as (select label, sum(tf * tf) p2 from pt group by 1),
 sh as (select resume_id, label, sum(dt.tf * pt.tf) dot, sum(dt.tf * dt.tf) ds, sum(pt.tf * pt.tf) ps from dt join pt using (term) group by 1, 2),
 sim as (select resume_id, label, dot / (sqrt(ds + {scoring.UNSHARED**2} * (d2 - ds)) * sqrt(ps + {scoring.UNSHARED**2} * (p2 - ps))) ts from sh join dn using (resume_id) join pn using (label)),
-own as (select resume_id, list(distinct canonical) own from {_CANON} group by 1), ex as ({_EXPERIENCE}),
+own as (select resume_id, list(distinct canonical) own from {_CANON} group by 1), ex as ({_experience_sql('resume_id', 'resume_text', 'docs')}),
 pairs as (select d.resume_id, p.label, coalesce(own, []) own, list_distinct(required_skills) req, list_distinct(preferred_skills) pref, list_distinct(list_concat(required_skills, preferred_skills)) both_,
-  coalesce(total_years, 0) y, coalesce(leadership_indicators, 0) l, coalesce(ts, 0) ts from docs d cross join profiles_learned p left join own using (resume_id) left join ex using (resume_id) left join sim using (resume_id, label)),
+  coalesce(total_years, 0) y, coalesce(leadership_indicators, 0) l, coalesce(ts, 0) ts from docs d cross join profiles_learned p left join own using (resume_id) left join ex using (resume_id) left join sim using (resume_id, label) where only_label is null or only_label = p.label),
 parts as (select *, len(list_intersect(own, req)) / greatest(len(req), 1) required, len(list_intersect(own, pref)) / greatest(len(pref), 1) preferred, least(len(list_intersect(own, both_)) / greatest(len(own), 1), 1.0) coverage,
   least(y / 8.0, 1.0) yrs, least(l / 2.0, 1.0) leadership, len(list_intersect(own, both_)) / greatest(len(list_distinct(list_concat(own, both_))), 1) overlap from pairs)
 select resume_id, label, round(100 * (0.28 * required + 0.16 * preferred + 0.14 * coverage + 0.14 * yrs + 0.08 * leadership + 0.12 * ts + 0.08 * overlap), 2) fit_score,
   round(required, 4) required, round(preferred, 4) preferred, round(coverage, 4) coverage, round(yrs, 4) as "years", round(leadership, 4) leadership, round(ts, 4) text_similarity, round(overlap, 4) overlap,
-  len(list_intersect(own, both_)) n_matched from parts"""
+  list_sort(list_intersect(own, both_)) matched, list_sort(list_filter(both_, lambda x: not list_contains(own, x))) missing from parts"""
+
+
+_SCORES = scores_sql()
 
 
 @query(_SCORES)
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Every resume against every learned profile."""
-    s = _score(spark, d)
-    return s.withColumn("n_matched", F.size("matched")).drop("matched", "missing")
+    return _score(spark, d)
 
 
 @query(f"""with s as (select resume_id, label, fit_score from ({_SCORES})), r as (select *, row_number() over (partition by resume_id order by fit_score desc, label) rn from s)
@@ -269,7 +295,7 @@ select resume_id, max(case when rn = 1 then label end) best_label, max(case when
 round(max(case when rn = 1 then fit_score end) - max(case when rn = 2 then fit_score end), 2) margin, case when max(case when rn = 1 then fit_score end) >= 70 then 'advance' when max(case when rn = 1 then fit_score end) >= 40 then 'consider' else 'reject' end band
 from r where rn <= 2 group by 1""")
 def best_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """The best label of every resume and its margin."""
+    """The best label of every resume and its margin."""
     b = scoring.best_and_margin(_score(spark, d), "resume_id", "label", "fit_score")
     return b.withColumn("margin", F.round("margin", 2)).withColumn("band", scoring.fit_band(F.col("best")))
 
@@ -280,7 +306,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select req_id, resume_id, y_true, y_pred, decision_source from (select *, row_number() over (partition by req_id, resume_id order by scored_at desc nulls last, loaded_at desc nulls last, y_pred, decision_source, scores) rn from predictions) where rn = 1""")
 def latest_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """The last scoring of each application."""
+    """The last scoring of each application."""
     w = Window.partitionBy("req_id", "resume_id").orderBy(F.desc_nulls_last("scored_at"), F.desc_nulls_last("loaded_at"), F.asc_nulls_last("y_pred"), F.asc_nulls_last("decision_source"), F.asc_nulls_last("scores"))
     return table(spark, d, "predictions").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("req_id", "resume_id", "y_true", "y_pred", "decision_source")
 
@@ -297,7 +323,7 @@ per as (select label, coalesce((select sum(n) from x where t = label), 0) tn, co
 m as (select *, case when pn = 0 then 0 else tp / pn end pr, case when tn = 0 then 0 else tp / tn end rc, case when tn + pn = 0 then 0 else 2 * tp / (tn + pn) end f1 from per)
 select round(sum(tp) / sum(tn), 4) accuracy, round(avg(pr), 4) precision_macro, round(avg(rc), 4) recall_macro, round(avg(f1), 4) f1_macro, round(sum(f1 * tn) / sum(tn), 4) f1_weighted, sum(tn)::bigint support, count(*) classes from m""")
 def classification(spark: SparkSession, d: str) -> DataFrame:
-    """A1, A2, A3, M7."""
+    """A1, M7."""
     return scoring.classification_metrics(_pred(spark, d), "t", "p")
 
 
@@ -313,17 +339,17 @@ def decision_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").groupBy("decision_source").agg(F.count("*").alias("n"))
 
 
-@query(f"""select th threshold, count(*) n, round(avg((y_true = y_pred)::int), 6) accuracy, round(avg((fit_score >= th)::int), 6) selected from (select {SQL_LABEL.format('y_true')} y_true, {SQL_LABEL.format('y_pred')} y_pred, fit_score from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)), (select unnest([40.0, 50.0, 60.0, 70.0, 80.0]) th) where fit_score >= th - 20 group by 1""")
+@query(f"""select th threshold, count(*) n, round(avg((y_true = y_pred)::int), 6) accuracy, round(avg((fit_score >= th)::int), 6) selected from (select {SQL_LABEL.format('y_true')} y_true, {SQL_LABEL.format('y_pred')} y_pred, fit_score from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)), (select unnest([40.0, 50.0, 60.0, 70.0, 80.0]) th) group by 1""")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """stored scores by five cut-offs; A24 is left out."""
+    """stored scores by five cut-offs."""
     p = table(spark, d, "predictions").where("y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)")
-    x = p.select((tx.label_key(F.col("y_true")) == tx.label_key(F.col("y_pred"))).cast("int").alias("ok"), "fit_score", F.explode(F.array(*(F.lit(v) for v in (40.0, 50.0, 60.0, 70.0, 80.0)))).alias("threshold")).where("fit_score >= threshold - 20")
+    x = p.select((tx.label_key(F.col("y_true")) == tx.label_key(F.col("y_pred"))).cast("int").alias("ok"), "fit_score", F.explode(F.array(*(F.lit(v) for v in (40.0, 50.0, 60.0, 70.0, 80.0)))).alias("threshold"))
     return x.groupBy("threshold").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg((F.col("fit_score") >= F.col("threshold")).cast("int")), 6).alias("selected"))
 
 
 @query("select decision_source, round(quantile_cont(fit_score, 0.25), 6) q25, round(quantile_cont(fit_score, 0.5), 6) q50, round(quantile_cont(fit_score, 0.75), 6) q75 from predictions where fit_score is not null and not isnan(fit_score) group by 1")
 def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """A22."""
+    """Quartiles of the stored scores by source."""
     p = table(spark, d, "predictions").where("fit_score is not null and not isnan(fit_score)")
     return p.groupBy("decision_source").agg(*(F.round(F.percentile("fit_score", F.lit(q)), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
 
@@ -338,7 +364,7 @@ select k, round(avg(hit / k), 4) precision_at, round(avg(hit / total), 4) recall
 
 @query(_RANK)
 def ranking(spark: SparkSession, d: str) -> DataFrame:
-    """A12, A23, W3, W4, W5, F13."""
+    """A12, A23, W3, W4, W5, J14."""
     p = table(spark, d, "predictions").where("y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)")
     best = p.select(tx.label_key(F.col("y_pred")).alias("job"), F.col("resume_id").alias("item"), F.col("fit_score").alias("score"), (tx.label_key(F.col("y_true")) == tx.label_key(F.col("y_pred"))).cast("int").alias("rel"))
     return scoring.ranking_metrics(best.groupBy("job", "item").agg(F.max("score").alias("score"), F.max("rel").alias("rel")), "job", "item", "score", "rel")
@@ -368,15 +394,6 @@ def extraction_by_skill(spark: SparkSession, d: str) -> DataFrame:
     return scoring.extraction_metrics(*_gold(spark, d), ["skill"])
 
 
-@query(f"""select count(*) n, round(avg(b - a), 6) mean_delta, round(avg((b >= 60)::int) - avg((a >= 60)::int), 6) selection_delta from (
-select x.req_id, x.resume_id, min(x.fit_score) a, max(x.fit_score) b from predictions x where fit_score is not null and not isnan(fit_score) group by 1, 2)""")
-def fairness_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Lowest against highest scoring of each application."""
-    p = table(spark, d, "predictions").where("fit_score is not null and not isnan(fit_score)").groupBy("req_id", "resume_id").agg(F.min("fit_score").alias("a"), F.max("fit_score").alias("b"))
-    at = lambda c: F.avg((F.col(c) >= 60).cast("int"))
-    return p.agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_delta"), F.round(at("b") - at("a"), 6).alias("selection_delta"))
-
-
 @query()
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """A16."""
@@ -391,39 +408,65 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return r
 
 
-_VEC = f"""docs as (select resume_id id, resume_text t, {SQL_LABEL.format('label')} label from resumes where resume_text is not null and label is not null),
-n as (select count(*) n from docs), tf as (select id, term, count(*) tf from (select id, unnest({SQL_TOKENS.format('t')}) term from docs) group by 1, 2),
-df as (select term, count(*) df from tf group by 1 having count(*) >= 2), raw as (select id, term, tf * (ln((1 + n) / (1 + df)) + 1) w from tf join df using (term), n),
-vec as (select id, term, w / sqrt(sum(w * w) over (partition by id)) w from raw), size as (select label, count(*) c from docs group by 1)"""
+def _grams_sql(words: str, longest: int) -> str:
+    """All runs of 1 to ``longest`` of a list of words."""
+    runs = [f"list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))" for n in range(1, longest + 1)]
+    return "flatten([" + ", ".join(runs) + "])"
+
+
+def _tfidf_sql(name: str, rows: str, key: str, words: str, longest: int, fit: str, min_df: int = 2, max_df: float = 1.0, most: int = 1 << 30, sublinear: bool = False) -> str:
+    """Common tables ``{name}`` (key, term, w): unit vectors over the vocabulary of the rows for which ``fit`` holds."""
+    tf = "1 + ln(tf)" if sublinear else "tf"
+    return f"""{name}_w as (select {key}, {fit} fit, {words} w from {rows}), {name}_tf as (select {key}, fit, term, count(*) tf from (select {key}, fit, unnest({_grams_sql('w', longest)}) term from {name}_w) group by 1, 2, 3),
+{name}_n as (select count(*) n from {name}_w where fit), {name}_df as (select term, ln((1 + n) / (1 + count(*))) + 1 idf, sum(tf) a from {name}_tf, {name}_n where fit group by term, n having count(*) >= {min_df} and count(*) <= {max_df} * n order by a desc, term limit {most}),
+{name}_raw as (select {key}, term, ({tf}) * idf w from {name}_tf join {name}_df using (term)), {name} as (select {key}, term, w / sqrt(sum(w * w) over (partition by {key})) w from {name}_raw)"""
 
 
-@query(f"""with {_VEC}, cent as (select label, term, sum(w) / any_value(c) w from vec join docs using (id) join size using (label) group by 1, 2), cn as (select label, sqrt(sum(w * w)) nrm from cent group by 1),
-sims as (select v.id, c.label, sum(v.w * c.w) / any_value(nrm) s from vec v join cent c using (term) join cn on cn.label = c.label group by 1, 2),
+_LABELLED = f"(select resume_id id, resume_text t, {SQL_LABEL.format('label')} label, coalesce(lower(trim(split)) = 'train', false) train from resumes where resume_text is not null and label is not null)"
+
+
+@query(f"""with docs as {_LABELLED}, {_tfidf_sql('vec', 'docs', 'id', SQL_WORDS.format('t'), 2, 'train', 2, 1.0, 30000)},
+size as (select label, count(*) c from docs where train group by 1), cent as (select label, term, sum(w) / any_value(c) w from vec join docs using (id) join size using (label) where train group by 1, 2), cn as (select label, sqrt(sum(w * w)) nrm from cent group by 1),
+sims as (select v.id, c.label, sum(v.w * c.w) / any_value(nrm) s from vec v join docs d on d.id = v.id and not d.train join cent c using (term) join cn on cn.label = c.label group by 1, 2),
 r as (select *, row_number() over (partition by id order by round(s, 9) desc, label) rn from sims) select id, label, round(s, 5) similarity from r where rn = 1""")
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """By single words; with word pairs as in L1 in ``nearest_centroid_pairs``."""
-    docs = _labelled(spark, d)
-    counts = cut(vectors.term_counts(docs, "id", "text"))
-    vec = cut(vectors.tfidf(counts, docs.count()))
-    out = vectors.nearest_centroid(vec, cut(vectors.centroids(vec, docs.select("id", "label"))))
+    """Words and pairs of words; vocabulary, weights and centroids of the training split, labels of all other resumes."""
+    docs = cut(_labelled(spark, d).join(_split(spark, d), "id"))
+    counts = cut(vectors.term_counts(docs, "id", "text", 2))
+    train = docs.where("train")
+    seen = counts.join(train.select("id"), "id", "left_semi")
+    vec = cut(vectors.weigh(counts, cut(vectors.vocabulary(seen, train.count(), 2, most=30_000))))
+    cents = cut(vectors.centroids(vec.join(train.select("id"), "id", "left_semi"), train.select("id", "label")))
+    out = vectors.nearest_centroid(vec.join(docs.where("not train").select("id"), "id", "left_semi"), cents)
     return out.withColumn("similarity", F.round("similarity", 5))
 
 
-@query()
-def nearest_centroid_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """L1, L2: by words and pairs of adjacent words."""
-    docs = _labelled(spark, d)
-    vec = cut(vectors.tfidf(cut(vectors.term_counts(docs, "id", "text", bigrams=True)), docs.count()))
-    out = vectors.nearest_centroid(vec, cut(vectors.centroids(vec, docs.select("id", "label"))))
-    return out.withColumn("similarity", F.round("similarity", 5))
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "resumes").select(F.col("resume_id").alias("id"), F.coalesce(F.lower(F.trim("split")) == "train", F.lit(False)).alias("train"))
 
 
-@query()
+_TERM_SHAPE = r"^(?i)[a-z][a-z\-+#]+(?: [a-z][a-z\-+#]+){0,2}$"
+
+
+@query(rf"""with docs as {_LABELLED}, {_tfidf_sql('vec', 'docs', 'id', SQL_TOKENS.format('t'), 2, 'true', 3, 0.6, 10000, True)}, n as (select label, count(*) n from docs group by 1), al as (select count(*) al from docs),
+ins as (select label, term, sum(w) s_in from vec join docs using (id) group by 1, 2), whole as (select term, sum(s_in) s_all from ins group by 1),
+sc as (select label, term, round(s_in / n - (s_all - s_in) / greatest(al - n, 1), 6) score from ins join whole using (term) join n using (label), al where n >= 2),
+r as (select *, row_number() over (partition by label order by score desc, term) rn from sc qualify rn <= 24)
+select label, term, score, (row_number() over (partition by label order by score desc, term))::int rank_no from r where regexp_matches(term, '(?i)^[a-z][a-z\-+#]+(?: [a-z][a-z\-+#]+){{0,2}}$') qualify rank_no <= 8""")
 def characteristic_terms(spark: SparkSession, d: str) -> DataFrame:
-    """A10, F10, T4."""
+    """Of the 24 best terms of a label the 8 best that are no numbers or single letters."""
     docs = _labelled(spark, d)
-    vec = cut(vectors.tfidf(vectors.term_counts(docs, "id", "text", bigrams=True), docs.count(), 3, sublinear=True, max_df=0.6))
-    return vectors.characteristic_terms(vec, docs.select("id", "label"), least_docs=2, shape=r"^(?i)[a-z][a-z\-+#]+(?: [a-z][a-z\-+#]+){0,2}$")
+    vec = cut(vectors.tfidf(cut(vectors.term_counts(docs, "id", "text", 2, tx.STOP)), docs.count(), 3, sublinear=True, max_df=0.6, most=10_000))
+    return vectors.characteristic_terms(vec, docs.select("id", "label"), least_docs=2, shape=_TERM_SHAPE)
+
+
+_ENTRY_TEXT = "concat_ws(' ', nullif(canonical, ''), nullif(category, ''), nullif(description, ''), array_to_string(aliases, ' '))"
+LEXICON_SQL = _tfidf_sql("ent", f"(select canonical, {_ENTRY_TEXT} t from lexicon)", "canonical", SQL_WORDS.format("t"), 3, "true", 1)
+ORACLE["lexicon_search"] = f"""with {LEXICON_SQL}, p as (select distinct {SQL_KEY.format('phrase')} phrase from skill_matches where phrase is not null),
+tf as (select phrase, term, count(*) tf from (select phrase, unnest({_grams_sql('w', 3)}) term from (select phrase, {SQL_WORDS.format('phrase')} w from p where phrase <> '')) group by 1, 2),
+raw as (select phrase, term, tf * idf w from tf join ent_df using (term)), nm as (select phrase, sqrt(sum(w * w)) nrm from raw group by 1),
+s as (select phrase, canonical, round(least(sum(raw.w * ent.w) / any_value(nrm), 1.0), 6) score from raw join ent using (term) join nm using (phrase) group by 1, 2 having score >= 0.15)
+select phrase, canonical, score, (row_number() over (partition by phrase order by score desc, canonical))::int rank_no from s qualify rank_no <= 3"""
 
 
 def _skill_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -467,10 +510,14 @@ def resolve_profiles(spark: SparkSession, d: str) -> DataFrame:
     return want.join(extract.small(p), "key", "left").select("label", F.coalesce("description", made).alias("description"), F.coalesce("n", F.lit(1)).alias("n_required"))
 
 
-@query("""with b as (select resume_id, label, row_number() over (partition by label order by md5('42:' || resume_id), resume_id) rn, count(*) over (partition by label) n from resumes) select label, count(*) n, sum((rn <= round(n * 0.2))::int)::bigint n_test, min(case when rn <= round(n * 0.2) then resume_id end) first_test from b group by 1""")
+@query(f"""with b as (select resume_id, {SQL_LABEL.format('label')} label from resumes), c as (select label, count(*) n from b group by 1), one as (select case when min(n) = 1 then 1 else 0 end mixed from c),
+k as (select resume_id, label, case when mixed = 1 then '' else coalesce(label, chr(0)) end g from b, one), s as (select g, count(*) n from k group by 1), t as (select sum(n) total, ceil(sum(n) * 0.2 - 1e-9) want from s),
+q as (select g, n, n * want / total exact, floor(n * want / total) least_, want from s, t), z as (select g, least_ + case when row_number() over (order by round(exact - least_, 9) desc, g) <= want - sum(least_) over () then 1 else 0 end quota from q),
+r as (select resume_id, label, row_number() over (partition by g order by md5('42:' || resume_id), resume_id) <= quota test from k join z using (g))
+select label, count(*) n, count(*) filter (where test) n_test, min(case when test then resume_id end) first_test from r group by 1""")
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
-    """L13, W8."""
-    s = vectors.stratified_split(table(spark, d, "resumes").select("resume_id", "label"), "resume_id", "label")
+    """L13 over labels in one spelling; by label."""
+    s = vectors.stratified_split(table(spark, d, "resumes").select("resume_id", tx.label_key(F.col("label")).alias("label")), "resume_id", "label")
     test = F.col("split_name") == "test"
     return s.groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(test, 1)).alias("n_test"), F.min(F.when(test, F.col("resume_id"))).alias("first_test"))
 
