@@ -197,7 +197,7 @@ def tokens(c: Column, stop: list[str] = ()) -> Column:
 
 
 def ngrams(words: Column, longest: int) -> Column:
-    """All runs of 1 to ``longest`` words, joined by blanks."""
+    """All runs of 1 to ``longest`` words, joined by blanks; give it a plain column, which every run reads."""
     def runs_of(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
@@ -206,10 +206,9 @@ def ngrams(words: Column, longest: int) -> Column:
 
 
 def char_grams(c: Column, n: int = 3) -> Column:
-    """All runs of ``n`` characters of the lower-cased text with blanks collapsed."""
-    t = F.regexp_replace(F.lower(c), r"\s\s+", " ")
-    at = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(t, i, F.lit(n)))
+    """All runs of ``n`` characters; give it a plain column, which every run reads."""
+    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
 
 
 def cache_key(*parts: Column) -> Column:

@@ -81,33 +81,29 @@ def ordered_forms(lexicon: DataFrame) -> DataFrame:
     return lexicon.select("canonical", F.transform(F.array_sort(keyed), lambda x: x["f"]).alias("forms"))
 
 
-def _grams(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, spans: bool) -> DataFrame:
-    """``(id, canonical[, start_at, end_at, surface])`` of every run of pieces of a text that is a lexicon form.
+PIECE = r"[a-z0-9]+|[^a-z0-9\s]"
+
+
+def _grams(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+    """``(id, i, n, canonical)`` of every run of ``n`` pieces of a text, from piece ``i`` on, that is a lexicon form.
 
     Word runs of each text are joined with the forms, so the cost is that of the text, not text times lexicon.
     """
-    piece = r"[a-z0-9]+|[^a-z0-9\s]"
-    split = lambda c: F.regexp_extract_all(c, F.lit(piece), F.lit(0))
+    split = lambda c: F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
     forms = lexicon_forms(lexicon).select(split(F.col("form")).alias("w"), "canonical").where("size(w) > 0")
     keyed = forms.select(F.array_join("w", " ").alias("gram"), F.col("w")[0].alias("head"), F.size("w").alias("n"), "canonical").distinct()
     longest = keyed.agg(F.max("n")).first()[0] or 1
-    low = F.lower(F.col(text_col))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), split(low).alias("w"), F.split(low, piece).alias("gaps")).where("size(w) > 0")
-    # a piece begins behind all gaps and pieces before it
-    ends = F.aggregate(F.sequence(F.lit(0), F.size("w") - 1), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + F.length(F.get("gaps", i)) + F.length(F.get("w", i))))) if spans else F.array().cast("array<int>")
-    rows = src.select("id", "text", "w", ends.alias("ends"), F.posexplode("w").alias("i", "head")).join(small(keyed.select("head").distinct()), "head", "left_semi")
-    runs = F.array(*(F.when(F.col("i") + n <= F.size("w"), F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(n)), " ").alias("gram"))) for n in range(1, longest + 1)))
-    grams = rows.select("id", "text", "w", "ends", "i", F.explode(runs).alias("g")).where("g is not null").select("id", "text", "w", "ends", "i", "g.n", "g.gram")
-    found = grams.join(small(keyed.select("gram", "canonical")), "gram")
-    if not spans:
-        return found.select("id", "canonical").distinct()
-    start = F.get("ends", F.col("i")) - F.length(F.get("w", F.col("i")))
-    return found.select("id", "canonical", start.alias("start_at"), F.get("ends", F.col("i") + F.col("n") - 1).alias("end_at"), "text").select("id", "canonical", "start_at", "end_at", F.substring("text", F.col("start_at") + 1, F.col("end_at") - F.col("start_at")).alias("surface"))
+    src = docs.select(F.col(id_col).alias("id"), split(F.lower(F.col(text_col))).alias("w")).where("size(w) > 0")
+    heads = F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("head"), F.slice("w", i + 1, F.lit(longest)).alias("run")))
+    rows = src.select("id", F.explode(heads).alias("h")).select("id", "h.*").join(small(keyed.select("head").distinct()), "head", "left_semi")
+    runs = F.array(*(F.when(F.size("run") >= n, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("run", 1, n), " ").alias("gram"))) for n in range(1, longest + 1)))
+    grams = rows.select("id", "i", F.explode(runs).alias("g")).where("g is not null").select("id", "i", "g.n", "g.gram")
+    return grams.join(small(keyed.select("gram", "canonical")), "gram").select("id", "i", "n", "canonical")
 
 
 def lexicon_matches(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """``(id, canonical)`` of every lexicon entry that stands in a text as whole words."""
-    return _grams(docs, id_col, text_col, lexicon, False)
+    return _grams(docs, id_col, text_col, lexicon).select("id", "canonical").distinct()
 
 
 def skill_spans(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
@@ -115,14 +111,21 @@ def skill_spans(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame)
 
     An entry that stands only inside a longer form of another entry is none.
     """
-    found = _grams(docs, id_col, text_col, lexicon, True)
-    at = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start_at", (-F.col("end_at")).alias("back"), "canonical", "surface"))).alias("at"))
+    found = _grams(docs, id_col, text_col, lexicon).groupBy("id").agg(F.collect_set(F.struct("i", F.col("n").alias("n"), "canonical")).alias("m"))
+    low = F.lower(F.col(text_col))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.regexp_extract_all(low, F.lit(PIECE), F.lit(0)).alias("w"), F.split(low, PIECE).alias("gaps"))
+    long = lambda c, upto: F.aggregate(F.slice(c, F.lit(1), upto), F.lit(0), lambda s, x: s + F.length(x))
+    start = lambda x: long("gaps", x["i"] + 1) + long("w", x["i"])
+    end = lambda x: long("gaps", x["i"] + x["n"]) + long("w", x["i"] + x["n"])
+    places = F.array_sort(F.transform("m", lambda x: F.struct(start(x).alias("start_at"), (-end(x)).alias("back"), x["canonical"].alias("canonical"))))
+    at = src.where(F.col("text").isNotNull()).join(found, "id").select("id", "text", places.alias("at"))
     # from left to right, each match begins where the one before it has ended
-    free = F.expr("""aggregate(at, named_struct('upto', 0, 'got', cast(array() as array<struct<start_at: int, end_at: int, canonical: string, surface: string>>)),
+    free = F.expr("""aggregate(at, named_struct('upto', 0, 'got', cast(array() as array<struct<start_at: int, end_at: int, canonical: string>>)),
         (s, x) -> if(x.start_at < s.upto, s, named_struct('upto', -x.back, 'got',
-            if(exists(s.got, g -> g.canonical = x.canonical), s.got, concat(s.got, array(named_struct('start_at', x.start_at, 'end_at', -x.back, 'canonical', x.canonical, 'surface', x.surface)))))),
+            if(exists(s.got, g -> g.canonical = x.canonical), s.got, concat(s.got, array(named_struct('start_at', x.start_at, 'end_at', -x.back, 'canonical', x.canonical)))))),
         s -> s.got)""")
-    return at.select("id", F.explode(free).alias("s")).select("id", "s.canonical", "s.surface", "s.start_at", "s.end_at")
+    out = at.select("id", "text", F.explode(free).alias("s"))
+    return out.select("id", "s.canonical", F.substring("text", F.col("s.start_at") + 1, F.col("s.end_at") - F.col("s.start_at")).alias("surface"), "s.start_at", "s.end_at")
 
 
 def canonical_skills(matches: DataFrame, lexicon: DataFrame, least: float = 0.4) -> DataFrame:

@@ -143,7 +143,7 @@ def extraction_metrics(gold: DataFrame, found: DataFrame, by: list[str]) -> Data
     """tp, fp, fn, precision, recall and F1 of ``(id, skill)`` rows per group; ids without gold are ignored, missing predictions count as empty."""
     g = gold.distinct().withColumn("g", F.lit(1))
     f = found.distinct().join(gold.select("id").distinct(), "id", "left_semi").withColumn("f", F.lit(1))
-    both = g.join(f, ["id", "skill"], "full")
+    both = g.join(f, list(dict.fromkeys(["id", "skill", *by])), "full")
     out = both.groupBy(*by).agg(F.count(F.when(F.col("g").isNotNull() & F.col("f").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("g").isNull(), 1)).alias("fp"), F.count(F.when(F.col("f").isNull(), 1)).alias("fn"))
     div = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / F.when(b != 0, b), 4))
     return out.select(*by, "tp", "fp", "fn", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
