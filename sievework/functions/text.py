@@ -232,3 +232,10 @@ def embedding_text(canonical: Column, category: Column, description: Column, ali
 def sorted_scores(scores: Column) -> Column:
     """A score map as JSON with sorted keys."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(scores))))
+
+
+def profile_description(label: Column, terms: Column) -> Column:
+    """A sentence on a label in title case, with its five most characteristic terms if it has any."""
+    name = F.initcap(F.lower(F.translate(label, "_-", "  ")))
+    five = F.array_join(F.slice(terms, 1, 5), ", ")
+    return F.when(F.size(F.coalesce(terms, F.array().cast("array<string>"))) > 0, F.concat(name, F.lit(" role focused on "), five, F.lit("."))).otherwise(F.concat(F.lit("Role focused on "), F.lower(name), F.lit(".")))

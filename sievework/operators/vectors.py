@@ -80,6 +80,11 @@ def characteristic_terms(vectors: DataFrame, labels: DataFrame, k: int = 8, leas
     return out.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= k).select("label", "term", "score", "rank_no")
 
 
+def term_lists(terms: DataFrame) -> DataFrame:
+    """``(label, terms)``: the characteristic terms of each label, best first."""
+    return terms.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank_no", "term"))).alias("t")).select("label", F.transform("t", lambda x: x["term"]).alias("terms"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import extract, rationale, scoring, softmatch, supervised, vectors
 from ..session import cut, table
+from ..sources import files
 from . import registry as base
 from .registry import _lit, query
 
@@ -440,3 +441,52 @@ def svc_predictions(spark: SparkSession, d: str) -> DataFrame:
     docs = base._labelled(spark, d).join(base._split(spark, d), "id")
     extra = base.structure_features(spark, d).select(F.col("resume_id").alias("id"), F.array(*(F.col(c).cast("double") for c in ("log_length", "n_words", "n_numbers"))).alias("extra"))
     return supervised.fit_and_predict(docs.join(extra, "id"), "id", "text", "label", "train", "extra")
+
+
+@query(f"""with c as ({base.ORACLE['characteristic_terms']}), t as (select label, list(term order by rank_no) terms from c group by 1), w as (select distinct {base.SQL_LABEL.format('label')} label from resumes where label is not null),
+n as (select label, array_to_string(list_transform(string_split(lower(replace(replace(label, '_', ' '), '-', ' ')), ' '), lambda x: upper(x[1]) || x[2:]), ' ') nm from w)
+select label, case when terms is not null then nm || ' role focused on ' || array_to_string(terms[1:5], ', ') || '.' else 'Role focused on ' || lower(nm) || '.' end description from n left join t using (label)""")
+def profile_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Every label described by its characteristic terms."""
+    want = table(spark, d, "resumes").where("label is not null").select(tx.label_key(F.col("label")).alias("label")).distinct()
+    terms = vectors.term_lists(base.characteristic_terms(spark, d))
+    return want.join(terms, "label", "left").select("label", tx.profile_description(F.col("label"), F.col("terms")).alias("description"))
+
+
+# ---- outputs
+
+
+@query(f"""with sp as ({SPANS_SQL.replace('with recursive', 'with recursive', 1)}), r as (select resume_id, coalesce({base.SQL_LABEL.format('label')}, 'unknown') category from resumes where resume_text is not null)
+select resume_id, category, coalesce(list_sort(list(distinct canonical) filter (where canonical is not null)), []) skills from r left join sp on id = resume_id group by 1, 2""")
+def gold_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Gold records with their spans written and read again."""
+    at = base._place(spark, "gold")
+    files.write_gold(skill_spans(spark, d), _gold_categories(spark, d), at)
+    return files.read_gold(spark, at)
+
+
+_REPORT = "'# Candidate Report: Resume ' || resume_id || chr(10) || chr(10) || 'Label: ' || label || chr(10) || 'Fit score: ' || fit_score"
+
+
+@query(f"""with s as ({base._SCORES}), r as (select resume_id, label, matched, missing from s qualify row_number() over (partition by resume_id order by fit_score desc, label) = 1), x as ({base._EXPERIENCE}), own as (select resume_id, list_sort(list(distinct canonical)) own from {base._CANON} group by 1)
+select resume_id, md5('# Candidate Report: Resume ' || resume_id || chr(10) || chr(10) || 'Label: ' || label || chr(10) || 'Fit score: 0.0' || chr(10) || 'Recommendation: n/a' || chr(10) || chr(10) || '## Extracted Skills' || chr(10) || coalesce(array_to_string(own, ', '), 'None detected') || chr(10) || chr(10)
+|| '## Strengths' || chr(10) || case when len(matched) > 0 then array_to_string(matched[1:5], ', ') else 'None' end || chr(10) || chr(10) || '## Gaps' || chr(10) || case when len(missing) > 0 then array_to_string(missing[1:5], ', ') else 'None' end || chr(10) || chr(10) || '## Rationale' || chr(10) || 'n/a' || chr(10) || chr(10)
+|| '## Experience Signals' || chr(10) || 'Years: ' || total_years || chr(10) || 'Leadership indicators: ' || leadership_indicators || chr(10) || 'Impact statements: ' || impact_statements) report_md5 from r join x using (resume_id) left join own using (resume_id)""")
+def candidate_reports(spark: SparkSession, d: str) -> DataFrame:
+    """A report text per resume (without its score, which engines print differently)."""
+    return files.candidate_report(report_rows(spark, d).withColumn("fit_score", F.lit(None).cast("double"))).select("resume_id", F.md5("report").alias("report_md5"))
+
+
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a report tells of each resume."""
+    own = base.canonical_skills(spark, d).groupBy("resume_id").agg(F.sort_array(F.collect_set("canonical")).alias("skills"))
+    rows = evaluations(spark, d).join(base.experience(spark, d), "resume_id").join(own, "resume_id", "left")
+    none = F.lit(None).cast("string")
+    return rows.select("resume_id", "label", "fit_score", none.alias("recommendation"), "skills", "strengths", "gaps", none.alias("rationale"), "total_years", "leadership_indicators", "impact_statements")
+
+
+@query("""select resume_id, label, split from resumes""")
+def serialised(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as JSON objects, read again."""
+    t = table(spark, d, "resumes").select("resume_id", "label", "split")
+    return files.to_json(t).select(F.from_json("json", "resume_id long, label string, split string").alias("r")).select("r.*")

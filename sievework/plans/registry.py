@@ -557,27 +557,63 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
 
 
-@query("select resume_id, resume_text, label from resumes")
+@query("select resume_id, raw_text, education, experience, skills_raw, projects, certifications, contact from extracted")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """S3, S5, K1, K4."""
+    """Nested records written as JSON lines and read again."""
     at = _place(spark, "jsonl")
-    files.write_jsonl(table(spark, d, "resumes").select("resume_id", "resume_text", "label"), at)
-    return files.read_jsonl(spark, at, "resume_id long, resume_text string, label string")
+    rows = table(spark, d, "extracted")
+    files.write_jsonl(rows, at)
+    lists = ", ".join(f"{n} array<string>" for n in ("education", "experience", "skills_raw", "projects", "certifications", "contact"))
+    return files.read_jsonl(spark, at, f"resume_id long, raw_text string, {lists}")
 
 
-@query("select req_id, resume_id, y_true, y_pred from predictions")
+@query("select row_number() over (order by resume_id) - 1 resume_id, resume_text, label from (select resume_id, coalesce(resume_text, '') resume_text, coalesce(label, 'nan') label from resumes) qualify trim(resume_text) <> ''")
+def corpus_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus written as CSV and read as a new one: columns found by name, rows numbered before blank ones leave."""
+    at = _place(spark, "corpus")
+    files.write_csv(table(spark, d, "resumes").orderBy("resume_id").coalesce(1).select(F.col("resume_text").alias("Text"), F.col("label").alias("Category")), at)
+    return files.read_corpus_csv(spark, at)
+
+
+@query("select req_id, resume_id, nullif(y_true, '') y_true, nullif(y_pred, '') y_pred, fit_score, nullif(decision_source, '') decision_source, nullif(scores, '') scores from predictions")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """S1, S4, K2."""
+    """Predictions written as CSV and read as an optional input (empty cells are null); a missing one reads as none."""
     at = _place(spark, "csv")
-    files.write_csv(table(spark, d, "predictions").select("req_id", "resume_id", "y_true", "y_pred"), at)
-    return spark.read.schema("req_id long, resume_id long, y_true string, y_pred string").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at)
+    cols = "req_id long, resume_id long, y_true string, y_pred string, fit_score double, decision_source string, scores string"
+    files.write_csv(table(spark, d, "predictions").select(*(c.split()[0] for c in cols.split(", "))), at)
+    assert files.read_if_there(spark, at + "-none", cols) is None
+    return files.read_if_there(spark, at, cols)
+
+
+_KEYED = "(select doc_kind cache_key, text response, received_at created_at from documents where doc_kind is not null and text is not null and received_at is not null)"
 
 
-@query("select doc_kind cache_key, max(text) response from (select doc_kind, text, row_number() over (partition by doc_kind order by received_at desc, text desc) rn from documents where doc_kind is not null and text is not null and received_at is not null) where rn = 1 group by 1")
+@query(f"select cache_key, max(response) response from (select *, row_number() over (partition by cache_key order by created_at desc, response desc) rn from {_KEYED}) where rn = 1 group by 1")
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The latest entry of every key."""
+    """K9: the later half of the entries merged into a table that holds the earlier half."""
     t = table(spark, d, "documents").where("doc_kind is not null and text is not null and received_at is not null").select(F.col("doc_kind").alias("cache_key"), F.col("text").alias("response"), F.col("received_at").alias("created_at"))
-    return files.cache_upsert(t.limit(0), t).select("cache_key", "response")
+    late = F.pmod(F.xxhash64("response"), F.lit(2)) == 1
+    at = _place(spark, "cache")
+    files.upsert_table(spark, at, t.where(~late), files.cache_upsert)
+    return files.upsert_table(spark, at, t.where(late), files.cache_upsert).select("cache_key", "response")
+
+
+@query(f"select doc_id, cache_key, md5(response) response_md5 from (select doc_id, doc_kind from documents) join (select cache_key, max(response) response from (select *, row_number() over (partition by cache_key order by created_at desc, response desc) rn from {_KEYED}) where rn = 1 group by 1) on doc_kind = cache_key")
+def cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose key is in the cache, with its response."""
+    asked = table(spark, d, "documents").select("doc_id", F.col("doc_kind").alias("cache_key"))
+    hits, _ = files.cache_lookup(asked, cache_upsert(spark, d))
+    return hits.select("doc_id", "cache_key", F.md5("response").alias("response_md5"))
+
+
+@query(f"select distinct trim(regexp_replace(lower(replace(canonical, '/', ' ')), '\\s+', ' ', 'g')) id, concat_ws(' ', nullif(canonical, ''), nullif(category, ''), nullif(description, ''), array_to_string(aliases, ' ')) as document, upper(category) category from lexicon")
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """K8: the lexicon put into a store under its folded names, then put again with other metadata, which replaces it."""
+    lex = table(spark, d, "lexicon")
+    rows = lambda c: lex.select(tx.phrase_key(F.col("canonical")).alias("id"), tx.embedding_text(F.col("canonical"), F.col("category"), F.col("description"), F.col("aliases")).alias("document"), c.alias("category"))
+    at = _place(spark, "vectors")
+    files.upsert_table(spark, at, rows(F.col("category")), files.vector_upsert)
+    return files.upsert_table(spark, at, rows(F.upper("category")), files.vector_upsert)
 
 
 @query("select event_type, count(*) n, count(distinct user_id) users from events group by 1")

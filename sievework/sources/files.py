@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: column names under which text and label are looked for, by priority
@@ -26,12 +26,30 @@ def read_corpus_csv(spark: SparkSession, path: str, text_col: str | None = None,
     if text is None or text not in raw.columns:
         raise ValueError(f"no text column among {raw.columns}")
     label = label_col or guess_column(raw.columns, LABEL_NAMES)
-    w = Window.orderBy("at")  # a single sort by position: ids must follow the file
-    rows = raw.withColumn("at", F.monotonically_increasing_id()).withColumn("resume_id", (F.row_number().over(w) - 1).cast("bigint"))
+    rows = numbered(raw, "resume_id")
     out = rows.select("resume_id", F.coalesce(F.col(text), F.lit("")).alias("resume_text"), (F.coalesce(F.col(label), F.lit("nan")) if label else F.lit("unknown")).alias("label"))
     return out.where(F.trim("resume_text") != "")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with numbers 0, 1, 2, ... in the order they are read in: each partition counts on from the sum of those before it, nothing is sorted."""
+    counts = dict(rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
+    before, starts = 0, []
+    for p in sorted(counts):
+        starts += [F.lit(p), F.lit(before)]
+        before += counts[p]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(name, (place + (F.create_map(*starts)[F.spark_partition_id()] if starts else F.lit(0))).cast("bigint"))
+
+
+def find_record(rows: DataFrame, id_col: str, value: object) -> DataFrame:
+    """The one row of an id; an error if there is none."""
+    hit = rows.where(F.col(id_col) == F.lit(value)).limit(1)
+    if not hit.take(1):
+        raise LookupError(f"{id_col}={value} is not there")
+    return hit
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -97,16 +115,93 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
     """``(hits, misses)`` of requests against a key-value table."""
-    return requests.join(cache.select(key, "response"), key), requests.join(cache, key, "left_anti")
+    return requests.join(cache.select(key, "response"), key), requests.join(cache.select(key), key, "left_anti")
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, key: str = "cache_key", at: str = "created_at") -> DataFrame:
-    """The latest row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc("response"))
-    return cache.unionByName(new).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-
-
-def report_markdown(rows: DataFrame, title: str, most: int = 20) -> str:
-    """A short report of the first rows by id, as text."""
-    top = rows.orderBy(rows.columns[0]).limit(most).collect()
-    return "\n".join([f"# {title}", ""] + ["- " + ", ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in top])
+    """The latest row of each key, of rows as late as each other that with the greatest response; a null time is the oldest. Each task keeps one row a key before they meet."""
+    cols = [c for c in cache.columns if c != key]
+    both = cache.unionByName(new)
+    order = F.struct(F.col(at).isNotNull().alias("_there"), F.col(at).alias("_at"), F.col("response").alias("_r"))
+    return both.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in cols)).select(cache.columns)
+
+
+def vector_upsert(store: DataFrame, entries: DataFrame, key: str = "id") -> DataFrame:
+    """A store of ``(id, document, embedding, metadata)`` in which the new entries replace those of their id."""
+    return store.join(entries.select(key), key, "left_anti").unionByName(entries)
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, merge) -> DataFrame:
+    """Merges rows into a Parquet table as a new version beside the old one; ``merge(old, new)`` makes it, and the last whole version is read. An interrupted write leaves the old version."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))) if fs.exists(root) else []
+    old = spark.read.schema(new.schema).parquet(f"{path}/v{versions[-1]}") if versions else new.limit(0)
+    at = f"{path}/v{versions[-1] + 1 if versions else 0}"
+    merge(old, new).write.parquet(at)
+    return spark.read.schema(new.schema).parquet(at)
+
+
+def to_json(rows: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as one JSON object, nulls kept."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(name))
+
+
+def write_gold(spans: DataFrame, categories: DataFrame, path: str) -> None:
+    """Gold records ``(resume_id, category, skills, spans, review_status)`` as JSON lines; ``spans`` holds ``(id, canonical, surface, start_at, end_at)``, ``categories`` ``(id, category)`` of all records, those without a span too."""
+    span = F.struct("canonical", "surface", F.col("start_at").alias("start"), F.col("end_at").alias("end"))
+    per = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_at", span.alias("span")))).alias("s"))
+    rows = categories.join(per, "id", "left").select("id", "category", F.transform(F.coalesce("s", F.expr("filter(s, x -> false)")), lambda x: x["span"]).alias("spans"))
+    skills = F.array_sort(F.array_distinct(F.transform(F.coalesce("spans", F.expr("filter(spans, x -> false)")), lambda x: x["canonical"])))
+    none = F.array().cast("array<string>")
+    write_jsonl(rows.select(F.col("id").alias("resume_id"), "category", F.coalesce(skills, none).alias("skills"), "spans", F.lit("auto").alias("review_status")), path)
+
+
+REPORTS, SKILLS_SHOWN = 20, 12  # fixed values
+
+
+def candidate_report(rows: DataFrame) -> DataFrame:
+    """``(resume_id, report)``: one text per row ``(resume_id, label, fit_score, recommendation, skills, strengths, gaps, rationale, total_years, leadership_indicators, impact_statements)``."""
+    text = lambda n, other: F.coalesce(F.col(n).cast("string"), F.lit(other))
+    names = lambda n, other: F.when(F.size(F.coalesce(n, F.array().cast("array<string>"))) > 0, F.array_join(n, ", ")).otherwise(F.lit(other))
+    parts = [
+        F.concat(F.lit("# Candidate Report: Resume "), F.col("resume_id").cast("string")), F.lit(""), F.concat(F.lit("Label: "), text("label", "unknown")), F.concat(F.lit("Fit score: "), text("fit_score", "0.0")),
+        F.concat(F.lit("Recommendation: "), text("recommendation", "n/a")), F.lit(""), F.lit("## Extracted Skills"), names("skills", "None detected"), F.lit(""), F.lit("## Strengths"), names("strengths", "None"),
+        F.lit(""), F.lit("## Gaps"), names("gaps", "None"), F.lit(""), F.lit("## Rationale"), text("rationale", "n/a"), F.lit(""), F.lit("## Experience Signals"),
+        *(F.concat(F.lit(f"{title}: "), text(n, "0")) for title, n in (("Years", "total_years"), ("Leadership indicators", "leadership_indicators"), ("Impact statements", "impact_statements"))),
+    ]
+    return rows.select("resume_id", F.concat_ws("\n", *parts).alias("report"))
+
+
+def write_report_bundle(rows: DataFrame, folder: str, fairness: DataFrame | None = None, clusters: DataFrame | None = None, rules: DataFrame | None = None) -> tuple[str, str]:
+    """A readable report of the first ``REPORTS`` rows by id, with the small one-table results asked for, and the rows themselves as JSON lines; the paths of both."""
+    small = lambda df: [r.asDict(recursive=True) for r in df.limit(1000).collect()] if df is not None else []
+    lines = ["# Analysis Report", "", f"Candidates analyzed: {rows.count()}"]
+    for title, got in (("Fairness Audit", small(fairness)), ("Clusters", small(clusters)), ("Association Rules", small(rules))):
+        if got:
+            lines += ["", f"## {title}", json.dumps(got, indent=2, default=str)]
+    for r in candidate_report(rows).orderBy("resume_id").limit(REPORTS).collect():
+        lines += ["", r["report"]]
+    os.makedirs(folder, exist_ok=True)
+    report, data = os.path.join(folder, "report.md"), os.path.join(folder, "analyses")
+    with open(report, "w", encoding="utf-8") as f:
+        f.write("\n".join(lines))
+    write_jsonl(rows, data)
+    return report, data
+
+
+def viewed(record: DataFrame, kind: str = "text") -> str:
+    """One record for reading, as 'text', 'markdown' or 'json': its scores, and of its ``matches`` ``(canonical, phrase, confidence)`` the ``SKILLS_SHOWN`` surest."""
+    row = record.limit(1).collect()
+    if not row:
+        raise LookupError("no record to view")
+    r = row[0].asDict(recursive=True)
+    if kind == "json":
+        return json.dumps(r, indent=2, default=str, ensure_ascii=False)
+    matches = sorted(r.pop("matches", None) or [], key=lambda m: (-(m["confidence"] or 0), m["canonical"]))[:SKILLS_SHOWN]
+    cut = lambda v: f"{v[:160]}..." if isinstance(v, str) and len(v) > 160 else v
+    head, item = ("## ", "- ") if kind == "markdown" else ("# ", "  ")
+    lines = [f"{head}Record {r.get('resume_id')}"] + [f"{item}{k}: {cut(v)}" for k, v in r.items() if k != "resume_id"]
+    lines += [f"{head}Skills"] + [f"{item}{m['canonical']} ({m['confidence'] or 0:.2f}) <- {m['phrase']!r}" for m in matches]
+    return "\n".join(lines)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import importlib
+import json
 import math
+import numbers
 from collections import Counter
 from itertools import combinations
 
@@ -12,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as tx
-from sievework.operators import extract, scoring, vectors
-from sievework.plans import registry
+from sievework.operators import extract, rationale, scoring, softmatch, supervised, vectors
+from sievework.plans import entrypoints, evaluation, registry
 from sievework.sources import files
 from sievework.streaming import incremental
 
@@ -56,6 +58,9 @@ def test_identity_cue_and_name(spark):
     assert one(spark, tx.identity_cue(F.col("t")), "A\nB") == "A\nIdentity cue: from an underrepresented background.\nB"
     assert one(spark, tx.identity_cue(F.col("t")), "\nB") == "\nB"
     assert one(spark, tx.swap_name(F.col("t"), [("Ann", "Bea"), ("Cy", "Dan")]), "Cy met Ann, Ann left") == "Cy met Bea, Ann left"
+    assert one(spark, tx.swap_name(F.col("t"), [("Ann", "Bea"), ("Cy", "Dan")], 1), "Cy met Ann") == "Dan met Ann"
+    assert one(spark, tx.swap_name(F.col("t")), "Lena Quill\nLena Quill sews") == "Aisha Khan\nLena Quill sews"
+    assert one(spark, tx.swap_name(F.col("t")), "no Name here") == "no Name here"
 
 
 def test_sections_carry_the_last_header(spark):
@@ -105,6 +110,10 @@ def test_bootstrap_of_a_constant(spark):
     v = spark.range(200).withColumn("v", F.lit(3.0))
     got = scoring.bootstrap_interval(v, "v", 50).first()
     assert (got["lower"], got["upper"]) == (3.0, 3.0)
+    assert tuple(scoring.bootstrap_interval(v.limit(0), "v", 50).first()) == (0.0, 0.0)
+    spread = spark.range(4000).withColumn("v", (F.col("id") % 2) * 2.0)  # equal rows are drawn apart: the mean's deviation is 1 / sqrt(4000)
+    got = scoring.bootstrap_interval(spread, "v").first()
+    assert 0.95 < got["lower"] < 0.985 and 1.015 < got["upper"] < 1.05
 
 
 def test_margin_of_a_lone_label(spark):
@@ -186,16 +195,28 @@ def test_streamed_masking(spark, tmp_path):
     assert spark.table("masked").first()["t"] == "[EMAIL] x"
 
 
-@pytest.mark.parametrize("name", ["mask_pii", "section_sizes", "experience", "score_candidates", "ranking", "classification", "learned_profiles", "nearest_centroid", "perturbations"])
+def rows_of(df):
+    """Rows as strings, columns by name; numbers to four places whatever their type."""
+
+    def told(v):
+        if hasattr(v, "__len__") and not isinstance(v, str):
+            return str([told(x) for x in v])
+        if isinstance(v, numbers.Number) and not isinstance(v, bool):
+            return f"{float(v):.4f}"
+        return str(v).replace("<NA>", "None").replace("nan", "None")
+
+    return Counter(tuple(map(told, r)) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", ["mask_pii", "section_sizes", "experience", "score_candidates", "ranking", "classification", "learned_profiles", "nearest_centroid", "perturbations", "stratified_split", "rationale_audit", "soft_overlap", "skill_spans", "rule_extract", "metric_deltas", "fairness_audit", "basket_rules", "cache_hits", "gold_round_trip"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("resumes", "sample_resumes", "extracted", "skill_matches", "predictions", "documents", "lexicon", "profiles_learned"):
+    for t in ("resumes", "sample_resumes", "extracted", "skill_matches", "predictions", "documents", "lexicon", "profiles_learned", "lineitem", "part", "orders"):
         con.execute(f"create view {t} as from read_parquet('{SF}/{t}.parquet')")
     want = con.execute(registry.ORACLE[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    flat = lambda df: Counter(tuple(f"{v:.4f}" if isinstance(v, float) else str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
-    assert flat(got) == flat(want)
+    assert rows_of(got) == rows_of(want)
 
 
 def test_entry_imports_without_a_session():
@@ -231,3 +252,176 @@ def test_characteristic_terms_leave_out_numbers_and_lone_documents(spark):
     assert got == [("A", "soil", 1)]
     counts = spark.createDataFrame([(i, "all", 1) for i in range(4)] + [(0, "few", 1), (1, "few", 1)], "id long, term string, tf long")
     assert {r["term"] for r in vectors.tfidf(counts, 4, 1, max_df=0.6).collect()} == {"few"}
+
+
+# ---- rationales
+
+
+def audit_one(spark, **given):
+    row = {"resume_id": 1, "fit_score": 50.0, "rationale": "", "recommendation": "", "matched_skills": ["python", "communication"], "missing_skills": ["docker", "kubernetes"], "strengths": ["python"], "gaps": ["docker"]} | given
+    lists = ", ".join(f"{n} array<string>" for n in ("matched_skills", "missing_skills", "strengths", "gaps"))
+    return rationale.audit(spark.createDataFrame([tuple(row.values())], f"resume_id long, fit_score double, rationale string, recommendation string, {lists}")).first()
+
+
+@pytest.mark.parametrize(("score", "said", "right"), [(85.0, "Advance to interview", True), (85.0, "Do not advance", False), (50.0, "Consider with reservation", True), (50.0, "Hire now", False), (20.0, "Reject", True), (20.0, "Recommend", False), (50.0, "", False)])
+def test_calibration(spark, score, said, right):
+    assert audit_one(spark, fit_score=score, recommendation=said)["calibrated"] is right
+
+
+def test_audit_of_a_record(spark):
+    got = audit_one(spark, rationale="She is Young and knows Python, but no docker; " + "word " * 10, strengths=["Python", "juggling", "flying"], gaps=[])
+    assert got["identity_terms"] == ["She", "Young"] and not got["identity_clean"] and got["is_specific"] and got["grounded_in_matched"] and got["missing_skill_hits"] == ["docker"]
+    assert got["strengths_grounded_ratio"] == pytest.approx(1 / 3) and got["strengths_invented"] == ["juggling", "flying"] and got["gaps_grounded_ratio"] == 1.0
+    got = audit_one(spark, rationale="a career in r&d", matched_skills=["r", "R&D ", None, "c++"], strengths=None, fit_score=None)
+    assert got["matched_skill_hits"] == ["r", "r&d"] and got["fit_band"] == "reject" and not got["is_specific"]
+    assert audit_one(spark, rationale="career", matched_skills=["r"])["matched_skill_hits"] == []
+
+
+def test_report_over_audits(spark):
+    lists = ", ".join(f"{n} array<string>" for n in ("matched_skills", "missing_skills", "strengths", "gaps"))
+    rows = [(k, s, t, r, ["python"], [], [], []) for k, (s, t, r) in enumerate([(80.0, "python", "advance"), (20.0, "he", "reject"), (20.0, "x", "hire")])]
+    df = spark.createDataFrame(rows, f"resume_id long, fit_score double, rationale string, recommendation string, {lists}")
+    got = rationale.report(rationale.audit(df)).first()
+    assert (got["n"], got["calibrated_pct"], got["identity_clean_pct"], got["band_advance"], got["band_consider"], got["band_reject"], got["tone_unclassified"]) == (3, 0.6667, 0.6667, 1, 0, 2, 0)
+    none = rationale.report(rationale.audit(df.limit(0))).first()
+    assert all(v == 0 for v in none)
+
+
+# ---- soft matches
+
+
+def test_soft_overlap(spark):
+    v = spark.createDataFrame([("machine learning", "x", 0.8), ("machine learning", "y", 0.6), ("deep learning", "x", 1.0), ("docker", "z", 1.0)], "id string, term string, weight double")
+    pairs = softmatch.likeness(v, 0.5)
+    assert {(r["skill"], r["target"]) for r in pairs.collect()} == {("machine learning", "deep learning"), ("deep learning", "machine learning")}
+    skills = spark.createDataFrame([(1, "python"), (1, "sql"), (1, "machine learning"), (2, "docker")], "resume_id long, canonical string")
+    rows = skills.groupBy("resume_id").agg(F.collect_set("canonical").alias("own")).join(softmatch.closest(skills, pairs), "resume_id", "left").withColumn("near", F.coalesce("near", F.create_map().cast("map<string,struct<cosine:double,skill:string>>")))
+
+    def score(targets, threshold):
+        s, m = softmatch.overlap(F.col("own"), F.col("near"), F.array(*map(F.lit, targets)) if targets else F.array().cast("array<string>"), threshold)
+        return {r["resume_id"]: (round(r["s"], 6), r["m"]) for r in rows.select("resume_id", s.alias("s"), m.alias("m")).collect()}
+
+    assert score(["python", "deep learning"], 1.01)[1] == (1.0, ["python"])
+    assert score(["python", "deep learning"], 0.5)[1] == (1.8, ["deep learning", "python"])  # 0.5 + 0.5 * (0.8 - 0.5) / 0.5
+    assert score([], 0.5)[1] == (0.0, []) and score(["kubernetes"], 0.5)[2] == (0.0, [])
+
+
+# ---- spans and extraction
+
+
+def test_spans_from_left_to_right(spark):
+    lex = spark.createDataFrame([("machine learning", ["ml"]), ("learning design", []), ("go", None), ("r", [])], "canonical string, aliases array<string>").withColumn("category", F.lit("x"))
+    text = "Category go;  Machine  Learning Design, ML and learning design. R!"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
+    got = {r["canonical"]: (r["start_at"], r["surface"]) for r in extract.skill_spans(docs, "id", "t", lex).collect()}
+    assert got == {"go": (9, "go"), "machine learning": (14, "Machine  Learning"), "learning design": (text.index("learning design"), "learning design"), "r": (len(text) - 2, "R")}
+
+
+def test_rule_extraction(spark):
+    docs = spark.createDataFrame([(1, "Intro\r\nSkills: Python, juggling; SQL\nknitting\nEducation\nBSc"), (2, "knows excel and Excel, a@b.example"), (3, " "), (4, None)], "id long, t string")
+    got = {r["id"]: r for r in extract.rule_extract(docs, "id", "t").collect()}
+    assert got[1]["skills_raw"] == ["Python", "juggling", "SQL"] and got[1]["education"] == ["BSc"] and got[1]["experience"] == ["Intro"]
+    assert got[2]["skills_raw"] == ["excel", "Excel"] and got[2]["contact"] == ["a@b.example"] and set(got) == {1, 2}
+    rule = extract.rule_extract(docs, "id", "t")
+    model = rule.where("id = 1").withColumn("skills_raw", F.array(F.lit(" "), F.lit("chess"))).withColumn("education", F.array(F.lit("")))
+    merged = {r["id"]: r for r in extract.merge_extractions(rule, model).collect()}
+    assert merged[1]["skills_raw"] == ["chess"] and merged[1]["education"] == ["BSc"] and merged[2]["skills_raw"] == ["excel", "Excel"]
+
+
+def test_ordered_forms(spark):
+    lex = spark.createDataFrame([("ml", ["machine learning", "ML", " ", None])], "canonical string, aliases array<string>")
+    assert extract.ordered_forms(lex.withColumn("aliases", F.filter("aliases", lambda x: x.isNotNull()))).first()["forms"] == ["machine learning", "ml"]
+
+
+# ---- splits, classifier, files and entry points
+
+
+def test_split_deals_the_whole_share(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 70 else "b" if i < 97 else None) for i in range(101)], "id long, label string")
+    got = Counter((r["label"], r["split_name"]) for r in vectors.stratified_split(rows, "id", "label").collect())
+    assert got == {("a", "test"): 14, ("a", "train"): 56, ("b", "test"): 6, ("b", "train"): 21, (None, "test"): 1, (None, "train"): 3}  # 21 of 101: 14.55, 5.61, 0.83
+    lone = rows.where("id < 10").unionByName(spark.createDataFrame([(500, "z")], "id long, label string"))
+    assert Counter(r["split_name"] for r in vectors.stratified_split(lone, "id", "label").collect()) == {"test": 3, "train": 8}
+    assert vectors.stratified_split(rows.limit(0), "id", "label").count() == 0
+
+
+def test_classifier_tells_two_vocabularies_apart(spark):
+    words = {"A": "plough harvest tractor soil", "B": "ledger invoice audit tax", "C": "needle ward patient dose"}
+    data = [(k, " ".join([words[c], c.lower() * 4, f"n{k}"]), c, k % 4 != 0, [float(k), 1.0]) for k, c in enumerate("ABC" * 16)]
+    docs = spark.createDataFrame(data, "id long, text string, label string, train boolean, extra array<double>")
+    got = {r["id"]: (r["label"], r["margin"]) for r in supervised.fit_and_predict(docs, "id", "text", "label", "train", "extra").collect()}
+    assert set(got) == {k for k in range(48) if k % 4 == 0} and all(got[k][0] == data[k][2] and got[k][1] > 0 for k in got)
+    assert supervised.fit_and_predict(docs.where("not train"), "id", "text", "label", "train", "extra").count() == 0
+    m, s = supervised.scaling(docs, "extra", "train")
+    assert s[1] == 1.0 and m[1] == 1.0
+
+
+def test_numbers_follow_the_partitions(spark):
+    rows = spark.range(100).repartition(7).select("id")
+    order = [r["id"] for r in rows.collect()]
+    got = files.numbered(spark.createDataFrame([(i,) for i in order], "id long").repartition(3), "n").collect()
+    assert sorted(r["n"] for r in got) == list(range(100)) and files.numbered(spark.range(0), "n").count() == 0
+
+
+def test_outputs(spark, tmp_path):
+    row = (7, "A", 61.5, None, ["sql"], [], None, "fits", 3.0, 1, 0)
+    rows = spark.createDataFrame([row], "resume_id long, label string, fit_score double, recommendation string, skills array<string>, strengths array<string>, gaps array<string>, rationale string, total_years double, leadership_indicators int, impact_statements int")
+    report, data = files.write_report_bundle(rows, str(tmp_path / "out"), fairness=spark.createDataFrame([(0.5,)], "delta double"))
+    text = open(report).read()
+    assert "Candidates analyzed: 1" in text and '"delta": 0.5' in text and "# Candidate Report: Resume 7" in text and "Recommendation: n/a" in text and "## Gaps\nNone" in text
+    assert spark.read.json(data).count() == 1
+    files.write_metrics(rows.select("resume_id", "fit_score"), str(tmp_path / "m.json"))
+    assert json.load(open(tmp_path / "m.json")) == {"resume_id": 7, "fit_score": 61.5}
+    seen = rows.select("resume_id", F.expr("array(named_struct('canonical', 'sql', 'phrase', 'SQL db', 'confidence', 0.9D))").alias("matches"))
+    assert "sql (0.90) <- 'SQL db'" in files.viewed(seen) and files.viewed(seen, "markdown").startswith("## Record 7") and json.loads(files.viewed(seen, "json"))["resume_id"] == 7
+    with pytest.raises(LookupError):
+        files.find_record(rows, "resume_id", 8)
+    assert files.find_record(rows, "resume_id", 7).count() == 1
+    assert json.loads(files.to_json(rows.select("resume_id", "recommendation")).first()["json"]) == {"resume_id": 7, "recommendation": None}
+    assert json.loads(spark.createDataFrame([({"b": 1.0, "a": 2.0},)], "m map<string,double>").select(tx.sorted_scores(F.col("m")).alias("j")).first()["j"]) == {"a": 2.0, "b": 1.0}
+
+
+def test_entry_points(spark, tmp_path):
+    trades = {"FARM": "crop rotation and soil work on fields", "LEDGER": "invoice matching and cost allocation in ledgers", "WARD": "wound dressing and patient care on wards"}
+    lines = ["text,label"] + [f'"{w} number {k} with 3 years, led people","{label}"' for label, w in trades.items() for k in range(10)]
+    (tmp_path / "c.csv").write_text("\n".join(lines))
+    lex = spark.createDataFrame([(n, []) for n in ("crop rotation", "invoice matching", "cost allocation", "wound dressing")], "canonical string, aliases array<string>").withColumn("category", F.lit("x")).withColumn("description", F.lit(""))
+    train, test = entrypoints.preprocess(spark, str(tmp_path / "c.csv"), str(tmp_path / "split"))
+    assert spark.read.json(test).count() == 6 and spark.read.json(train).count() == 24
+    assert entrypoints.baseline(spark, train, test, str(tmp_path / "base")).first()["accuracy"] == 1.0
+    gold = entrypoints.build_gold(spark, train, lex, str(tmp_path / "gold"), per_class=2)
+    assert gold.count() == 6 and all(r["skills"] for r in gold.collect())
+    profiles = entrypoints.build_profiles(spark, train, lex, str(tmp_path / "p" / "profiles.json"))
+    assert {r["label"]: r["required_skills"] for r in profiles.collect()}["LEDGER"] == ["cost allocation", "invoice matching"]
+    out = entrypoints.evaluate(spark, test, profiles, lex, str(tmp_path / "eval"))
+    assert out["metrics"].first()["accuracy"] == 1.0 and out["fairness"].first()["variant_count"] == 6 and out["ranking"].count() == 4
+    files.write_jsonl(gold.select("resume_id", "skills"), str(tmp_path / "pred"))
+    assert entrypoints.skill_evaluation(spark, str(tmp_path / "gold"), str(tmp_path / "pred"), str(tmp_path / "s.json")).first()["micro_f1"] == 1.0
+    (tmp_path / "r.jsonl").write_text('{"resume_id": 1, "evaluation": {"fit_score": 80, "rationale": "knows sql", "recommendation": "advance", "matched_skills": ["sql"]}}\n')
+    assert entrypoints.rationale_evaluation(spark, str(tmp_path / "r.jsonl"), str(tmp_path / "q.json")).first()["calibrated_pct"] == 1.0
+    assert "Record 1" in entrypoints.view(spark, str(tmp_path / "r.jsonl"), "resume_id long", 1)
+    assert entrypoints.truthy(" Yes ") and not entrypoints.truthy(None) and entrypoints.encoder("auto") and entrypoints.encoder("own", {"own": len}) is len
+    with pytest.raises(ValueError, match="encoder"):
+        entrypoints.encoder("none")
+
+
+def test_merged_experience_and_prompts(spark):
+    kind = "struct<total_years: double, role_count: int, leadership_indicators: int, impact_statements: int, quantified_impact: int, evidence: array<string>>"
+    df = spark.createDataFrame([((3.0, 1, 2, 0, 0, ["r"]), (75.0, 0, 3, 1, None, [" ", "m"])), ((3.0, 1, 2, 0, 0, ["r"]), None)], f"a {kind}, b {kind}")
+    got = [tuple(r["m"]) for r in df.select(tx.merged_experience(F.col("a"), F.col("b")).alias("m")).collect()]
+    assert got == [(60.0, 1, 3, 1, 0, ["m"]), (3.0, 1, 2, 0, 0, ["r"])]
+    assert one(spark, tx.prompt("say %s", F.col("t")), "x") == "say x"
+
+
+def test_scores_of_the_asked_profile_alone(spark):
+    docs = spark.createDataFrame([(1, "alpha beta", "L"), (2, "gamma", "M")], "resume_id long, text string, only string")
+    skills = spark.createDataFrame([(1, "x")], "resume_id long, canonical string")
+    exp = spark.createDataFrame([(1, 4.0, 1)], "resume_id long, total_years double, leadership_indicators int")
+    prof = spark.createDataFrame([("L", "alpha", ["x", "y"], ["z"]), ("M", "", None, ["x"])], "label string, description string, required_skills array<string>, preferred_skills array<string>")
+    got = {(r["resume_id"], r["label"]): r for r in scoring.score_all(docs, skills, exp, prof).collect()}
+    assert set(got) == {(1, "L"), (2, "M")} and got[1, "L"]["required"] == 0.5 and got[1, "L"]["matched"] == ["x"] and got[1, "L"]["missing"] == ["y", "z"] and got[2, "M"]["fit_score"] == 0
+    assert scoring.score_all(docs.drop("only"), skills, exp, prof).count() == 4
+
+
+def test_evaluation_queries_are_registered():
+    assert {"rationale_audit", "soft_overlap", "skill_spans", "fairness_audit", "svc_predictions"} <= set(registry.QUERIES) and evaluation.SWEEP[0] == 2.0
