@@ -201,9 +201,9 @@ def rows_of(df):
     def told(v):
         if hasattr(v, "__len__") and not isinstance(v, str):
             return str([told(x) for x in v])
-        if isinstance(v, numbers.Number) and not isinstance(v, bool):
-            return f"{float(v):.4f}"
-        return str(v).replace("<NA>", "None").replace("nan", "None")
+        if str(v) in ("<NA>", "nan", "None", "NaT"):
+            return "None"
+        return f"{float(v):.4f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return Counter(tuple(map(told, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
