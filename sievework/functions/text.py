@@ -200,7 +200,7 @@ def ngrams(words: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` words, joined by blanks; give it a plain column, which every run reads."""
     def runs_of(n: int) -> Column:
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.transform(at, lambda i: F.concat_ws(" ", *(F.get(words, i + (k - 1)) for k in range(n))))
 
     return F.concat(words, *(runs_of(n) for n in range(2, longest + 1)))
 

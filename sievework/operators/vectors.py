@@ -255,3 +255,19 @@ def learned_profiles(skills: DataFrame, labels: DataFrame, required: float = 0.3
     ranked = ranked.withColumn("pn", F.sum(F.when(F.col("is_req"), 0).otherwise(1)).over(w)).where(F.col("is_req") | (F.col("pn") <= most_preferred))
     take = lambda yes: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_req") if yes else ~F.col("is_req"), F.struct("rn", "skill")))), lambda x: x["skill"])
     return ranked.groupBy("label").agg(take(True).alias("required_skills"), take(False).alias("preferred_skills"))
+
+
+def resolve_profiles(labels: DataFrame, learned: DataFrame, curated: DataFrame) -> DataFrame:
+    """``(label, origin, description, required_skills, preferred_skills)`` of every label as spelled: the learned profile of its key, else the curated one, else one made up from the label's words.
+
+    A learned profile without a description has the made-up one.
+    """
+    fields = ("description", "required_skills", "preferred_skills")
+    side = lambda df, s: df.select(tx.label_key(F.col("label")).alias("key"), *(F.col(c).alias(f"{s}_{c}") for c in fields), F.lit(True).alias(s))
+    words = F.lower(F.translate("label", "_-", "  "))
+    rows = labels.select("label", tx.label_key(F.col("label")).alias("key")).join(small(side(learned, "l")), "key", "left").join(small(side(curated, "c")), "key", "left")
+    made = F.concat(F.lit("Role focused on "), words, F.lit("."))
+    first = lambda c, other: F.coalesce(F.col(f"l_{c}"), F.col(f"c_{c}"), other).alias(c)
+    description = F.when(F.col("l"), F.coalesce("l_description", made)).otherwise(F.coalesce("c_description", made))
+    origin = F.when(F.col("l"), "learned").when(F.col("c"), "curated").otherwise("made up")
+    return rows.select("label", origin.alias("origin"), description.alias("description"), first("required_skills", F.split(words, " ")), first("preferred_skills", F.array().cast("array<string>")))

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import extract, rationale, scoring, vectors
 from ..session import cut, shared_dir, table
 from ..sources import files
+from ..streaming import incremental
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -500,14 +501,16 @@ def learned_profiles(spark: SparkSession, d: str) -> DataFrame:
     return vectors.learned_profiles(skills, labels)
 
 
-@query(f"""with want as (select distinct label from resumes where label is not null) select w.label, coalesce(p.description, 'Role focused on ' || lower(replace(replace(w.label, '_', ' '), '-', ' ')) || '.') description, coalesce(len(p.required_skills), 1) n_required
-from want w left join profiles_learned p on {SQL_LABEL.format('w.label')} = {SQL_LABEL.format('p.label')}""")
+@query(f"""with want as (select distinct label from resumes where label is not null), big as (select {SQL_LABEL.format('label')} k from resumes where label is not null group by 1 having count(*) >= 20),
+l as (select label k, required_skills, preferred_skills from ({ORACLE['learned_profiles']}) where label in (select k from big)), p as (select {SQL_LABEL.format('label')} k, * exclude (label) from profiles_learned)
+select w.label, case when l.k is not null then 'learned' when p.k is not null then 'curated' else 'made up' end origin, case when l.k is null and p.k is not null then p.description else 'Role focused on ' || lower(replace(replace(w.label, '_', ' '), '-', ' ')) || '.' end description,
+coalesce(l.required_skills, p.required_skills, string_split(lower(replace(replace(w.label, '_', ' '), '-', ' ')), ' ')) required_skills, coalesce(l.preferred_skills, p.preferred_skills, []) preferred_skills from want w left join l on {SQL_LABEL.format('w.label')} = l.k left join p on {SQL_LABEL.format('w.label')} = p.k""")
 def resolve_profiles(spark: SparkSession, d: str) -> DataFrame:
-    """A profile for every label spelling, made up where none is learned."""
-    want = table(spark, d, "resumes").where("label is not null").select("label").distinct().withColumn("key", tx.label_key(F.col("label")))
-    p = table(spark, d, "profiles_learned").select(tx.label_key(F.col("label")).alias("key"), "description", F.size("required_skills").alias("n"))
-    made = F.concat(F.lit("Role focused on "), F.lower(F.translate("label", "_-", "  ")), F.lit("."))
-    return want.join(extract.small(p), "key", "left").select("label", F.coalesce("description", made).alias("description"), F.coalesce("n", F.lit(1)).alias("n_required"))
+    """A profile for every label spelling: learned where 20 resumes have the label, else the given one, else made up from its words."""
+    labels = table(spark, d, "resumes").where("label is not null")
+    big = labels.groupBy(tx.label_key(F.col("label")).alias("label")).agg(F.count("*").alias("n")).where("n >= 20").select("label")
+    learned = learned_profiles(spark, d).join(big, "label", "left_semi").withColumn("description", F.lit(None).cast("string"))
+    return vectors.resolve_profiles(labels.select("label").distinct(), learned, table(spark, d, "profiles_learned"))
 
 
 @query(f"""with b as (select resume_id, {SQL_LABEL.format('label')} label from resumes), c as (select label, count(*) n from b group by 1), one as (select case when min(n) = 1 then 1 else 0 end mixed from c),
@@ -539,13 +542,25 @@ def structure_features(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.round(F.log1p(F.length("resume_text")), 6).alias("log_length"), n(r"\S+").alias("n_words"), n("[0-9]+").alias("n_numbers"))
 
 
-@query()
+_SIZE = "len(list_filter(coalesce({0}, []), lambda x: trim(x) <> ''))"
+
+
+@query(f"""with labels as (select list_sort(list(distinct label)) l from profiles_learned), cats as (select list_sort(list(distinct category)) c from lexicon where category is not null),
+s as (select resume_id, map(list(label), list(fit_score / 100)) f from ({_SCORES}) group by 1), x as ({_EXPERIENCE}), k as (select resume_id, category, count(*) n, sum(confidence) s, max(confidence) m from {_CANON} group by 1, 2),
+own as (select resume_id, sum(n) n, sum(s) / sum(n) a, max(m) m, map(list(category), list(n)) by_ from k group by 1),
+e as (select resume_id, {', '.join(f"max({_SIZE.format(n)}) n_{n}" for n in ('skills_raw', 'education', 'experience', 'certifications', 'projects'))} from extracted group by 1),
+v as (select r.resume_id, list_transform(l, lambda y: coalesce(f[y], 0)::double) fits, total_years y, x.*, coalesce(own.n, 0) n, coalesce(a, 0) a, coalesce(m, 0) m, list_transform(c, lambda y: coalesce(by_[y] / own.n, 0)::double) shares, e.*, ln(1 + length(resume_text)) log_length
+  from (select * from resumes where resume_text is not null) r cross join labels cross join cats left join s using (resume_id) left join x using (resume_id) left join own using (resume_id) left join e using (resume_id))
+select resume_id, list_transform(flatten([fits, list_transform(range(1, len(fits) + 1), lambda i: (i = list_position(fits, list_max(fits)))::int::double),
+ [coalesce(y, 0), least(coalesce(y, 0), 8) / 8, coalesce(role_count, 0), coalesce(leadership_indicators, 0), coalesce(impact_statements, 0), coalesce(quantified_impact, 0), (coalesce(y, 0) >= 5)::int]::double[],
+ [coalesce(n_skills_raw, 0), n, a, m]::double[], shares, [coalesce(n_education, 0), coalesce(n_experience, 0), coalesce(n_certifications, 0), coalesce(n_projects, 0), log_length]::double[]]), lambda z: round(z + 1e-9, 4)) features from v""")
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """``(resume_id, features)`` of every resume with a text, in the order of ``vectors.feature_names``."""
+    """``(resume_id, features)`` of every resume with a text, in the order of ``vectors.feature_names``, to four places."""
     docs = table(spark, d, "resumes").where("resume_text is not null").select("resume_id", F.log1p(F.length("resume_text")).alias("log_length"))
     labels = [r[0] for r in table(spark, d, "profiles_learned").select("label").distinct().orderBy("label").collect()]  # fixed tables
     categories = [r[0] for r in table(spark, d, "lexicon").where("category is not null").select("category").distinct().orderBy("category").collect()]
-    return vectors.feature_rows(docs, _score(spark, d), experience(spark, d), canonical_skills(spark, d), table(spark, d, "extracted"), labels, categories)
+    out = vectors.feature_rows(docs, _score(spark, d), experience(spark, d), canonical_skills(spark, d), table(spark, d, "extracted"), labels, categories)
+    return out.withColumn("features", F.transform("features", lambda x: F.round(x + 1e-9, 4)))
 
 
 # ---- sources, sinks and streams
@@ -619,3 +634,15 @@ def vector_store(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type, count(*) n, count(distinct user_id) users from events group by 1")
 def event_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query(f"select doc_id, {SQL_MASK} masked from (select doc_id, text t from documents) where t is not null")
+def streamed_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Section 2.15: the documents masked by a stream that runs until they are all read, written by a file sink that survives a restart."""
+    at = _place(spark, "stream")
+    table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{at}/in")  # a stream reads a folder
+    source = incremental.stream_table(spark, f"{at}/in", "doc_id bigint, text string")
+    masked = source.where("text is not null").select("doc_id", tx.mask_pii(F.col("text")).alias("masked"))
+    run = masked.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("doc_id bigint, masked string").parquet(f"{at}/out")
