@@ -210,10 +210,10 @@ def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     odd = F.udf(oddness, "int")
     likely = ~F.col("utf8") & (F.col("level") == 0) & (F.col("n") > 0) & ((F.col("odd_form") > F.col("odd")) | (F.col("odd_form") == F.col("odd")) & (F.col("n") >= RATIO * F.col("unit_texts")))
     match = cut(match.withColumn("odd", odd("original")).withColumn("odd_form", odd("form")).where(sure | likely))
-    # an original that is garbled itself is a stage on the way, and the shorter of two chains is the likelier
+    # an original that is garbled itself is a stage on the way, between two code pages it is none at all; the shorter of two chains is the likelier
     halfway = match.select(F.col("unit").alias("original"), F.lit(True).alias("halfway")).distinct()
     best = Window.partitionBy("unit", "level").orderBy(F.asc_nulls_first("halfway"), F.desc(F.col("n") > 0), F.asc("odd"), F.asc(F.size(F.split("chain", ">"))), F.desc("n"), F.desc("copies"), F.asc("original"), F.asc("chain"))
-    known = match.join(halfway, "original", "left").withColumn("k", F.row_number().over(best)).where("k = 1").select("unit", "level", "original", "chain")
+    known = match.join(halfway, "original", "left").where("utf8 or halfway is null").withColumn("k", F.row_number().over(best)).where("k = 1").select("unit", "level", "original", "chain")
     known = cut(known)
     marked = counts.where((F.col("level") == 0) & F.col("unit").rlike(LOST)).select("unit", "level")
     bad = known.unionByName(marked.join(known, ["unit", "level"], "left_anti"), allowMissingColumns=True)

@@ -412,6 +412,12 @@ def test_long_pretokens_and_every_vocabulary_entry(reference_encoding):
     assert sorted(enc.whole.ids) == sorted(enc.ranks.values()) and all(enc.whole.get(k) == v for k, v in enc.ranks.items()) and enc.whole.get(b"\xff\xfe\xfd") == -1
 
 
+def test_ids_of_all_documents_equal_the_reference(spark, reference_encoding):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["ids"] for r in QUERIES["p8_ids"](spark, SF).collect()}
+    assert got == {k: reference_encoding.encode_ordinary(t or "") for k, t in texts.items()} and len(got) > 50
+
+
 def test_empty_texts_have_no_ids(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (None, "a")], "doc_id long, text string")
     got = {r["doc_id"]: r["ids"] for r in tokenise.encode_corpus(df, "doc_id", "text").collect()}
@@ -482,6 +488,27 @@ def test_frequent_damage_between_code_pages(spark):
     assert back[len(clean)] == "un travail très utile, déjà prêt a" and back[len(data) - 1] == "un año bueno"
 
 
+def test_damage_of_corpus_texts_is_undone(spark):
+    """Copies of the corpus' own clean texts, each damaged by one chain, are found and come back as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").select("doc_id", "text")
+    marked = {r["doc_id"] for r in mojibake.garbled_documents(docs, "doc_id", "text").collect()}
+    clean = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in marked and not r["text"].isascii()}
+    through = [("utf-8", "cp1252"), ("utf-8", "latin_1"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("cp1252", "cp850")]
+    damaged = {}
+    for k, (i, t) in enumerate(sorted(clean.items())):
+        wrote, read = through[k % len(through)]
+        try:
+            damaged[100_000 + i] = (t, t.encode(wrote).decode(read))
+        except UnicodeError:
+            continue
+    damaged = {i: (t, bad) for i, (t, bad) in damaged.items() if bad != t}
+    both = docs.unionByName(spark.createDataFrame([(i, bad) for i, (_, bad) in damaged.items()], "doc_id long, text string"))
+    back = {r["doc_id"]: r["restored_text"] for r in mojibake.restored_texts(both, "doc_id", "text").collect()}
+    assert len(damaged) >= 10 and set(damaged) <= set(back) and marked <= set(back) and not set(back) & set(clean)
+    # between two code pages a word comes back only if the corpus has it intact somewhere
+    assert sum(back[i] == t for i, (t, _) in damaged.items()) >= 0.85 * len(damaged)
+
+
 def test_oddness():
     assert [mojibake.oddness(w) for w in ("très", "SÃO", "l’été", "Straße", "Опыт", "STRAßE", "naïve–déjà")] == [0] * 7
     assert all(mojibake.oddness(w) > 0 for w in ("trÞs", "dÚjÓ", "a±o", "naяve", "нОШР", "d‚jà", "r‚sumé"))
