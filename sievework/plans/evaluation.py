@@ -150,7 +150,7 @@ select id, canonical, substr(t, s + 1, e - s) surface, s::int start_at, e::int e
 
 @query(SPANS_SQL)
 def skill_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The first place of every skill in every resume."""
+    """The first place of every skill in every resume."""
     return extract.skill_spans(table(spark, d, "resumes").where("resume_text is not null"), "resume_id", "resume_text", table(spark, d, "lexicon"))
 
 
@@ -453,6 +453,13 @@ def profile_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return want.join(terms, "label", "left").select("label", tx.profile_description(F.col("label"), F.col("terms")).alias("description"))
 
 
+@query("""with f as (select canonical, trim(form) form, i from (select canonical, unnest(list_concat([canonical], coalesce(aliases, []))) form, generate_subscripts(list_concat([canonical], coalesce(aliases, [])), 1) i from lexicon) where trim(form) <> ''),
+one as (select canonical, min_by(form, i) form, min(i) i from f group by canonical, lower(form)) select canonical, list(form order by length(form) desc, i) forms from one group by 1""")
+def ordered_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The surface forms of each lexicon entry, longest first."""
+    return extract.ordered_forms(table(spark, d, "lexicon"))
+
+
 # ---- outputs
 
 

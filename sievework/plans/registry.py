@@ -482,10 +482,22 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return vectors.cluster_summary(assigned, lists.select("id", F.explode("items").alias("item")))
 
 
-@query()
+# itemsets of up to four skills, which are all that two in a hundred resumes share
+_RULES = f"""with e as (select distinct resume_id r, canonical x from {_CANON}), n as (select count(distinct r) n from e),
+c1 as (select [x] s, count(*) c from e group by 1), c2 as (select [a.x, b.x] s, count(*) c from e a join e b on a.r = b.r and a.x < b.x group by 1),
+c3 as (select [a.x, b.x, c.x] s, count(*) c from e a join e b on a.r = b.r and a.x < b.x join e c on b.r = c.r and b.x < c.x group by 1),
+c4 as (select [a.x, b.x, c.x, d.x] s, count(*) c from e a join e b on a.r = b.r and a.x < b.x join e c on b.r = c.r and b.x < c.x join e d on c.r = d.r and c.x < d.x group by 1),
+sets as (select s, c / n sup from (from c1 union all from c2 union all from c3 union all from c4), n where c >= ceil(0.02 * n)),
+m as (select s, sup, unnest(range(1, (1 << len(s)) - 1)) k from sets where len(s) > 1),
+p as (select sup, list_filter(s, lambda x, i: (k >> (i - 1)::int) & 1 = 1) l, list_filter(s, lambda x, i: (k >> (i - 1)::int) & 1 = 0) r from m)
+select l antecedents, r consequents, round(p.sup, 6) support, round(p.sup / a.sup, 6) confidence, round(p.sup / a.sup / c.sup, 6) lift from p join sets a on a.s = l join sets c on c.s = r where p.sup / a.sup >= 0.3 - 1e-12"""
+
+
+@query(_RULES)
 def association_rules(spark: SparkSession, d: str) -> DataFrame:
-    """L12, T3."""
-    return vectors.association_rules(cut(_skill_lists(spark, d)), "items", 0.02, 0.3)
+    """Rules between skills of a resume over all splits of the frequent sets."""
+    r = vectors.association_rules(cut(_skill_lists(spark, d)), "items", 0.02, 0.3)
+    return r.select("antecedents", "consequents", *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
 
 
 @query(f"""with l as (select resume_id id, {SQL_LABEL.format('label')} label from resumes where label is not null), s as (select distinct resume_id id, canonical skill from {_CANON}), n as (select label, count(*) n from l group by 1),
