@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BASE = 0x2545F4914F6CDD1D  # odd, so that its powers can be undone modulo 2**64
 PIECE = 1 << 20  # bytes of text that are hashed at once
@@ -150,20 +152,24 @@ def key_array(hi: np.ndarray, lo: np.ndarray) -> pa.StructArray:
 
 
 def member_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(a, b)`` document ids of all members of the classes ``key_a`` (``left``) and ``key_b`` (``right``) of each pair.
+    """``(key_a, key_b, a, b)``: the document ids of all members of the classes ``key_a`` (``left``) and ``key_b`` (``right``) of each pair.
 
     ``left`` and ``right`` hold ``(id, key)``. A class of more than ``MEMBERS`` documents is cut into blocks, and each pair
     of blocks meets by itself, so a group of copies that holds a third of all rows is spread over many tasks.
     """
-
-    def blocks(members: DataFrame, s: str) -> tuple[DataFrame, DataFrame]:
-        many = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("k"))
-        cut_up = members.join(many, "key", "left").select(F.col("key").alias(f"key_{s}"), F.col("id").alias(s), F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int").alias(f"block_{s}"))
-        return many.withColumnRenamed("key", f"key_{s}"), cut_up
-
     out = pairs.select("key_a", "key_b")
+    sizes: dict[int, DataFrame | None] = {}
     for s, members in (("a", left), ("b", right)):
-        many, cut_up = blocks(members, s)
-        out = out.join(many, f"key_{s}", "left").withColumn(f"block_{s}", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
-        out = out.join(cut_up, [f"key_{s}", f"block_{s}"])
-    return out.select("a", "b")
+        if id(members) not in sizes:
+            many = cut(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS).select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("k")))
+            sizes[id(members)] = many if many.limit(1).count() else None
+        many = sizes[id(members)]
+        named = members.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(s))
+        if many is None:
+            out = out.join(named, f"key_{s}")
+            continue
+        many = many.withColumnRenamed("key", f"key_{s}")
+        blocks = named.join(many, f"key_{s}", "left").withColumn("block", F.pmod(F.xxhash64(s), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+        out = out.join(many, f"key_{s}", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+        out = out.join(blocks, [f"key_{s}", "block"]).drop("block")
+    return out.select("key_a", "key_b", "a", "b")
