@@ -119,9 +119,10 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    """Whether every document is placed whole and within the capacities, and whether 98 % of the room is used."""
+    """Whether every document is placed whole and within the capacities, and whether at most 2 % more containers are used than the tokens fill, and one."""
     r = packing.packing_report(cut(p9_pack(spark, d)), "doc_id", **P9)
-    return r.select("documents", "over_capacity", "split_needlessly", (F.col("fill") >= 0.98).alias("well_filled"))
+    least = F.col("tokens") / P9["capacity"]
+    return r.select("documents", "over_capacity", "split_needlessly", (F.col("containers") <= 1.02 * least + 1).alias("well_filled"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

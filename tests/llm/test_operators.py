@@ -520,7 +520,7 @@ def test_oddness():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("resumes", "extracted", "skill_matches", "predictions", "profiles_learned"):
+    for t in ("resumes", "extracted", "skill_matches", "predictions", "profiles_learned", "documents"):
         con.execute(f"create view {t} as from read_parquet('{SF}/{t}.parquet')")
     want, got = con.execute(ORACLE[name]).df(), QUERIES[name](spark, SF).toPandas()
     flat = lambda df: Counter(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
