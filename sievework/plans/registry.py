@@ -584,14 +584,17 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
 
 
-@query("select resume_id, raw_text, education, experience, skills_raw, projects, certifications, contact from extracted")
+_LISTS = ("education", "experience", "skills_raw", "projects", "certifications", "contact")
+
+
+@query("select resume_id, raw_text, " + ", ".join(f"coalesce({n}, ['no list']) {n}" for n in _LISTS) + " from extracted")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Nested records written as JSON lines and read again."""
     at = _place(spark, "jsonl")
     rows = table(spark, d, "extracted")
     files.write_jsonl(rows, at)
-    lists = ", ".join(f"{n} array<string>" for n in ("education", "experience", "skills_raw", "projects", "certifications", "contact"))
-    return files.read_jsonl(spark, at, f"resume_id long, raw_text string, {lists}")
+    back = files.read_jsonl(spark, at, "resume_id long, raw_text string, " + ", ".join(f"{n} array<string>" for n in _LISTS))
+    return back.select("resume_id", "raw_text", *(F.coalesce(n, F.array(F.lit("no list"))).alias(n) for n in _LISTS))
 
 
 @query("select row_number() over (order by resume_id) - 1 resume_id, resume_text, label from (select resume_id, coalesce(resume_text, '') resume_text, coalesce(label, 'nan') label from resumes) qualify trim(resume_text) <> ''")
