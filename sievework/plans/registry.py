@@ -340,7 +340,7 @@ def decision_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").groupBy("decision_source").agg(F.count("*").alias("n"))
 
 
-@query(f"""select th threshold, count(*) n, round(avg((y_true = y_pred)::int), 6) accuracy, round(avg((fit_score >= th)::int), 6) selected from (select {SQL_LABEL.format('y_true')} y_true, {SQL_LABEL.format('y_pred')} y_pred, fit_score from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)), (select unnest([40.0, 50.0, 60.0, 70.0, 80.0]) th) group by 1""")
+@query(f"""select th threshold, count(*) n, round(avg((y_true = y_pred)::int), 6) accuracy, round(avg((fit_score >= th)::int), 6) selected from (select {SQL_LABEL.format('y_true')} y_true, {SQL_LABEL.format('y_pred')} y_pred, fit_score from predictions where y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)), (select unnest([40.0, 50.0, 60.0, 70.0, 80.0]::double[]) th) group by 1""")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """stored scores by five cut-offs."""
     p = table(spark, d, "predictions").where("y_true is not null and y_pred is not null and fit_score is not null and not isnan(fit_score)")
