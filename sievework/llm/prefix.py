@@ -27,7 +27,7 @@ from .common import KEY, M2, by_doc, key_array, mix64, parity_sketch, set_keys,
 
 BUCKETS, BITS = 1 << 20, 384
 HOT, MOST_HOT = 1 << 17, 1 << 20
-POSTINGS = 4_000_000  # of a partition
+POSTINGS = 2_000_000  # of a partition
 LANES = 1 << 20  # pairs that are looked at together
 CLASS = np.dtype([("hi", np.uint64), ("lo", np.uint64), ("size", np.int32), ("side", np.uint8), ("sketch", np.uint64, (BITS // 64,))])
 POSTING = np.dtype([("group", np.uint64), ("cls", np.int32), ("pos", np.int32), ("half", np.uint8)])
