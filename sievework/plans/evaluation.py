@@ -186,11 +186,11 @@ def merged_extraction(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.size("education").alias("n_education"), F.size("skills_raw").alias("n_skills"))
 
 
-@query(r"select doc_id, 'Kind: ' || coalesce(doc_kind, '') || chr(10) || 'Text: ' || left(coalesce(text, ''), 12000) as prompt from documents")
+@query(r"select doc_id, 'Kind: ' || coalesce(doc_kind, '') || chr(10) || 'Text: ' || coalesce(text, '') as prompt from documents")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    """A prompt per document, its text cut at 12,000 characters, as the model asks."""
+    """A prompt per document with its whole text."""
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", tx.prompt("Kind: %s\nText: %s", c("doc_kind"), F.substring(c("text"), 1, 12_000)).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", tx.prompt("Kind: %s\nText: %s", c("doc_kind"), c("text")).alias("prompt"))
 
 
 _EXP = base._EXPERIENCE

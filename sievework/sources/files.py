@@ -175,8 +175,14 @@ def candidate_report(rows: DataFrame) -> DataFrame:
 
 
 def write_report_bundle(rows: DataFrame, folder: str, fairness: DataFrame | None = None, clusters: DataFrame | None = None, rules: DataFrame | None = None) -> tuple[str, str]:
-    """A readable report of the first ``REPORTS`` rows by id, with the small one-table results asked for, and the rows themselves as JSON lines; the paths of both."""
-    small = lambda df: [r.asDict(recursive=True) for r in df.limit(1000).collect()] if df is not None else []
+    """A readable report of the first ``REPORTS`` rows by id, with the small one-table results asked for (refused beyond 1,000 rows), and the rows themselves as JSON lines; the paths of both."""
+
+    def small(df: DataFrame | None, most: int = 1000) -> list[dict]:
+        rows = df.limit(most + 1).collect() if df is not None else []
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows for a readable report")
+        return [r.asDict(recursive=True) for r in rows]
+
     lines = ["# Analysis Report", "", f"Candidates analyzed: {rows.count()}"]
     for title, got in (("Fairness Audit", small(fairness)), ("Clusters", small(clusters)), ("Association Rules", small(rules))):
         if got:
