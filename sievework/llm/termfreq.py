@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _changes(a: pa.Array) -> np.ndarray:
     """True where a value differs from the one before it (no nulls)."""
@@ -72,7 +74,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
     are none, and an empty table gives no row.
     """
     src = rows.select("field_name", "term", F.col("record").cast("bigint").alias("record")).where("term <> '' and record is not null")
-    src = src.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int"))
+    # written once: finding the ranges reads the rows as well as sending them does
+    src = cut(src.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")))
     ranged = src.repartitionByRange("field_name", "term", "record", "salt").sortWithinPartitions("field_name", "term", "record").drop("salt")
     parts = ranged.mapInArrow(_scan, "field_name string, term string, occurrences bigint, inner_records bigint, first_record bigint, last_record bigint")
     return parts.groupBy("field_name", "term").agg(
