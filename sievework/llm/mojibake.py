@@ -207,7 +207,7 @@ def garbled_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     match = counts.join(garbled_table(counts).hint("merge"), F.col("unit") == F.col("form"))
     lossy = F.col("unit").contains("?") & ~F.col("unit").rlike(r"^â|\?\?")
     sure = F.col("utf8") & ((F.col("level") == 0) | (F.length("form") >= 2) & ((F.col("level") == 1) & ~lossy | (F.length("original") == 1)))
-    odd = F.udf(oddness, "int")
+    odd = F.pandas_udf(lambda words: words.map(oddness), "int")
     likely = ~F.col("utf8") & (F.col("level") == 0) & (F.col("n") > 0) & ((F.col("odd_form") > F.col("odd")) | (F.col("odd_form") == F.col("odd")) & (F.col("n") >= RATIO * F.col("unit_texts")))
     match = cut(match.withColumn("odd", odd("original")).withColumn("odd_form", odd("form")).where(sure | likely))
     # an original that is garbled itself is a stage on the way, between two code pages it is none at all; the shorter of two chains is the likelier
