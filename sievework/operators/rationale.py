@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .scoring import fit_band
 
-SPECIFIC = 15  # words from which a rationale counts as specific
+SPECIFIC = 15  # fixed value: words from which a rationale counts as specific
 # fixed values: words of a recommendation by tone, and words that name an attribute of a person
 TONES = {
     "reject": ["do not advance", "do not proceed", "not advance", "not suitable", "not a fit", "not a match", "not recommended", "lacks", "insufficient", "weak match", "weak fit", "decline", "reject", "pass on", "not the right fit"],

@@ -100,6 +100,7 @@ def best_and_margin(scores: DataFrame, id_col: str, label: str, score: str) -> D
 
 
 def fit_band(c: Column) -> Column:
+    """Fixed values: 'advance' from 70 on, 'consider' from 40 on, else 'reject'."""
     return F.when(c >= 70, "advance").when(c >= 40, "consider").otherwise("reject")
 
 

@@ -242,6 +242,7 @@ def named_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return out.select("name_a", "name_b", F.when(F.col("both") == 1, F.round(F.coalesce("dot", F.lit(0.0)), 6)).alias("cosine"))
 
 
+# fixed values: the bounds of learned profiles, and how much lower they are for labels of few documents
 def learned_profiles(skills: DataFrame, labels: DataFrame, required: float = 0.30, preferred: float = 0.10, most_required: int = 6, most_preferred: int = 8, sparse: int = 35) -> DataFrame:
     """``(label, required_skills, preferred_skills)`` from how many of a label's documents name each skill; small labels use lower bounds."""
     size = labels.groupBy("label").agg(F.count("*").alias("n"))
