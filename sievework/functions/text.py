@@ -206,9 +206,9 @@ def ngrams(words: Column, longest: int) -> Column:
 
 
 def char_grams(c: Column, n: int = 3) -> Column:
-    """All runs of ``n`` characters; give it a plain column, which every run reads."""
-    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
+    """All runs of ``n`` of an array of characters; give it a plain column, which every run reads."""
+    at = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(*(F.get(c, i + (k - 1)) for k in range(n))))
 
 
 def cache_key(*parts: Column) -> Column:

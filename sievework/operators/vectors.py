@@ -12,7 +12,8 @@ from .extract import small
 def term_counts(docs: DataFrame, id_col: str, text_col: str, longest: int = 1, stop: list[str] = (), chars: int = 0) -> DataFrame:
     """``(id, term, tf)`` of the runs of 1 to ``longest`` words, or of the runs of ``chars`` characters if given."""
     # the words (or the text) are a column of their own, or every run would read the text again
-    words = F.regexp_replace(F.lower(F.col(text_col)), r"\s\s+", " ") if chars else tx.tokens(F.col(text_col), stop)
+    letters = F.filter(F.split(F.regexp_replace(F.lower(F.col(text_col)), r"\s\s+", " "), ""), lambda x: x != "")
+    words = letters if chars else tx.tokens(F.col(text_col), stop)
     src = docs.select(F.col(id_col).alias("id"), words.alias("w")).where("w is not null")
     terms = tx.char_grams(F.col("w"), chars) if chars else tx.ngrams(F.col("w"), longest)
     return src.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
