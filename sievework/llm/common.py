@@ -103,8 +103,11 @@ def by_doc(doc: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def shingle_batch(texts: list[str | None], width: int = 2, min_words: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """``(doc, shingle)`` of all texts, sorted by both and without repeats; texts of under ``min_words`` words give none."""
-    h, counts = word_hashes(texts)
+    """``(doc, shingle)`` of all texts, sorted by both and without repeats; texts of under ``min_words`` words give none.
+
+    A capital I with a dot is an i, as in SQL; by itself it would be an i and a combining dot, which ends a word.
+    """
+    h, counts = word_hashes([t and t.replace("\u0130", "i") for t in texts])
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)

@@ -51,7 +51,7 @@ def bit_planes(x: np.ndarray) -> np.ndarray:
 def _run(x: np.ndarray, radius: np.ndarray) -> np.ndarray:
     n, bits = len(x), x.shape[1] * 64
     planes = bit_planes(x)
-    most = bit_planes(np.maximum(radius, 0).astype(np.uint64).reshape(-1, 1))[: bits.bit_length()]
+    most = bit_planes(np.clip(radius, 0, bits).astype(np.uint64).reshape(-1, 1))[: bits.bit_length()]
     words = np.arange(planes.shape[1])
     counter: list[np.ndarray] = []
     over = np.zeros(planes.shape[1], np.uint64)
@@ -118,10 +118,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str, text_col: str, threshol
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
-    """``(id_a, id_b)`` with ``id_a < id_b``: every pair of linked texts, exact copies included."""
+    """``(id_a, id_b)`` with ``id_a < id_b``: every pair of linked texts, exact copies included. Of texts with the same id any may be the linked one."""
     members, pairs = near_duplicate_classes(docs, id_col, text_col, **kw)
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"))
-    out = member_pairs(pairs.select("key_a", "key_b").unionByName(several), members, members).where("key_a <> key_b or a < b")
+    out = member_pairs(pairs.select("key_a", "key_b").unionByName(several), members, members).where("a < b or (key_a <> key_b and a <> b)")
     return out.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 

@@ -280,20 +280,23 @@ def candidate_classes(docs: DataFrame, id_col: str, text_col: str, side: object,
 
 
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str, threshold: float, width: int, min_words: int) -> DataFrame:
-    """``(key_a, key_b, shared, jaccard)`` of the class pairs that reach the threshold on their whole shingle sets."""
+    """``(key_a, key_b, shared, jaccard)`` of the class pairs that reach the threshold on their whole shingle sets.
+
+    One text of each class is read by its id and its class found anew, as other texts may have the same id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, sh = shingle_batch(b.column(1).to_pylist(), width, min_words)
+            doc, sh = shingle_batch(b.column(0).to_pylist(), width, min_words)
             if len(doc):
-                starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                starts, _, hi, lo = set_keys(doc, sh)
                 sets = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(sh)].astype(np.int32)), pa.array(sh.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[starts])), sets], names=["key", "sh"])
+                yield pa.RecordBatch.from_arrays([key_array(hi, lo), sets], names=["key", "sh"])
 
     keys = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
     one = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(one, "id")
-    sets = cut(text.select("key", "text").mapInArrow(run, f"key {KEY}, sh array<bigint>").dropDuplicates(["key"]))
+    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(one, "id", "left_semi")
+    sets = cut(text.select("text").mapInArrow(run, f"key {KEY}, sh array<bigint>").join(keys, "key", "left_semi").dropDuplicates(["key"]))
     a = sets.select(F.col("key").alias("key_a"), F.col("sh").alias("sh_a"))
     b = sets.select(F.col("key").alias("key_b"), F.col("sh").alias("sh_b"))
     both = pairs.join(a, "key_a").join(b, "key_b").withColumn("shared", F.size(F.array_intersect("sh_a", "sh_b")))

@@ -218,6 +218,41 @@ def test_near_pairs(spark, monkeypatch, threshold, hot):
     assert got == want and len(want) >= 40
 
 
+def test_near_pairs_of_long_texts(spark):
+    """Sets that may differ in more places than a sketch has bits."""
+    docs = []
+    for k, n in enumerate((900, 1100, 1200, 1500)):
+        words = [f"w{k}x{i}" for i in range(n)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join("z" if i % 20 == 0 else w for i, w in enumerate(words)))]
+    df = spark.createDataFrame(docs, "id long, text string")
+    assert rows(neardup.near_duplicate_pairs(df, "id", "text", threshold=0.6, width=2)) == brute_near(docs, 0.6) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert [r["links"] for r in neardup.near_duplicate_rows(df, "id", "text", threshold=0.6, width=2).collect()] == [1] * 8
+    x = np.full((3, 6), ~np.uint64(0))
+    assert neardup.bit_sliced_within(x, np.array([383, 384, 512])).tolist() == [False, True, True]
+
+
+def test_texts_that_share_an_id(spark):
+    some = lambda n: [f"w{n}x{k}" for k in range(40)]
+    docs = [(g, " ".join(some(10 * g + k))) for g in range(8) for k in range(6)]  # six texts an id
+    docs += [(100 + g, " ".join(["other", *some(10 * g + 3)])) for g in range(8)] + [(8, " ".join(some(200))), (8, " ".join(["other", *some(200)]))]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(4)
+    assert rows(neardup.near_duplicate_pairs(df, "id", "text", threshold=0.6, width=2)) == [(g, 100 + g) for g in range(8)]
+    links = [(r["id"], r["links"]) for r in neardup.near_duplicate_rows(df, "id", "text", threshold=0.6, width=2).collect()]
+    assert sorted(links) == sorted([(g, n) for g in range(8) for n in (0, 0, 0, 0, 0, 1)] + [(100 + g, 1) for g in range(8)] + [(8, 1), (8, 1)])
+    sided = df.selectExpr("id", "text", "if(id < 100, 1, 0) side", "if(id < 100, 'train', 'dev') split", "'s' source")
+    got = crosssplit.cross_split_pairs(sided, "id", "text", "split", "source", threshold=0.6, width=2)
+    assert rows(got.select("eval_id", "train_id")) == [(100 + g, g) for g in range(8)]
+
+
+def test_a_capital_i_with_a_dot_is_an_i(spark):
+    words = [f"W\u0130{k}" for k in range(30)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words).replace("\u0130", "i"))], "resume_id long, resume_text string").withColumn("label", F.lit("x"))
+    with duckdb.connect() as con:
+        resumes = df.toArrow()  # noqa: F841  (read by the SQL)
+        want = con.execute(ORACLE["p4_found"]).fetchall()
+    assert rows(neardup.near_duplicate_pairs(df, "resume_id", "resume_text", threshold=0.6, width=2)) == want == [(1, 2)]
+
+
 def test_near_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts(8))], "id long, text string")
     got = rows(neardup.near_duplicate_rows(df, "id", "text", threshold=0.6, width=2))
