@@ -55,12 +55,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str, kind: str = "csv") -> DataFrame | None:
-    """An optional input: None if the path does not exist."""
+    """An optional input: None if the path does not exist. Cells of a CSV may hold line breaks."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
     reader = spark.read.schema(schema)
-    return reader.option("header", True).option("escape", '"').csv(path) if kind == "csv" else reader.json(path)
+    return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if kind == "csv" else reader.json(path)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
